@@ -66,17 +66,37 @@ def default_xyz(df: DataFrame) -> tuple[str, str, str] | None:
     return tuple(cols[i] if i < len(cols) else cols[0] for i in range(3))
 
 
-def number(df: DataFrame, name: str) -> Column:
-    """Column as double, with NaN read as missing."""
-    value = F.col(f"`{name}`").cast("double")
+def quoted(name: str) -> str:
+    """Column name as it is written in a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(text: str) -> str:
+    """A string literal in a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def double_literal(value: float | None) -> str:
+    """A double literal in a SQL expression."""
+    return "CAST(NULL AS DOUBLE)" if value is None else f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+def number_sql(df: DataFrame, name: str) -> str:
+    """``number`` as text; wide aggregates are much faster to build from text."""
+    value = f"CAST({quoted(name)} AS DOUBLE)"
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.nanvl(value, F.lit(None).cast("double"))
+        return f"nanvl({value}, CAST(NULL AS DOUBLE))"
     return value
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """Column as double, with NaN read as missing."""
+    return F.expr(number_sql(df, name))
+
+
 def present(df: DataFrame, name: str) -> Column:
     """Column in its own type, with NaN read as missing."""
-    value = F.col(f"`{name}`")
+    value = F.col(quoted(name))
     data_type = df.schema[name].dataType
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.nanvl(value, F.lit(None).cast(data_type))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeboard.functions.kinds import number, numeric_cols
 from gaugeboard.functions.text import fmt_fixed, percent_change
 from gaugeboard.operators.ordered import with_position
-from gaugeboard.operators.profile import moments, numeric_moments, pearson_matrix
+from gaugeboard.operators.profile import moments_sql, numeric_moments, pearson_matrix, struct_sql
 
 OUTLIER_Z = 3.0
 TREND_PERCENT = 20.0
@@ -149,7 +149,7 @@ def insight_aggregates(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     means = _half_means(df, order_by, cols) if cols else []
     return [
         F.count(F.lit(1)).alias("n"),
-        *[F.struct(*moments(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.expr(struct_sql(**moments_sql(df, c))).alias(f"m{i}") for i, c in enumerate(cols)],
         *means,
     ]
 

@@ -16,10 +16,14 @@ from gaugeboard.functions.kinds import (
     TEMPORAL,
     default_xy,
     default_xyz,
+    double_literal,
     kind,
     number,
+    number_sql,
     numeric_cols,
     present,
+    quoted,
+    text_literal,
 )
 from gaugeboard.operators.quantiles import exact_quantiles
 
@@ -32,7 +36,18 @@ PAIRS_PER_PASS = 60
 
 
 def _col(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(quoted(name))
+
+
+def struct_sql(**fields: str) -> str:
+    """SQL text of a struct with the given fields."""
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
+
+
+def _rows(df: DataFrame, structs: Sequence[str]) -> DataFrame:
+    """Aggregate ``df`` once and return one row per struct."""
+    agg = df.agg(*[F.expr(sql).alias(f"c{i}") for i, sql in enumerate(structs)])
+    return agg.selectExpr("inline(array(" + ", ".join(f"c{i}" for i in range(len(structs))) + "))")
 
 
 def _long(agg: DataFrame, structs: Sequence[str]) -> DataFrame:
@@ -47,20 +62,19 @@ def dataset_shape(df: DataFrame) -> DataFrame:
 
 def schema_listing(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, kind and how many values it holds."""
-    fields = df.schema.fields
-    agg = df.agg(
-        *[
-            F.struct(
-                F.lit(i).cast("bigint").alias("ordinal"),
-                F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("type"),
-                F.lit(kind(f.dataType)).alias("kind"),
-                F.count(_col(f.name)).alias("n_values"),
-            ).alias(f"c{i}")
-            for i, f in enumerate(fields)
-        ]
+    return _rows(
+        df,
+        [
+            struct_sql(
+                ordinal=f"{i}L",
+                column=text_literal(f.name),
+                type=text_literal(f.dataType.simpleString()),
+                kind=text_literal(kind(f.dataType)),
+                n_values=f"count({quoted(f.name)})",
+            )
+            for i, f in enumerate(df.schema.fields)
+        ],
     )
-    return _long(agg, [f"c{i}" for i in range(len(fields))])
 
 
 def top_categories(df: DataFrame, col: str, n: int = TOP_CATEGORIES) -> DataFrame:
@@ -85,14 +99,14 @@ def column_summary(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def moments(df: DataFrame, name: str) -> list[Column]:
-    value = number(df, name)
-    return [
-        F.avg(value).alias("mean"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"),
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
-    ]
+def moments_sql(df: DataFrame, name: str) -> dict[str, str]:
+    value = number_sql(df, name)
+    return {
+        "mean": f"avg({value})",
+        "std": f"coalesce(stddev_samp({value}), 0D)",
+        "max": f"max({value})",
+        "min": f"min({value})",
+    }
 
 
 def numeric_moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -102,13 +116,9 @@ def numeric_moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         return df.sparkSession.createDataFrame(
             [], "ordinal bigint, `column` string, mean double, std double, max double, min double"
         )
-    agg = df.agg(
-        *[
-            F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(c).alias("column"), *moments(df, c)).alias(f"m{i}")
-            for i, c in enumerate(cols)
-        ]
+    return _rows(
+        df, [struct_sql(ordinal=f"{i}L", column=text_literal(c), **moments_sql(df, c)) for i, c in enumerate(cols)]
     )
-    return _long(agg, [f"m{i}" for i in range(len(cols))])
 
 
 def describe(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -116,61 +126,66 @@ def describe(df: DataFrame, exact: bool = True) -> DataFrame:
 
     ``exact=False`` takes the median from a sketch in the same pass.
     """
-    numeric = numeric_cols(df)
-    medians = {c: F.lit(v[0]).cast("double") for c, v in exact_quantiles(df, numeric, [0.5]).items()} if exact else {}
+    medians = exact_quantiles(df, numeric_cols(df), [0.5]) if exact else {}
     structs = []
     for i, f in enumerate(df.schema.fields):
-        is_number = kind(f.dataType) == NUMERIC
-        value = number(df, f.name) if is_number else F.lit(None).cast("double")
-        text = _col(f.name) if kind(f.dataType) in (CATEGORICAL, TEMPORAL) else F.lit(None)
-        median = medians.get(f.name, F.percentile_approx(value, 0.5)).cast("double")
-        counted = value if is_number else _col(f.name)
+        what, name = kind(f.dataType), quoted(f.name)
+        value = number_sql(df, f.name) if what == NUMERIC else None
+        median = double_literal(medians[f.name][0]) if f.name in medians else f"percentile_approx({value}, 0.5D)"
+        text = name if what in (CATEGORICAL, TEMPORAL) else None
         structs.append(
-            F.struct(
-                F.lit(i).cast("bigint").alias("ordinal"),
-                F.lit(f.name).alias("column"),
-                F.count(counted).alias("n_values"),
-                F.avg(value).alias("mean"),
-                F.stddev_samp(value).alias("std"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-                (median if is_number else F.lit(None).cast("double")).alias("median"),
-                F.min(text).cast("string").alias("min_text"),
-                F.max(text).cast("string").alias("max_text"),
-            ).alias(f"d{i}")
+            struct_sql(
+                ordinal=f"{i}L",
+                column=text_literal(f.name),
+                n_values=f"count({value or name})",
+                **{
+                    out: f"CAST({sql} AS DOUBLE)" if value else "CAST(NULL AS DOUBLE)"
+                    for out, sql in {
+                        "mean": f"avg({value})",
+                        "std": f"stddev_samp({value})",
+                        "min": f"min({value})",
+                        "max": f"max({value})",
+                        "median": median,
+                    }.items()
+                },
+                **{f"{end}_text": f"CAST({end}({text}) AS STRING)" if text else "CAST(NULL AS STRING)" for end in ("min", "max")},
+            )
         )
-    return _long(df.agg(*structs), [f"d{i}" for i in range(len(structs))])
-
-
-class _Column:
-    """A numeric column shifted towards zero, so that plain sums stay accurate."""
+    return _rows(df, structs)
 
-    def __init__(self, df: DataFrame, name: str, facts):
-        self.name = name
-        self.complete = facts["n"] == facts["rows"]
-        shift = facts["low"] if facts["low"] == facts["high"] else facts["mean"]
-        self.value = number(df, name) - F.lit(shift).cast("double")
 
+def _pair_sums(df: DataFrame, names: tuple[str, str], facts: dict) -> dict[str, str]:
+    """SQL sums over the rows where both columns are present, shifted towards zero.
 
-def _pair_sums(a: _Column, b: _Column) -> list[Column]:
-    """Sums over the rows where both are present: n, x, y, xx, yy, xy, and the ranges."""
-    x, y = a.value, b.value
-    if not (a.complete and b.complete):
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-    out = {"n": F.count(x), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "yy": F.sum(y * y), "xy": F.sum(x * y)}
-    out |= {"x_flat": F.min(x) == F.max(x), "y_flat": F.min(y) == F.max(y)}
-    return [c.alias(n) for n, c in out.items()]
-
-
-def _pair_corr(s: Column) -> Column:
-    """Pearson correlation from ``_pair_sums``; NULL where a side is constant."""
-    n = s.getField("n")
-    cov = s.getField("xy") - F.try_divide(s.getField("x") * s.getField("y"), n)
-    var_x = s.getField("xx") - F.try_divide(s.getField("x") * s.getField("x"), n)
-    var_y = s.getField("yy") - F.try_divide(s.getField("y") * s.getField("y"), n)
-    flat = s.getField("x_flat") | s.getField("y_flat")
-    return F.when(~flat, F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
+    Shifting by the mean keeps plain sums accurate, and plain sums are the cheapest
+    aggregates; equal ones of different pairs are computed once.
+    """
+    shifted = []
+    for c in names:
+        shift = facts[c]["low"] if facts[c]["low"] == facts[c]["high"] else facts[c]["mean"]
+        shifted.append(f"({number_sql(df, c)} - {double_literal(shift)})")
+    x, y = shifted
+    if not all(facts[c]["complete"] for c in names):
+        both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+        x, y = (f"CASE WHEN {both} THEN {v} END" for v in (x, y))
+    return {
+        "n": f"count({x})",
+        "x": f"sum({x})",
+        "y": f"sum({y})",
+        "xx": f"sum({x} * {x})",
+        "yy": f"sum({y} * {y})",
+        "xy": f"sum({x} * {y})",
+        "x_flat": f"min({x}) = max({x})",
+        "y_flat": f"min({y}) = max({y})",
+    }
+
+
+def _pair_corr(at: dict[str, str]) -> str:
+    """SQL correlation from the columns that hold ``_pair_sums``; NULL for a constant side."""
+    cov = f"({at['xy']} - try_divide({at['x']} * {at['y']}, {at['n']}))"
+    var_x = f"({at['xx']} - try_divide({at['x']} * {at['x']}, {at['n']}))"
+    var_y = f"({at['yy']} - try_divide({at['y']} * {at['y']}, {at['n']}))"
+    return f"CASE WHEN NOT ({at['x_flat']} OR {at['y_flat']}) THEN try_divide({cov}, sqrt({var_x}) * sqrt({var_y})) END"
 
 
 def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -182,31 +197,28 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     cols = numeric_cols(df) if cols is None else list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    facts = df.agg(
+    found = df.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[
-            F.struct(
-                F.count(F.lit(1)).alias("rows"),
-                F.count(number(df, c)).alias("n"),
-                F.avg(number(df, c)).alias("mean"),
-                F.min(number(df, c)).alias("low"),
-                F.max(number(df, c)).alias("high"),
-            ).alias(f"f{i}")
-            for i, c in enumerate(cols)
-        ]
+            F.expr(struct_sql(n=f"count({v})", mean=f"avg({v})", low=f"min({v})", high=f"max({v})")).alias(f"f{i}")
+            for i, v in enumerate(number_sql(df, c) for c in cols)
+        ],
     ).first()
-    columns = [_Column(df, c, facts[f"f{i}"]) for i, c in enumerate(cols)]
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    facts = {c: found[f"f{i}"].asDict() for i, c in enumerate(cols)}
+    for fact in facts.values():
+        fact["complete"] = fact["n"] == found["rows"]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         block = pairs[start : start + PAIRS_PER_PASS]
-        sums = df.agg(*[F.struct(*_pair_sums(a, b)).alias(f"s{i}") for i, (a, b) in enumerate(block)])
+        sums: dict[str, str] = {}  # SQL text -> name, so that shared sums occur once
         entries = []
-        for i, (a, b) in enumerate(block):
-            for x, y in dict.fromkeys([(a.name, b.name), (b.name, a.name)]):
-                entries.append(
-                    F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), _pair_corr(F.col(f"s{i}")).alias("corr"))
-                )
-        part = sums.select(F.inline(F.array(*entries)))
+        for a, b in block:
+            at = {k: sums.setdefault(sql, f"s{len(sums)}") for k, sql in _pair_sums(df, (a, b), facts).items()}
+            for x, y in dict.fromkeys([(a, b), (b, a)]):
+                entries.append(struct_sql(col_a=text_literal(x), col_b=text_literal(y), corr=_pair_corr(at)))
+        totals = df.agg(*[F.expr(sql).alias(name) for sql, name in sums.items()])
+        part = totals.selectExpr(f"inline(array({', '.join(entries)}))")
         out = part if out is None else out.unionByName(part)
     return out
 
