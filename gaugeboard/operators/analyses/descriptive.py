@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeboard.functions.kinds import number, numeric_cols
+from gaugeboard.functions.kinds import number, number_sql, numeric_cols, text_literal
 from gaugeboard.operators.ordered import running_totals
+from gaugeboard.operators.profile import pearson_matrix
 from gaugeboard.operators.quantiles import exact_quantiles
+from gaugeboard.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 DECILES = tuple(i / 10 for i in range(11))
@@ -38,9 +40,7 @@ def descriptive(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def modes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Most frequent value per column, the smallest of equally frequent ones."""
     cols = numeric_cols(df) if cols is None else list(cols)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("value")) for c in cols])
-    counted = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("column").agg(F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("b"))
+    best = _value_counts(df, cols).groupBy("column").agg(F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("b"))
     return best.select("column", (-F.col("b.neg")).alias("mode"), F.col("b.n").alias("n"))
 
 
@@ -51,45 +51,61 @@ def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = DECILES) ->
     return df.agg(F.count(number(df, col)).alias("n")).where(F.col("n") > 0).select(F.inline(F.array(*entries)))
 
 
-def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """(value, average rank) of each distinct value; equal values share a rank."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running_totals(counted, [], [value], {"__upto": "__n"})
-    return ranked.select(value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, rank) of each distinct value; equal values share their mean rank.
 
+    All columns are ranked in one pass: values are counted, and running counts over
+    the range-partitioned counts give the ranks.
+    """
+    counted = _value_counts(df, cols)
+    ranked = running_totals(counted, ["column"], ["value"], {"upto": "n"})
+    return ranked.select("column", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows per (column, value), missing values left out."""
+    pairs = ", ".join(f"named_struct('column', {text_literal(c)}, 'value', {number_sql(df, c)})" for c in cols)
+    long = df.selectExpr(f"inline(array({pairs}))").where(F.col("value").isNotNull())
+    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
-def spearman(df: DataFrame, col_a: str, col_b: str) -> DataFrame:
-    """Rank correlation of two columns, one row (col_a, col_b, corr).
 
-    Equal pairs are counted before the rank joins, and weigh in by their count.
+def _rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson matrix of the ranks of columns without missing values.
+
+    Each column is joined to its own ranks; adaptive execution broadcasts short
+    rank lists and splits the join on a very common value.
     """
-    pairs = df.select(number(df, col_a).alias("a"), number(df, col_b).alias("b")).where(
-        F.col("a").isNotNull() & F.col("b").isNotNull()
-    )
-    ranks_a = average_ranks(pairs.select("a"), "a", "ra")
-    ranks_b = average_ranks(pairs.select("b"), "b", "rb")
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(ranks_a, "a").join(ranks_b, "b")
-    n = F.sum("n")
-    # Both mean ranks are (n + 1) / 2, so the sums are centred beforehand.
-    middle = (pairs.agg(F.count(F.lit(1))).scalar() + 1) / 2
-    centred = joined.select("n", (F.col("ra") - middle).alias("x"), (F.col("rb") - middle).alias("y"))
-    cov = F.sum(F.col("n") * F.col("x") * F.col("y"))
-    spread = F.sqrt(F.sum(F.col("n") * F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("n") * F.col("y") * F.col("y")))
-    out = centred.agg(F.try_divide(cov, spread).alias("corr"), n.alias("n"))
-    return out.select(F.lit(col_a).alias("col_a"), F.lit(col_b).alias("col_b"), "corr")
+    ranks = materialize(average_ranks(df, cols), "ranks")
+    out = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    for i, c in enumerate(cols):
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        out = out.join(own, f"v{i}")
+    ranked = materialize(out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)]), "ranked")
+    return pearson_matrix(ranked, cols)
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Rank correlation of every pair of different columns."""
+    """Rank correlation of every pair of different columns, over rows complete in both.
+
+    Columns without gaps are ranked together; a pair with gaps is ranked on its own rows.
+    """
     cols = numeric_cols(df) if cols is None else list(cols)
-    out = None
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            part = spearman(df, a, b)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    gaps = df.agg(*[F.count_if(number(df, c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    complete = [c for i, c in enumerate(cols) if not gaps[f"g{i}"]]
+    order = {c: i for i, c in enumerate(cols)}
+    parts = []
+    if len(complete) > 1:
+        matrix = _rank_correlations(df, complete)
+        wanted = [f"{text_literal(a)} || '\t' || {text_literal(b)}" for a in complete for b in complete if order[a] < order[b]]
+        parts.append(matrix.where(F.expr(f"col_a || '\t' || col_b IN ({', '.join(wanted)})")))
+    for a in cols:
+        for b in cols:
+            if order[a] < order[b] and not (a in complete and b in complete):
+                both = df.where(number(df, a).isNotNull() & number(df, b).isNotNull()).select(a, b)
+                parts.append(_rank_correlations(both, [a, b]).where((F.col("col_a") == a) & (F.col("col_b") == b)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
-
-

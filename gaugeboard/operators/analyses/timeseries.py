@@ -91,9 +91,13 @@ def exponential_smoothing(p: DataFrame, series: Sequence[str] = (), alpha: float
     return p.groupBy(*series).agg(ordered.alias("__s")).select(*series, folded.alias("forecast"))
 
 
+def _steps(horizon: int) -> Column:
+    return F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(horizon).cast("bigint")))
+
+
 def _future(p: DataFrame, series: Sequence[str], horizon: int) -> DataFrame:
     last = p.groupBy(*series).agg(F.max("t").alias("__last"))
-    return last.select(*series, "__last", F.explode(F.sequence(F.lit(1), F.lit(horizon))).cast("bigint").alias("step"))
+    return last.select(*series, "__last", _steps(horizon).alias("step"))
 
 
 def seasonal_naive(p: DataFrame, series: Sequence[str] = (), season: int = SEASON, horizon: int = HORIZON) -> DataFrame:
@@ -109,5 +113,5 @@ def linear_forecast(p: DataFrame, series: Sequence[str] = (), horizon: int = HOR
     """The trend line continued."""
     slope, intercept = F.regr_slope("y", "t"), F.regr_intercept("y", "t")
     lines = p.groupBy(*series).agg(slope.alias("__m"), intercept.alias("__b"), F.max("t").alias("__last"))
-    steps = lines.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))).cast("bigint"))
+    steps = lines.withColumn("step", _steps(horizon))
     return steps.select(*series, "step", (F.col("__b") + F.col("__m") * (F.col("__last") + F.col("step"))).alias("forecast"))

@@ -16,13 +16,6 @@ FEED_PAGE = 50
 PAGE_SIZE = 1000
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    test = F.lit(True)
-    for k in keys:
-        test = test & left[k].eqNullSafe(right[k])
-    return test
-
-
 def tenant_filter(df: DataFrame, tenant_col: str, tenant) -> DataFrame:
     """Rows of one tenant; store tables partitioned by tenant to prune files."""
     return df.where(F.col(tenant_col) == tenant)
@@ -167,13 +160,15 @@ def nested_children(
 
 
 def members(df: DataFrame, key: str, allowed: DataFrame, allowed_key: str) -> DataFrame:
-    """Rows whose key occurs in another table."""
-    return df.join(allowed, df[key] == allowed[allowed_key], "left_semi")
+    """Rows whose key occurs in another table; repeated keys there shuffle once."""
+    keys = allowed.select(allowed_key).distinct()
+    return df.join(keys, df[key] == keys[allowed_key], "left_semi")
 
 
 def without_child(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
-    """Parents that have no child."""
-    return parent.join(child, parent[pk] == child[fk], "left_anti")
+    """Parents that have no child; repeated foreign keys shuffle once."""
+    used = child.select(fk).distinct()
+    return parent.join(used, parent[pk] == used[fk], "left_anti")
 
 
 def cascade(root: DataFrame, chain: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:

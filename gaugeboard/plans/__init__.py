@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("profile_queries",)
+_MODULES = ("profile_queries", "catalog_queries", "scalar_queries", "file_queries", "stream_queries", "analysis_queries")
 
 
 def all_queries():

@@ -13,8 +13,8 @@ CORRUPT = "_corrupt_record"
 PREVIEW_ROWS = 100
 
 
-def _reader(spark: SparkSession, mode: str, sep: str):
-    return spark.read.option("header", True).option("mode", mode).option("sep", sep)
+def _reader(spark: SparkSession, mode: str, sep: str, header: bool = True):
+    return spark.read.option("header", header).option("mode", mode).option("sep", sep)
 
 
 def infer_csv_schema(spark: SparkSession, path: str, sep: str = ",", dates_as_strings: bool = False) -> T.StructType:
@@ -49,16 +49,24 @@ def csv_preview(spark: SparkSession, path: str, n: int = PREVIEW_ROWS, sep: str
     return _reader(spark, "PERMISSIVE", sep).csv(path).limit(n)
 
 
-def csv_audit(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Good and bad rows per file: wrong field count or a cell of the wrong type."""
+def csv_audit(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True
+) -> DataFrame:
+    """Per file: rows, good rows, bad rows (wrong field count or a bad cell), filled cells."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     parsed = (
-        _reader(spark, "PERMISSIVE", sep).option("columnNameOfCorruptRecord", CORRUPT).schema(with_corrupt).csv(path)
+        _reader(spark, "PERMISSIVE", sep, header)
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .schema(with_corrupt)
+        .csv(path)
     )
-    # Every declared column takes part, so the parser checks them all.
-    present = F.count_if(F.col(CORRUPT).isNull() & F.struct(*[F.col(f"`{n}`") for n in schema.names]).isNotNull())
+    # Counting the filled cells makes the parser check every declared column.
+    filled = [F.col(f"`{n}`").isNotNull().cast("bigint") for n in schema.names]
     return parsed.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.count(F.lit(1)).alias("rows"), present.alias("good_rows"), F.count(CORRUPT).alias("bad_rows")
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(CORRUPT).isNull()).alias("good_rows"),
+        F.count(CORRUPT).alias("bad_rows"),
+        F.sum(sum(filled[1:], filled[0])).alias("filled_cells"),
     )
 
 
