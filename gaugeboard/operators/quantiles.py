@@ -15,14 +15,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gaugeboard.functions.kinds import number
+from gaugeboard.functions.kinds import double_literal, number, number_sql
 from gaugeboard.operators.ordered import running_totals
 
-# Values read out at once, and the resolution of the proposed cuts.
+# Values read out at once; size of a sketch; share of the values its cuts may be off.
 READ_OUT = 100_000
-ACCURACY = 10_000
+SKETCH_SIZE = 8192
+MARGIN = 0.001
 
 
 def _wanted_ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -32,16 +33,6 @@ def _wanted_ranks(n: int, p: float) -> tuple[int, int, float]:
     return low, math.ceil(place), place - low
 
 
-def _inside(value: Column, low: float | None, high: float | None) -> Column:
-    """Strictly between two cuts; an open end is not limited."""
-    test = value.isNotNull()
-    if low is not None:
-        test = test & (value > F.lit(low))
-    if high is not None:
-        test = test & (value < F.lit(high))
-    return test
-
-
 class _Interval:
     """Open interval of one column that holds some wanted ranks.
 
@@ -53,59 +44,88 @@ class _Interval:
         self.before, self.size = before, size
         self.low, self.high = low, high
 
+    def inside(self, value: str) -> str:
+        """SQL test: strictly between the ends; an open end is not limited."""
+        tests = [f"{value} IS NOT NULL"]
+        if self.low is not None:
+            tests.append(f"{value} > {double_literal(self.low)}")
+        if self.high is not None:
+            tests.append(f"{value} < {double_literal(self.high)}")
+        return " AND ".join(tests)
+
+
+def _aggregate(df: DataFrame, parts: list[_Interval], sql) -> list:
+    """One aggregate per interval, all in one pass, brought to the driver."""
+    exprs = []
+    for part in parts:
+        value = number_sql(df, part.column)
+        exprs.append(sql(part, f"CASE WHEN {part.inside(value)} THEN {value} END"))
+    return list(df.agg(*[F.expr(e).alias(f"a{i}") for i, e in enumerate(exprs)]).first())
+
 
 def _read_out(df: DataFrame, parts: list[_Interval], found: dict) -> None:
-    """Pick the wanted ranks from intervals of bounded size, in one pass."""
-    picks = []
-    for i, part in enumerate(parts):
-        value = number(df, part.column)
-        ordered = F.sort_array(F.collect_list(F.when(_inside(value, part.low, part.high), value)))
-        picks += [F.get(ordered, F.lit(r - part.before)).alias(f"v{i}_{r}") for r in part.ranks]
-    row = df.agg(*picks).first()
-    for i, part in enumerate(parts):
-        for r in part.ranks:
-            found[part.column, r] = row[f"v{i}_{r}"]
+    """Pick the wanted ranks from intervals of bounded size."""
+
+    def picks(part: _Interval, value: str) -> str:
+        places = ", ".join(str(r - part.before) for r in part.ranks)
+        return f"transform(array({places}), r -> get(v, r))".join(
+            ("element_at(transform(array(sort_array(collect_list(" + value + "))), v -> ", "), 1)")
+        )
+
+    for part, values in zip(parts, _aggregate(df, parts, picks)):
+        found.update({(part.column, r): v for r, v in zip(part.ranks, values)})
+
+
+def _sketch_cuts(part: _Interval, value: str) -> str:
+    """SQL array of values near the wanted ranks, below and above them."""
+    shares = set()
+    for r in part.ranks:
+        share = (r - part.before + 0.5) / part.size
+        shares |= {max(0.0, share - MARGIN), share, min(1.0, share + MARGIN)}
+    listed = ", ".join(double_literal(s) for s in sorted(shares))
+    return f"kll_sketch_get_quantile_double(kll_sketch_agg_double({value}, {SKETCH_SIZE}), array({listed}))"
+
+
+def _place(cuts: list[float], first: int = 0, end: int | None = None) -> str:
+    """SQL place of ``v`` among the cuts: 2i below cut i (and above the one before), 2i + 1 on it."""
+    end = len(cuts) if end is None else end
+    if first == end:
+        return str(2 * first)
+    middle = (first + end) // 2
+    cut = double_literal(cuts[middle])
+    below, above = _place(cuts, first, middle), _place(cuts, middle + 1, end)
+    return f"CASE WHEN v < {cut} THEN {below} WHEN v = {cut} THEN {2 * middle + 1} ELSE {above} END"
 
 
 def _narrow(df: DataFrame, parts: list[_Interval], found: dict) -> list[_Interval]:
-    """One sketch pass and one counting pass; returns the intervals still open."""
-    sketches = []
-    for i, part in enumerate(parts):
-        value = number(df, part.column)
-        shares = set()
-        for r in part.ranks:
-            share = (r - part.before + 0.5) / part.size
-            shares |= {max(0.0, share - 2 / ACCURACY), min(1.0, share), min(1.0, share + 2 / ACCURACY)}
-        sketches.append(
-            F.percentile_approx(F.when(_inside(value, part.low, part.high), value), sorted(shares), ACCURACY).alias(f"c{i}")
-        )
-    proposed = df.agg(*sketches).first()
-    cuts = [sorted(set(proposed[f"c{i}"])) for i in range(len(parts))]
-    counts = []
+    """One sketch pass and one counting pass; returns the intervals still open.
+
+    Counting reads each column on its own, which costs no more than reading them
+    together and keeps the generated code short.
+    """
+    cuts = [sorted(set(c)) for c in _aggregate(df, parts, _sketch_cuts)]
+    placed = None
     for i, part in enumerate(parts):
-        value = number(df, part.column)
-        inside = _inside(value, part.low, part.high)
-        for j, cut in enumerate(cuts[i]):
-            counts.append(F.count_if(inside & (value < F.lit(cut))).alias(f"b{i}_{j}"))
-            counts.append(F.count_if(inside & (value <= F.lit(cut))).alias(f"u{i}_{j}"))
-    counted = df.agg(*counts).first()
+        values = df.selectExpr(f"{number_sql(df, part.column)} AS v").where(part.inside("v"))
+        places = values.selectExpr(f"{i} AS part", f"{_place(cuts[i])} AS place")
+        placed = places if placed is None else placed.unionByName(places)
+    counted = placed.groupBy("part", "place").agg(F.count(F.lit(1)).alias("n"))
+    # A few places per interval.
+    counts = {(row["part"], row["place"]): row["n"] for row in counted.collect()}
 
     still_open = []
     for i, part in enumerate(parts):
-        edges = [(part.low, part.before)]  # (cut, values at or below it)
-        gaps = []  # (low, at_or_below_low, high, below_high)
-        for j, cut in enumerate(cuts[i]):
-            below, upto = part.before + counted[f"b{i}_{j}"], part.before + counted[f"u{i}_{j}"]
-            for r in part.ranks:
-                if below <= r < upto:
-                    found[part.column, r] = cut
-            gaps.append((*edges[-1], cut, below))
-            edges.append((cut, upto))
-        gaps.append((*edges[-1], part.high, part.before + part.size))
-        for low, start, high, end in gaps:
-            ranks = [r for r in part.ranks if start <= r < end and (part.column, r) not in found]
-            if ranks:
+        start, low = part.before, part.low
+        for place in range(2 * len(cuts[i]) + 1):
+            end = start + counts.get((i, place), 0)
+            ranks = [r for r in part.ranks if start <= r < end]
+            if place % 2:
+                low = cuts[i][place // 2]
+                found.update({(part.column, r): low for r in ranks})
+            elif ranks:
+                high = cuts[i][place // 2] if place // 2 < len(cuts[i]) else part.high
                 still_open.append(_Interval(part.column, ranks, start, end - start, low, high))
+            start = end
     return still_open
 
 
@@ -116,7 +136,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """
     if not cols:
         return {}
-    sizes = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    sizes = df.agg(*[F.expr(f"count({number_sql(df, c)})").alias(f"n{i}") for i, c in enumerate(cols)]).first()
     n_of = {c: sizes[f"n{i}"] for i, c in enumerate(cols)}
     found: dict[tuple[str, int], float] = {}
     parts = []
