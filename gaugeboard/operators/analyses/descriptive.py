@@ -10,7 +10,6 @@ from gaugeboard.functions.kinds import number, number_sql, numeric_cols, text_li
 from gaugeboard.operators.ordered import running_totals
 from gaugeboard.operators.profile import pearson_matrix
 from gaugeboard.operators.quantiles import exact_quantiles
-from gaugeboard.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 DECILES = tuple(i / 10 for i in range(11))
@@ -69,19 +68,21 @@ def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson matrix of the ranks of columns without missing values.
+def _rank_correlations(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
+    """Pearson matrix of the ranks of columns without missing values in ``n`` rows.
 
     Each column is joined to its own ranks; adaptive execution broadcasts short
     rank lists and splits the join on a very common value.
     """
-    ranks = materialize(average_ranks(df, cols), "ranks")
+    ranks = average_ranks(df, cols)
     out = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     for i, c in enumerate(cols):
         own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
         out = out.join(own, f"v{i}")
-    ranked = materialize(out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)]), "ranked")
-    return pearson_matrix(ranked, cols)
+    # Every rank column has mean (n + 1) / 2, so no pass is needed to find it.
+    fact = {"complete": True, "mean": (n + 1) / 2, "low": 1.0, "high": float(n)}
+    ranked = out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)])
+    return pearson_matrix(ranked, cols, {c: fact for c in cols})
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -92,19 +93,19 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     cols = numeric_cols(df) if cols is None else list(cols)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    gaps = df.agg(*[F.count_if(number(df, c).isNull()).alias(f"g{i}") for i, c in enumerate(cols)]).first()
-    complete = [c for i, c in enumerate(cols) if not gaps[f"g{i}"]]
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    complete = [c for i, c in enumerate(cols) if sizes[f"n{i}"] == sizes["n"]]
     order = {c: i for i, c in enumerate(cols)}
     parts = []
     if len(complete) > 1:
-        matrix = _rank_correlations(df, complete)
+        matrix = _rank_correlations(df, complete, sizes["n"])
         wanted = [f"{text_literal(a)} || '\t' || {text_literal(b)}" for a in complete for b in complete if order[a] < order[b]]
         parts.append(matrix.where(F.expr(f"col_a || '\t' || col_b IN ({', '.join(wanted)})")))
     for a in cols:
         for b in cols:
             if order[a] < order[b] and not (a in complete and b in complete):
                 both = df.where(number(df, a).isNotNull() & number(df, b).isNotNull()).select(a, b)
-                parts.append(_rank_correlations(both, [a, b]).where((F.col("col_a") == a) & (F.col("col_b") == b)))
+                parts.append(_rank_correlations(both, [a, b], both.count()).where((F.col("col_a") == a) & (F.col("col_b") == b)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gaugeboard.functions.kinds import number, numeric_cols
+from gaugeboard.functions.kinds import number, numeric_cols, text_literal
 from gaugeboard.functions.text import fmt_fixed, percent_change
 from gaugeboard.operators.ordered import with_position
+from gaugeboard.operators.quantiles import middle_value
 from gaugeboard.operators.profile import moments_sql, numeric_moments, pearson_matrix, struct_sql
 
 OUTLIER_Z = 3.0
@@ -51,25 +52,29 @@ def outlier_insights(df: DataFrame, z: float = OUTLIER_Z) -> DataFrame:
     )
 
 
-def _middle_key(df: DataFrame, order_by: Sequence[str]) -> Column:
-    """Key of the last row of the first half (floor(n / 2) rows), as a scalar.
+def _first_half(df: DataFrame, order_by: Sequence[str]) -> Column:
+    """Is a row among the first floor(n / 2) rows in the order?
 
-    Only the key columns are ordered; the measured columns never move.
+    Finds the key of the last such row and compares with it, so the measured
+    columns never move.  A whole-number key is found by counting, without a sort.
     """
+    if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, (T.IntegerType, T.LongType)):
+        middle = F.lit(middle_value(df, order_by[0])).cast("bigint")
+        return F.coalesce(F.col(order_by[0]) <= middle, F.lit(False))
     keys = with_position(df.select(*order_by), order_by, "__pos", total="__n")
     row = keys.where(F.col("__pos") == F.floor(F.col("__n") / 2)).select(F.struct(*order_by))
-    return row.scalar()
+    return F.coalesce(F.struct(*order_by) <= row.scalar(), F.lit(False))
 
 
 def _half_means(df: DataFrame, order_by: Sequence[str], cols: Sequence[str]) -> list[Column]:
     """Per column a struct of the means of the two halves, and the row count."""
-    middle = _middle_key(df, order_by)
-    in_first = F.struct(*order_by) <= middle
+    in_first = _first_half(df, order_by)
+
+    def half(name: str, rows: Column) -> Column:
+        return F.avg(F.when(rows, number(df, name)))
+
     return [
-        F.struct(
-            F.avg(F.when(in_first, number(df, c))).alias("first"),
-            F.avg(F.when(~in_first, number(df, c))).alias("second"),
-        ).alias(f"h{i}")
+        F.struct(half(c, in_first).alias("first"), half(c, ~in_first).alias("second")).alias(f"h{i}")
         for i, c in enumerate(cols)
     ]
 
@@ -122,23 +127,31 @@ def insight_array(
     ``with_columns`` adds more columns computed from the same row.
     """
     cols = numeric_cols(df)
-    candidates = []
-    for i, c in enumerate(cols):
-        m = F.col(f"m{i}")
-        z = _z_of_max(m.getField("mean"), m.getField("std"), m.getField("max"))
-        text = F.format_string(OUTLIER_TEXT, fmt_fixed(m.getField("max"), 2), fmt_fixed(m.getField("mean"), 2))
-        found = _insight("outlier", F.lit(OUTLIER_TITLE % c), text, F.lit("warning"))
-        candidates.append(F.when(z > OUTLIER_Z, found))
-    for i, c in enumerate(cols):
-        change = percent_change(F.col(f"h{i}.first"), F.col(f"h{i}.second"))
+    facts = ", ".join(f"named_struct('name', {text_literal(c)}, 'm', m{i}, 'h', h{i})" for i, c in enumerate(cols))
+
+    def outlier(fact: Column) -> Column:
+        m = fact.getField("m")
+        mean, high = m.getField("mean"), m.getField("max")
+        text = F.format_string(OUTLIER_TEXT, fmt_fixed(high, 2), fmt_fixed(mean, 2))
+        found = _insight("outlier", F.format_string(OUTLIER_TITLE, fact.getField("name")), text, F.lit("warning"))
+        return F.when(_z_of_max(mean, m.getField("std"), high) > OUTLIER_Z, found)
+
+    def trend(fact: Column) -> Column:
+        h = fact.getField("h")
+        change = percent_change(h.getField("first"), h.getField("second"))
         up = change > 0
-        title = F.format_string(TREND_TITLE, F.when(up, "Upward").otherwise("Downward"), F.lit(c))
+        title = F.format_string(TREND_TITLE, F.when(up, "Upward").otherwise("Downward"), fact.getField("name"))
         text = F.format_string(TREND_TEXT, F.when(up, "increased").otherwise("decreased"), fmt_fixed(F.abs(change), 1))
         found = _insight("trend", title, text, F.when(up, "positive").otherwise("info"))
-        candidates.append(F.when((F.col("n") > TREND_MIN_ROWS) & (F.abs(change) > TREND_PERCENT), found))
+        return F.when((F.col("n") > TREND_MIN_ROWS) & (F.abs(change) > TREND_PERCENT), found)
+
     kind, title, text, severity = FALLBACK
     fallback = F.array(_insight(kind, F.lit(title), F.lit(text), F.lit(severity)))
-    found = F.array_compact(F.array(*candidates)) if candidates else F.slice(fallback, 1, 0)
+    if cols:
+        listed = F.expr(f"array({facts})")
+        found = F.array_compact(F.concat(F.transform(listed, outlier), F.transform(listed, trend)))
+    else:
+        found = F.slice(fallback, 1, 0)
     chosen = F.when(F.size(found) == 0, fallback).otherwise(found)
     return aggregated.select(F.slice(chosen, 1, keep).alias("insights"), *with_columns)
 

@@ -188,15 +188,8 @@ def _pair_corr(at: dict[str, str]) -> str:
     return f"CASE WHEN NOT ({at['x_flat']} OR {at['y_flat']}) THEN try_divide({cov}, sqrt({var_x}) * sqrt({var_y})) END"
 
 
-def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Correlation of every ordered pair of numeric columns, diagonal included.
-
-    Rows where either column is missing are left out of that pair.  One scan finds
-    the means, a second adds up products of many pairs at once.
-    """
-    cols = numeric_cols(df) if cols is None else list(cols)
-    if not cols:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+def _column_facts(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
+    """Per column: mean, range, and whether no value is missing.  One scan."""
     found = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
@@ -207,6 +200,19 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     facts = {c: found[f"f{i}"].asDict() for i, c in enumerate(cols)}
     for fact in facts.values():
         fact["complete"] = fact["n"] == found["rows"]
+    return facts
+
+
+def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, facts: dict[str, dict] | None = None) -> DataFrame:
+    """Correlation of every ordered pair of numeric columns, diagonal included.
+
+    Rows where either column is missing are left out of that pair.  One scan finds
+    the means (unless ``facts`` gives them), a second adds up products of many pairs.
+    """
+    cols = numeric_cols(df) if cols is None else list(cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    facts = facts or _column_facts(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     out = None
     for start in range(0, len(pairs), PAIRS_PER_PASS):

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeboard.functions.kinds import double_literal, number, number_sql
+from gaugeboard.functions.kinds import double_literal, number, number_sql, quoted
 from gaugeboard.operators.ordered import running_totals
 
 # Values read out at once; size of a sketch; share of the values its cuts may be off.
@@ -33,24 +33,33 @@ def _wanted_ranks(n: int, p: float) -> tuple[int, int, float]:
     return low, math.ceil(place), place - low
 
 
+class _Value:
+    """SQL text of a number to search in, as double or as whole number."""
+
+    def __init__(self, sql: str, whole: bool = False):
+        self.sql = sql
+        self.literal = (lambda v: f"{v}L") if whole else double_literal
+        self.sketch = "bigint" if whole else "double"
+
+
 class _Interval:
     """Open interval of one column that holds some wanted ranks.
 
     ``before`` values lie at or below ``low``; ``size`` values lie inside.
     """
 
-    def __init__(self, column, ranks, before, size, low=None, high=None):
-        self.column, self.ranks = column, sorted(ranks)
+    def __init__(self, column, value, ranks, before, size, low=None, high=None):
+        self.column, self.value, self.ranks = column, value, sorted(ranks)
         self.before, self.size = before, size
         self.low, self.high = low, high
 
-    def inside(self, value: str) -> str:
+    def inside(self, sql: str) -> str:
         """SQL test: strictly between the ends; an open end is not limited."""
-        tests = [f"{value} IS NOT NULL"]
+        tests = [f"{sql} IS NOT NULL"]
         if self.low is not None:
-            tests.append(f"{value} > {double_literal(self.low)}")
+            tests.append(f"{sql} > {self.value.literal(self.low)}")
         if self.high is not None:
-            tests.append(f"{value} < {double_literal(self.high)}")
+            tests.append(f"{sql} < {self.value.literal(self.high)}")
         return " AND ".join(tests)
 
 
@@ -58,7 +67,7 @@ def _aggregate(df: DataFrame, parts: list[_Interval], sql) -> list:
     """One aggregate per interval, all in one pass, brought to the driver."""
     exprs = []
     for part in parts:
-        value = number_sql(df, part.column)
+        value = part.value.sql
         exprs.append(sql(part, f"CASE WHEN {part.inside(value)} THEN {value} END"))
     return list(df.agg(*[F.expr(e).alias(f"a{i}") for i, e in enumerate(exprs)]).first())
 
@@ -83,16 +92,17 @@ def _sketch_cuts(part: _Interval, value: str) -> str:
         share = (r - part.before + 0.5) / part.size
         shares |= {max(0.0, share - MARGIN), share, min(1.0, share + MARGIN)}
     listed = ", ".join(double_literal(s) for s in sorted(shares))
-    return f"kll_sketch_get_quantile_double(kll_sketch_agg_double({value}, {SKETCH_SIZE}), array({listed}))"
+    kind = part.value.sketch
+    return f"kll_sketch_get_quantile_{kind}(kll_sketch_agg_{kind}({value}, {SKETCH_SIZE}), array({listed}))"
 
 
-def _place(cuts: list[float], first: int = 0, end: int | None = None) -> str:
+def _place(cuts: list[str], first: int = 0, end: int | None = None) -> str:
     """SQL place of ``v`` among the cuts: 2i below cut i (and above the one before), 2i + 1 on it."""
     end = len(cuts) if end is None else end
     if first == end:
         return str(2 * first)
     middle = (first + end) // 2
-    cut = double_literal(cuts[middle])
+    cut = cuts[middle]
     below, above = _place(cuts, first, middle), _place(cuts, middle + 1, end)
     return f"CASE WHEN v < {cut} THEN {below} WHEN v = {cut} THEN {2 * middle + 1} ELSE {above} END"
 
@@ -106,8 +116,8 @@ def _narrow(df: DataFrame, parts: list[_Interval], found: dict) -> list[_Interva
     cuts = [sorted(set(c)) for c in _aggregate(df, parts, _sketch_cuts)]
     placed = None
     for i, part in enumerate(parts):
-        values = df.selectExpr(f"{number_sql(df, part.column)} AS v").where(part.inside("v"))
-        places = values.selectExpr(f"{i} AS part", f"{_place(cuts[i])} AS place")
+        values = df.selectExpr(f"{part.value.sql} AS v").where(part.inside("v"))
+        places = values.selectExpr(f"{i} AS part", f"{_place([part.value.literal(c) for c in cuts[i]])} AS place")
         placed = places if placed is None else placed.unionByName(places)
     counted = placed.groupBy("part", "place").agg(F.count(F.lit(1)).alias("n"))
     # A few places per interval.
@@ -124,11 +134,23 @@ def _narrow(df: DataFrame, parts: list[_Interval], found: dict) -> list[_Interva
                 found.update({(part.column, r): low for r in ranks})
             elif ranks:
                 high = cuts[i][place // 2] if place // 2 < len(cuts[i]) else part.high
-                still_open.append(_Interval(part.column, ranks, start, end - start, low, high))
+                still_open.append(_Interval(part.column, part.value, ranks, start, end - start, low, high))
             start = end
     return still_open
 
 
+def _search(df: DataFrame, parts: list[_Interval]) -> dict[tuple[str, int], float]:
+    """The values at all wanted ranks."""
+    found: dict[tuple[str, int], float] = {}
+    while parts:
+        small = [p for p in parts if p.size <= READ_OUT]
+        if small:
+            _read_out(df, small, found)
+        large = [p for p in parts if p.size > READ_OUT]
+        parts = _narrow(df, large, found) if large else []
+    return found
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Interpolated quantiles per column, as ``percentile`` defines them.
 
@@ -138,18 +160,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
         return {}
     sizes = df.agg(*[F.expr(f"count({number_sql(df, c)})").alias(f"n{i}") for i, c in enumerate(cols)]).first()
     n_of = {c: sizes[f"n{i}"] for i, c in enumerate(cols)}
-    found: dict[tuple[str, int], float] = {}
     parts = []
     for c in cols:
         if n_of[c]:
             ranks = {r for p in probs for r in _wanted_ranks(n_of[c], p)[:2]}
-            parts.append(_Interval(c, ranks, 0, n_of[c]))
-    while parts:
-        small = [p for p in parts if p.size <= READ_OUT]
-        if small:
-            _read_out(df, small, found)
-        large = [p for p in parts if p.size > READ_OUT]
-        parts = _narrow(df, large, found) if large else []
+            parts.append(_Interval(c, _Value(number_sql(df, c)), ranks, 0, n_of[c]))
+    found = _search(df, parts)
 
     def interpolate(column: str, p: float) -> float | None:
         if not n_of[column]:
@@ -161,6 +177,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return {c: [interpolate(c, p) for p in probs] for c in cols}
 
 
+def middle_value(df: DataFrame, col: str) -> int | None:
+    """The value of rank floor(n / 2), counted from 1, of a whole-number column."""
+    value = f"CAST({quoted(col)} AS BIGINT)"
+    n = df.agg(F.expr(f"count({value})")).first()[0]
+    if n < 2:
+        return None
+    rank = n // 2 - 1
+    return _search(df, [_Interval(col, _Value(value, whole=True), [rank], 0, n)])[col, rank]
+
+
 def grouped_quantiles(df: DataFrame, group_by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group: group columns and one column per entry of ``probs``."""
     groups = list(group_by)
