@@ -38,7 +38,8 @@ def fmt_fixed(c: Column, digits: int) -> Column:
     rest = F.lpad((scaled - carry * F.lit(10**digits)).cast("string"), max(digits, 1), "0")
     text = F.concat(whole_text, F.lit("."), rest) if digits else whole_text
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(size < F.lit(_FIXED_LIMIT), F.concat(sign, text)).otherwise(F.printf(F.lit(f"%.{digits}f"), c))
+    short = size < F.lit(_FIXED_LIMIT)
+    return F.when(short, F.concat(sign, text)).when(~short, F.printf(F.lit(f"%.{digits}f"), c))
 
 
 def strip_extension(c: Column) -> Column:

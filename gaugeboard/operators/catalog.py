@@ -217,7 +217,7 @@ def invite_state(found: Column, revoked: Column, expires: Column, uses: Column,
     )
 
 
-def audit_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def audit_unique(df: DataFrame, keys: Sequence[str], count: str = "n") -> DataFrame:
     """Key values that occur more than once, with their count.
 
     A key with a NULL part is never a duplicate, as in a unique index.
@@ -225,7 +225,8 @@ def audit_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     complete = df
     for k in keys:
         complete = complete.where(F.col(k).isNotNull())
-    return complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    counted = complete.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    return counted.withColumnRenamed("__n", count)
 
 
 def audit_fk(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
