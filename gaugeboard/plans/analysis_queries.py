@@ -73,19 +73,23 @@ def an_quantiles(t: Tables):
 
 # ---- time series -----------------------------------------------------------
 
-_MONTHS_SQL = """(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS y,
+_MONTHS_SQL = """(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice * 0.91374659::DOUBLE) AS y,
                          row_number() OVER (ORDER BY CAST(date_trunc('month', o_orderdate) AS DATE)) - 1 AS t FROM orders GROUP BY 1)"""
-_SERIES_SQL = """(SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS y,
+_SERIES_SQL = """(SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice * 0.91374659::DOUBLE) AS y,
                          row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(date_trunc('month', o_orderdate) AS DATE)) - 1 AS t
                   FROM orders GROUP BY 1, 2)"""
 
 
+# Prices in another currency; the many decimals keep sums off rounding borders.
+RATE = 0.91374659
+
+
 def _months(t: Tables):
-    return ts.periods(t.orders, "o_orderdate", F.col("o_totalprice"))
+    return ts.periods(t.orders, "o_orderdate", F.col("o_totalprice") * RATE)
 
 
 def _series(t: Tables):
-    return ts.periods(t.orders, "o_orderdate", F.col("o_totalprice"), series=["o_orderpriority"])
+    return ts.periods(t.orders, "o_orderdate", F.col("o_totalprice") * RATE, series=["o_orderpriority"])
 
 
 @query("an_ts_periods", f"SELECT period, round(y, 2) AS y, t FROM {_MONTHS_SQL}")
@@ -95,11 +99,11 @@ def an_ts_periods(t: Tables):
 
 @query(
     "an_ts_moving_avg",
-    f"""SELECT period, round(y, 2) AS y, t, round(avg(y) OVER (ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS moving_avg
+    f"""SELECT period, round(y, 2) AS y, t, round(avg(y) OVER (ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS moving_avg
         FROM {_MONTHS_SQL}""",
 )
 def an_ts_moving_avg(t: Tables):
-    return rounded(rounded(ts.moving_average(_months(t)), 2, ("y",)), 4, ("moving_avg",))
+    return rounded(ts.moving_average(_months(t)), 2)
 
 
 @query(
@@ -114,11 +118,11 @@ def an_ts_growth(t: Tables):
 
 @query(
     "an_ts_trend",
-    f"""SELECT o_orderpriority, round(regr_slope(y, t), 4) AS slope, round(regr_intercept(y, t), 4) AS intercept, count(*) AS n
+    f"""SELECT o_orderpriority, round(regr_slope(y, t), 2) AS slope, round(regr_intercept(y, t), 2) AS intercept, count(*) AS n
         FROM {_SERIES_SQL} GROUP BY 1""",
 )
 def an_ts_trend(t: Tables):
-    return rounded(ts.trend_line(_series(t), ["o_orderpriority"]), 4)
+    return rounded(ts.trend_line(_series(t), ["o_orderpriority"]), 2)
 
 
 _DECOMPOSED_SQL = f"""
@@ -132,18 +136,18 @@ _DECOMPOSED_SQL = f"""
      SELECT tr.*, s.seasonal FROM tr JOIN s ON tr.place = s.place)"""
 
 
-@query("an_ts_seasonality", f"SELECT DISTINCT place, round(seasonal, 4) AS seasonal FROM {_DECOMPOSED_SQL}")
+@query("an_ts_seasonality", f"SELECT DISTINCT place, round(seasonal, 2) AS seasonal FROM {_DECOMPOSED_SQL}")
 def an_ts_seasonality(t: Tables):
-    return rounded(ts.seasonality(_months(t)), 4)
+    return rounded(ts.seasonality(_months(t)), 2)
 
 
 @query(
     "an_ts_decompose",
-    f"""SELECT period, t, round(y, 2) AS y, round(trend, 4) AS trend, round(seasonal, 4) AS seasonal,
-               round(y - trend - seasonal, 4) AS residual FROM {_DECOMPOSED_SQL}""",
+    f"""SELECT period, t, round(y, 2) AS y, round(trend, 2) AS trend, round(seasonal, 2) AS seasonal,
+               round(y - trend - seasonal, 2) AS residual FROM {_DECOMPOSED_SQL}""",
 )
 def an_ts_decompose(t: Tables):
-    return rounded(rounded(ts.decompose(_months(t)), 2, ("y",)), 4, ("trend", "seasonal", "residual"))
+    return rounded(ts.decompose(_months(t)), 2)
 
 
 @query(
@@ -152,10 +156,10 @@ def an_ts_decompose(t: Tables):
         f AS (SELECT o_orderpriority, t, y AS level FROM p WHERE t = 0
               UNION ALL SELECT p.o_orderpriority, p.t, 0.3::DOUBLE * p.y + 0.7::DOUBLE * f.level
               FROM f JOIN p ON p.o_orderpriority = f.o_orderpriority AND p.t = f.t + 1)
-        SELECT o_orderpriority, round(arg_max(level, t), 4) AS forecast FROM f GROUP BY 1""",
+        SELECT o_orderpriority, round(arg_max(level, t), 2) AS forecast FROM f GROUP BY 1""",
 )
 def an_forecast_ses(t: Tables):
-    return rounded(ts.exponential_smoothing(_series(t), ["o_orderpriority"]), 4)
+    return rounded(ts.exponential_smoothing(_series(t), ["o_orderpriority"]), 2)
 
 
 @query(
@@ -171,11 +175,11 @@ def an_forecast_naive(t: Tables):
 @query(
     "an_forecast_linear",
     f"""WITH m AS (SELECT o_orderpriority, regr_slope(y, t) AS slope, regr_intercept(y, t) AS icept, max(t) AS last FROM {_SERIES_SQL} GROUP BY 1)
-        SELECT o_orderpriority, CAST(s.range AS BIGINT) AS step, round(icept + slope * (last + s.range), 4) AS forecast
+        SELECT o_orderpriority, CAST(s.range AS BIGINT) AS step, round(icept + slope * (last + s.range), 2) AS forecast
         FROM m CROSS JOIN range(1, 4) s""",
 )
 def an_forecast_linear(t: Tables):
-    return rounded(ts.linear_forecast(_series(t), ["o_orderpriority"]), 4)
+    return rounded(ts.linear_forecast(_series(t), ["o_orderpriority"]), 2)
 
 
 # ---- customers -------------------------------------------------------------

@@ -50,6 +50,7 @@ def differences(df, con, sql: str) -> list[str]:
     if not out and kinds(got) != kinds(want):
         out.append(f"kinds {kinds(got)} != {kinds(want)}")
     if got != want:
-        extra, missing = [r for r in got if r not in set(want)], [r for r in want if r not in set(got)]
+        in_got, in_want = set(got), set(want)
+        extra, missing = [r for r in got if r not in in_want], [r for r in want if r not in in_got]
         out += [f"only spark: {r}" for r in extra[:3]] + [f"only sql:   {r}" for r in missing[:3]]
     return out
