@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.operators.ordered import position_in_group
+from gaugeboard.operators.profile import first_rows
 
 FEED_PAGE = 50
 PAGE_SIZE = 1000
@@ -74,7 +75,7 @@ def any_match(parent: DataFrame, pk: str, child: DataFrame, fk: str, condition:
 
 def newest(df: DataFrame, ts: str, key: str, n: int = FEED_PAGE) -> DataFrame:
     """The newest ``n`` rows; ties go to the larger key."""
-    return df.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
+    return first_rows(df, [ts, key], n, descending=True)
 
 
 def join_parent(child: DataFrame, fk: str, parent: DataFrame, pk: str, keep: Sequence[str] | None = None, how: str = "inner") -> DataFrame:
@@ -151,12 +152,11 @@ def nested_children(
         .agg(F.sort_array(F.collect_list(entry)).alias("__entries"))
         .select("__fk", "page", F.transform("__entries", lambda e: e.getField("child")).alias("children"))
     )
-    return (
-        parent.join(pages, F.col(pk) == F.col("__fk"), "left")
-        .withColumn("page", F.coalesce("page", F.lit(0)))
-        .withColumn("n_children", F.coalesce(F.size("children"), F.lit(0)).cast("bigint"))
-        .drop("__fk")
-    )
+    # An inner join can split the pages of a hot parent; a left join could not.
+    paged = parent.join(pages, F.col(pk) == F.col("__fk")).drop("__fk")
+    empty = F.slice(F.array(F.struct(*[F.lit(None).cast(child.schema[f].dataType).alias(f) for f in fields])), 1, 0)
+    childless = without_child(parent, pk, child, fk).select("*", F.lit(0).cast("bigint").alias("page"), empty.alias("children"))
+    return paged.unionByName(childless).withColumn("n_children", F.size("children").cast("bigint"))
 
 
 def members(df: DataFrame, key: str, allowed: DataFrame, allowed_key: str) -> DataFrame:

@@ -21,17 +21,48 @@ _RANGE = "__range"
 _ROW = "__row"
 # monotonically_increasing_id keeps the row number in its low 33 bits.
 _ROW_MASK = (1 << 33) - 1
+# Input bytes per range and the most ranges asked for.
+RANGE_BYTES = 128 * 1024 * 1024
+MOST_RANGES = 100_000
+# Groups of more rows than this are split over ranges.
+LARGE_GROUP = 5_000_000
 
 
 def _columns(keys: Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Size of the files and tables a query reads, as far as Spark knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    unknown = 1 << 60
+    return sum(size for size in sizes if size < unknown)
+
+
+def _by_range(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Range partitions of a bounded size.
+
+    Normally the session's shuffle partitions are used, and adaptive execution joins
+    small ones.  More are asked for when the size of the input needs them.
+    """
+    needed = _input_bytes(df) // RANGE_BYTES
+    if needed > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartitionByRange(min(needed, MOST_RANGES), *keys)
+    return df.repartitionByRange(*keys)
+
+
+def has_large_group(df: DataFrame, group_by: Sequence[str]) -> bool:
+    """Does any group hold too many rows for one task?  Counts before it shuffles."""
+    sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("__n"))
+    return not sizes.where(F.col("__n") > LARGE_GROUP).isEmpty()
+
+
 def _ranges(df: DataFrame, order_by: Sequence[str | Column], label: str) -> DataFrame:
     """Fixed copy of ``df`` in global order, tagged with range and row-in-range."""
     keys = _columns(order_by)
     return materialize(
-        df.repartitionByRange(*keys)
+        _by_range(df, keys)
         .sortWithinPartitions(*keys)
         .withColumn(_RANGE, F.spark_partition_id())
         .withColumn(_ROW, F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))),
@@ -69,11 +100,15 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums within each group, in order.
 
-    Only the first group of a range can have rows in earlier ranges, and it is
+    Groups that fit a task take one shuffle and a window.  With a larger group, or
+    none at all, rows are cut into ranges.  Only the first group of a range can have rows in earlier ranges, and it is
     then the last group of each of them.  So the sum carried into a range is the
     running sum of the tails of its predecessors with that group: one row per range.
     """
     values = {out: (F.col(v) if isinstance(v, str) else v) for out, v in sums.items()}
+    if group_by and not has_large_group(df, group_by):
+        inside = Window.partitionBy(*group_by).orderBy(*_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({out: F.sum(v).over(inside) for out, v in values.items()})
     prepared = df.select("*", *[v.alias(f"__v_{out}") for out, v in values.items()])
     ranges = _ranges(prepared, [*group_by, *order_by], "running")
     group = F.struct(*[F.col(g) for g in group_by]) if group_by else F.struct(F.lit(0))
@@ -125,15 +160,19 @@ def with_neighbour(
     """Add values of the previous (or following) row of the same group.
 
     ``columns`` maps output name to source column.  Equal to ``lag`` / ``lead``
-    per group; the row across a range border comes from a one-row-per-range table.
+    per group, and just that if every group fits a task.  Otherwise rows are cut into
+    ranges, and the row across a border comes from a one-row-per-range table.
     """
+    shift = F.lead if following else F.lag
+    if not has_large_group(df, group_by):
+        order = Window.partitionBy(*group_by).orderBy(*order_by)
+        return df.withColumns({out: shift(c).over(order) for out, c in columns.items()})
     ranges = _ranges(df, [*group_by, *order_by], "neighbour")
     seen = F.struct(*[F.col(g) for g in group_by], *[F.col(c).alias(f"__n_{out}") for out, c in columns.items()])
     edge_row = F.min_by if following else F.max_by
     edges = ranges.groupBy(_RANGE).agg(
         edge_row(seen, F.col(_ROW)).alias("__edge_row"), F.max(_ROW).alias("__last")
     )
-    shift = F.lead if following else F.lag
     border = edges.select(
         _RANGE, "__last", shift("__edge_row").over(Window.orderBy(_RANGE)).alias("__across")
     )

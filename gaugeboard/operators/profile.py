@@ -31,6 +31,8 @@ PREVIEW_ROWS = 1000
 TOP_CATEGORIES = 10
 PIE_SLICES = 5
 BINS = 20
+# Tables with more columns than this are bounded by key before they are sorted.
+WIDE = 4
 # Pairs of columns correlated in one pass.
 PAIRS_PER_PASS = 60
 
@@ -315,9 +317,28 @@ def pie_share(df: DataFrame, category: str, value: str, n: int = PIE_SLICES) ->
     )
 
 
+def first_rows(df: DataFrame, order_by: Sequence[str], n: int, descending: bool = False) -> DataFrame:
+    """The first ``n`` rows in an order (NULL keys first, or last if descending).
+
+    Of a wide table only the leading key is read in full: its n-th value bounds the
+    rows, and that bound is pushed down to the scan of the other columns.
+    """
+    order = [_col(k).desc() if descending else _col(k).asc() for k in order_by]
+    if len(df.columns) > WIDE:
+        key = _col(order_by[0])
+        leading = df.select(key.alias("k")).orderBy(F.col("k").desc() if descending else F.col("k").asc()).limit(n)
+        if descending:
+            full = F.count("k") == n
+            bound = leading.agg(F.when(full, F.min("k"))).scalar()
+            df = df.where((key >= bound) | bound.isNull())
+        else:
+            df = df.where(key.isNull() | (key <= leading.agg(F.max("k")).scalar()))
+    return df.orderBy(*order).limit(n)
+
+
 def preview(df: DataFrame, order_by: Sequence[str], n: int = PREVIEW_ROWS) -> DataFrame:
     """The first ``n`` rows in a stated order."""
-    return df.orderBy(*order_by).limit(n)
+    return first_rows(df, order_by, n)
 
 
 def pie_first(df: DataFrame, order_by: Sequence[str], y: str | None = None, n: int = PIE_SLICES) -> DataFrame:

@@ -6,8 +6,8 @@ interval.  A rank that falls on a cut is settled; an interval of bounded size is
 read out exactly.  The sketch only steers the search: the counts decide, so the
 answer is exact whatever the sketch error.
 
-Groups: values are counted per (group, value) first, then running counts over the
-range-partitioned counts locate the ranks, so a hot group is never in one task.
+Groups: values are counted per (group, value) first, then running counts locate the
+ranks; a group with very many different values is cut into ranges for that.
 """
 
 from __future__ import annotations

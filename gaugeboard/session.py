@@ -51,9 +51,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_folder(spark.sparkContext.applicationId)
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/gaugeboard/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the scratch folder."""
-    return f"{scratch_root(spark)}/gaugeboard/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results built on them go stale."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeboard.operators import catalog as cat, collections as coll, lifecycle as life
+from gaugeboard.operators import catalog as cat, collections as coll, lifecycle as life, ordered
 
 
 def _rows(df, *cols):
@@ -26,7 +26,9 @@ def test_child_counts_do_not_fan_out(spark):
     assert _rows(got) == [(1, 2, 3), (2, 1, 0), (3, 0, 0)]
 
 
-def test_nested_children_pages_a_hot_parent(spark):
+@pytest.mark.parametrize("large", [5, 10_000])
+def test_nested_children_pages_a_hot_parent(spark, monkeypatch, large):
+    monkeypatch.setattr(ordered, "LARGE_GROUP", large)
     parents = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     children = spark.createDataFrame([(1, i) for i in range(25)] + [(2, 100)], "fk int, k int").repartition(4)
     got = cat.nested_children(parents, "id", children, "fk", ["k"], ["k"], page_size=10)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import types as T
 
+from gaugeboard import session
 from gaugeboard.sources import cache, files
 
 
@@ -67,3 +68,21 @@ def test_row_callback(spark):
     df = spark.range(10).repartition(3)
     got = files.map_rows(df, lambda rows: rows.assign(id=rows["id"] * 2), "id bigint")
     assert sorted(r["id"] for r in got.collect()) == list(range(0, 20, 2))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left = spark.range(50).withColumnRenamed("id", "k")
+    files.write_bucketed(left, "bucket_left", ["k"], 4, mode="overwrite")
+    files.write_bucketed(left, "bucket_right", ["k"], 4, mode="overwrite")
+    joined = spark.table("bucket_left").hint("merge").join(spark.table("bucket_right"), "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 50
+
+
+def test_scratch_is_shared_and_can_be_cleared(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    copy = session.materialize(spark.range(5), "t")
+    assert copy.inputFiles()[0].removeprefix("file://").startswith(root)
+    session.clear_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(copy.inputFiles()[0])

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from gaugeboard.operators import ordered
 
 
-@pytest.fixture(autouse=True)
-def many_ranges(spark):
-    """Keep the ranges small, so that groups really cross range borders."""
+@pytest.fixture(autouse=True, params=[20, 10_000])
+def many_ranges(spark, monkeypatch, request):
+    """Keep the ranges small, so that groups really cross range borders.
+
+    With a limit of 20 rows some groups are large; with 10,000 none is.
+    """
+    monkeypatch.setattr(ordered, "LARGE_GROUP", request.param)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -92,3 +96,11 @@ def test_empty(spark):
     assert ordered.with_position(df, ["k"], "p").count() == 0
     assert ordered.running_totals(df, ["g"], ["k"], {"s": "v"}).count() == 0
     assert ordered.with_neighbour(df, ["g"], ["k"], {"o": "v"}).count() == 0
+
+
+def test_large_inputs_get_more_ranges(spark, sf_dir, monkeypatch):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    monkeypatch.setattr(ordered, "RANGE_BYTES", 2048)
+    assert ordered._by_range(orders, [F.col("o_orderkey")]).rdd.getNumPartitions() > 8
+    placed = ordered.with_position(orders, ["o_orderkey"], "pos")
+    assert placed.where("pos <> o_orderkey + 1").count() == 0 and placed.count() == orders.count()

@@ -222,3 +222,13 @@ def test_funnel_steps_are_strictly_later(spark):
     got = cust.funnel(df, ["u"], "e", ["view", "click", "buy"], "t").orderBy("step_no").collect()
     assert [r["entities"] for r in got] == [3, 1, 1]
     assert got[1]["step_rate"] == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 50])
+@pytest.mark.parametrize("descending", [False, True])
+def test_first_rows_of_a_wide_table(spark, n, descending):
+    rows = [(k, i, "a", "b", "c") for i, k in enumerate([5, None, 3, 3, 9, None, 1])]
+    df = spark.createDataFrame(rows, "k int, tie int, a string, b string, c string").repartition(3)
+    got = [(r["k"], r["tie"]) for r in prof.first_rows(df, ["k", "tie"], n, descending).collect()]
+    want = sorted(((k, t) for k, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=descending)
+    assert got == want[:n]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeboard.operators import quantiles
+from gaugeboard.operators import ordered, quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -31,7 +31,9 @@ def test_whole_column(spark, monkeypatch, kind, read_out):
     assert got == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12)
 
 
-def test_grouped_with_a_hot_group(spark):
+@pytest.mark.parametrize("large", [50, 10_000])
+def test_grouped_with_a_hot_group(spark, monkeypatch, large):
+    monkeypatch.setattr(ordered, "LARGE_GROUP", large)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rng = random.Random(3)
     rows = [("hot", rng.gauss(0, 1)) for _ in range(500)] + [(g, float(i)) for g in "abc" for i in range(11)] + [(None, 1.0), ("z", None)]
