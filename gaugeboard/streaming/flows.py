@@ -110,7 +110,12 @@ def _drain_batches(stream: DataFrame, label: str, per_batch, schema, mode: str,
     sink = sink or scratch_path(spark, label)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        per_batch(rows).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        # The result may read the batch more than once; do not read the source again.
+        rows.persist()
+        try:
+            per_batch(rows).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            rows.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)

@@ -3,6 +3,7 @@
 Usage: python tests/check_queries.py [folder] [name ...]
 """
 
+import os
 import sys
 import time
 import traceback
@@ -24,7 +25,7 @@ def main() -> int:
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
