@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Largest integer a double holds exactly: 2^53 - 1.
 SAFE_INTEGER = 9007199254740991
@@ -92,6 +92,20 @@ def safe_integer(c: Column) -> Column:
     )
 
 
+def safe_integers(c: Column, data_type: T.DataType) -> Column:
+    """``safe_integer`` applied to every whole number inside arrays, maps and structs."""
+    if isinstance(data_type, T.LongType):
+        return safe_integer(c)
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(c, lambda x: safe_integers(x, data_type.elementType))
+    if isinstance(data_type, T.MapType):
+        return F.transform_values(c, lambda _, x: safe_integers(x, data_type.valueType))
+    if isinstance(data_type, T.StructType):
+        fields = [safe_integers(c.getField(f.name), f.dataType).alias(f.name) for f in data_type.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    return c
+
+
 def megabytes(c: Column) -> Column:
     return F.round(c / 1024 / 1024, 2)
 

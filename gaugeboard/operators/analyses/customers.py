@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeboard.operators.ordered import bucket_of, running_totals, with_position
+from gaugeboard.session import materialize
 
 CLASS_A, CLASS_B = 0.80, 0.95
 SCORES = 5
@@ -39,7 +40,9 @@ def rfm(features: DataFrame, customer: str, scores: int = SCORES) -> DataFrame:
 def _scaled(features: DataFrame, inputs: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    assembled = VectorAssembler(inputCols=list(inputs), outputCol="__raw").transform(features)
+    # Stored, because scaling, fitting and assigning each read the features.
+    stored = materialize(features, "features")
+    assembled = VectorAssembler(inputCols=list(inputs), outputCol="__raw").transform(stored)
     scaler = StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)
     return scaler.fit(assembled).transform(assembled).drop("__raw")
 
@@ -69,16 +72,17 @@ def cohort_retention(events: DataFrame, user: str, ts: str, grain: str = "quarte
     """
     months = {"month": 1, "quarter": 3, "year": 12}[grain]
     active = events.select(F.col(user).alias("__u"), F.date_trunc(grain, F.col(ts)).cast("date").alias("__p")).distinct()
-    first = active.groupBy("__u").agg(F.min("__p").alias("cohort"))
+    # A user has at most one row per period here, so the window holds few of them.
+    started = active.withColumn("cohort", F.min("__p").over(Window.partitionBy("__u")))
     apart = (F.year("__p") - F.year("cohort")) * 12 + F.month("__p") - F.month("cohort")
-    cells = (
-        active.join(first, "__u")
-        .groupBy("cohort", F.floor(apart / months).cast("bigint").alias("period"))
-        .agg(F.count(F.lit(1)).alias("users"))
+    cells = started.groupBy("cohort", F.floor(apart / months).cast("bigint").alias("period")).agg(
+        F.count(F.lit(1)).alias("users")
     )
-    sizes = first.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
+    # Everyone in a cohort is active in its first period.
+    size = F.max(F.when(F.col("period") == 0, F.col("users"))).over(Window.partitionBy("cohort"))
+    sized = cells.withColumn("cohort_size", size)
     rate = F.try_divide(F.col("users"), F.col("cohort_size"))
-    return cells.join(sizes, "cohort").select("cohort", "period", "users", "cohort_size", rate.alias("retention"))
+    return sized.select("cohort", "period", "users", "cohort_size", rate.alias("retention"))
 
 
 def cohort_churn(events: DataFrame, user: str, ts: str, grain: str = "quarter") -> DataFrame:
@@ -91,7 +95,8 @@ def funnel(events: DataFrame, entity: Sequence[str], step_col: str, steps: Seque
     """How many entities reach each step, every step strictly later than the one before.
 
     Reaching a step at its earliest possible time is best for all later ones, so
-    each step is a minimum over events after the previous step's time.
+    each step is a minimum over events after the previous step's time.  The times are
+    stored per step, so every step's events are read once.
     """
     entity = list(entity)
     reached: list[DataFrame] = []
@@ -99,7 +104,7 @@ def funnel(events: DataFrame, entity: Sequence[str], step_col: str, steps: Seque
         rows = events.where(F.col(step_col) == step).select(*entity, F.col(ts).alias("__ts"))
         if reached:
             rows = rows.join(reached[-1].withColumnRenamed("__at", "__before"), entity).where(F.col("__ts") > F.col("__before"))
-        reached.append(rows.groupBy(*entity).agg(F.min("__ts").alias("__at")))
+        reached.append(materialize(rows.groupBy(*entity).agg(F.min("__ts").alias("__at")), "funnel"))
     counts = None
     for i, (step, table) in enumerate(zip(steps, reached)):
         part = table.agg(F.count(F.lit(1)).alias("entities")).select(
@@ -119,8 +124,9 @@ def funnel(events: DataFrame, entity: Sequence[str], step_col: str, steps: Seque
 
 def abc_classes(items: DataFrame, key: str, value: str) -> DataFrame:
     """Items by falling value with cumulative share and class A, B or C."""
-    total = items.agg(F.sum(value)).scalar()
-    ordered = running_totals(items, [], [F.col(value).desc(), F.col(key).asc()], {"cumulative": value})
+    ordered = running_totals(items.select(key, value), [], [F.col(value).desc(), F.col(key).asc()], {"cumulative": value})
+    # The total of the stored ranges: the items are not computed again.
+    total = ordered.agg(F.sum(value)).scalar()
     share = F.try_divide(F.col("cumulative"), total)
     return ordered.select(
         key,

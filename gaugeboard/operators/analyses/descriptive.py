@@ -10,6 +10,7 @@ from gaugeboard.functions.kinds import number, number_sql, numeric_cols, text_li
 from gaugeboard.operators.ordered import running_totals
 from gaugeboard.operators.profile import pearson_matrix
 from gaugeboard.operators.quantiles import exact_quantiles
+from gaugeboard.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 DECILES = tuple(i / 10 for i in range(11))
@@ -56,7 +57,7 @@ def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     All columns are ranked in one pass: values are counted, and running counts over
     the range-partitioned counts give the ranks.
     """
-    counted = _value_counts(df, cols)
+    counted = materialize(_value_counts(df, cols), "counts")
     ranked = running_totals(counted, ["column"], ["value"], {"upto": "n"})
     return ranked.select("column", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
@@ -74,7 +75,7 @@ def _rank_correlations(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
     Each column is joined to its own ranks; adaptive execution broadcasts short
     rank lists and splits the join on a very common value.
     """
-    ranks = average_ranks(df, cols)
+    ranks = materialize(average_ranks(df, cols), "ranks")
     out = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     for i, c in enumerate(cols):
         own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))

@@ -11,16 +11,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugeboard.session import materialize
+
 SEASON = 12
 ALPHA = 0.3
 HORIZON = 3
 
 
 def periods(df: DataFrame, ts: str, value: Column, grain: str = "month", series: Sequence[str] = ()) -> DataFrame:
-    """Sum per period: (series..., period, y, t) with t numbering the periods from 0."""
+    """Sum per period: (series..., period, y, t) with t numbering the periods from 0.
+
+    The short result is stored, as most uses of it read it more than once.
+    """
     sums = df.groupBy(*series, F.date_trunc(grain, F.col(ts)).cast("date").alias("period")).agg(F.sum(value).alias("y"))
     order = Window.partitionBy(*series).orderBy("period")
-    return sums.withColumn("t", (F.row_number().over(order) - 1).cast("bigint"))
+    return materialize(sums.withColumn("t", (F.row_number().over(order) - 1).cast("bigint")), "periods")
 
 
 def moving_average(p: DataFrame, series: Sequence[str] = (), before: int = 1, after: int = 1) -> DataFrame:

@@ -26,6 +26,7 @@ from gaugeboard.functions.kinds import (
     text_literal,
 )
 from gaugeboard.operators.quantiles import exact_quantiles
+from gaugeboard.session import materialize
 
 PREVIEW_ROWS = 1000
 TOP_CATEGORIES = 10
@@ -291,28 +292,24 @@ def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
 
 
 def pie_share(df: DataFrame, category: str, value: str, n: int = PIE_SLICES) -> DataFrame:
-    """Sum and share per category, the largest ``n`` kept and the rest added up."""
-    sums = (
-        df.groupBy(_col(category).cast("string").alias("category"))
-        .agg(F.sum(number(df, value)).alias("total"))
-        .orderBy(F.col("total").desc_nulls_last(), "category")
-    )
-    top = sums.limit(n)
-    everything = df.agg(F.sum(number(df, value))).scalar()
-    shown = top.select("category", "total", F.lit(0).alias("__rest"))
-    # The rest is what the shown slices leave of the table's own total.
-    left_over = df.agg(
-        F.count_distinct(F.coalesce(_col(category).cast("string"), F.lit("\0"))).alias("n"),
-        F.sum(number(df, value)).alias("total"),
-    )
-    rest = left_over.where(F.col("n") > n).select(
-        F.lit("other").alias("category"),
-        (F.col("total") - F.coalesce(top.agg(F.sum("total")).scalar(), F.lit(0.0))).alias("total"),
-        F.lit(1).alias("__rest"),
+    """Sum and share per category, the largest ``n`` kept and the rest added up.
+
+    The sums per category are stored, so the table is read once.
+    """
+    sums = df.groupBy(_col(category).cast("string").alias("category")).agg(F.sum(number(df, value)).alias("total"))
+    sums = materialize(sums, "pie")
+    largest = [F.col("total").desc_nulls_last(), F.col("category").asc()]
+    top = sums.orderBy(*largest).limit(n)
+    whole = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
+    shown = F.coalesce(top.agg(F.sum("total")).scalar(), F.lit(0.0))
+    rest = whole.where(F.col("n") > n).select(
+        F.lit("other").alias("category"), (F.col("total") - shown).alias("total"), F.lit(1).alias("__rest")
     )
+    everything = whole.select("total").scalar()
     return (
-        shown.unionByName(rest)
-        .orderBy("__rest", F.col("total").desc_nulls_last(), "category")
+        top.select("category", "total", F.lit(0).alias("__rest"))
+        .unionByName(rest)
+        .orderBy("__rest", *largest)
         .select("category", "total", F.try_divide(F.col("total"), everything).alias("share"))
     )
 

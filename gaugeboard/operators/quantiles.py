@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeboard.functions.kinds import double_literal, number, number_sql, quoted
 from gaugeboard.operators.ordered import running_totals
+from gaugeboard.session import materialize
 
 # Values read out at once; size of a sketch; share of the values its cuts may be off.
 READ_OUT = 100_000
@@ -190,11 +191,13 @@ def middle_value(df: DataFrame, col: str) -> int | None:
 def grouped_quantiles(df: DataFrame, group_by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group: group columns and one column per entry of ``probs``."""
     groups = list(group_by)
-    counted = (
+    # Stored, because the counts are read three times and the table only once.
+    counted = materialize(
         df.select(*groups, number(df, value).alias("__v"))
         .where(F.col("__v").isNotNull())
         .groupBy(*groups, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__n")),
+        "counts",
     )
     ranked = running_totals(counted, groups, ["__v"], {"__upto": "__n"})
     sizes = counted.groupBy(*groups).agg(F.sum("__n").alias("__size"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeboard.operators import insights as ins, profile as prof
-from gaugeboard.operators.profile import _long  # noqa: F401 - re-exported for the tests
 from gaugeboard.plans import dashboards as dash
 from gaugeboard.plans.registry import Tables, query
 

@@ -160,6 +160,29 @@ def safe_integer(t: Tables):
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "s.num", "s.txt")
 
 
+_SQUARE = "(o_orderkey * 1000003 * (o_custkey + 1) * 1009)"
+
+
+@query(
+    "safe_integer_nested",
+    f"""SELECT o_orderkey, o_custkey AS first_num, CASE WHEN {_SQUARE} BETWEEN -9007199254740991 AND 9007199254740991 THEN {_SQUARE} END AS second_num,
+               CASE WHEN NOT ({_SQUARE} BETWEEN -9007199254740991 AND 9007199254740991) THEN CAST({_SQUARE} AS VARCHAR) END AS second_txt,
+               o_orderstatus AS status FROM orders""",
+)
+def safe_integer_nested(t: Tables):
+    square = F.col("o_orderkey") * F.lit(1000003) * (F.col("o_custkey") + 1) * F.lit(1009)
+    doc = F.struct(F.array(F.col("o_custkey"), square).alias("numbers"), F.col("o_orderstatus").alias("status"))
+    rows = t.orders.select("o_orderkey", doc.alias("doc"))
+    rows = rows.select("o_orderkey", txt.safe_integers(F.col("doc"), rows.schema["doc"].dataType).alias("doc"))
+    return rows.select(
+        "o_orderkey",
+        F.col("doc.numbers")[0]["num"].alias("first_num"),
+        F.col("doc.numbers")[1]["num"].alias("second_num"),
+        F.col("doc.numbers")[1]["txt"].alias("second_txt"),
+        "doc.status",
+    )
+
+
 @query(
     "date_ops",
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, o_orderdate + INTERVAL 7 DAY AS expires,
