@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from gaugeboard.functions.kinds import number, numeric_cols
 from gaugeboard.operators.catalog import extreme_child
 from gaugeboard.operators.collections import apply_changes, compact_changes
-from gaugeboard.session import scratch_path
+from gaugeboard.session import materialize, scratch_path
 
 
 def read_files(
@@ -78,9 +78,14 @@ def sessions(stream: DataFrame, ts: str, delay: str, gap: str, keys: Sequence[st
 
 
 def anomalies(stream: DataFrame, key: str, value: str, history: DataFrame, z: float) -> DataFrame:
-    """Rows more than ``z`` deviations from their key's mean in a static table."""
+    """Rows more than ``z`` deviations from their key's mean in a static table.
+
+    The moments are stored when the stream is defined; batches do not read the
+    history again.
+    """
     past = number(history, value)
     moments = history.groupBy(key).agg(F.avg(past).alias("__mean"), F.stddev_samp(past).alias("__std"))
+    moments = materialize(moments, "moments")
     scored = stream.join(moments, key).withColumn("z", F.try_divide(F.col(value) - F.col("__mean"), F.col("__std")))
     return scored.where(F.abs("z") > z).drop("__mean", "__std")
 

@@ -74,6 +74,18 @@ def test_safe_integers(spark):
     assert got == [(edge, None), (None, str(edge + 1)), (-edge, None), (None, str(-edge - 1)), (None, str(-(2**63))), (None, None)]
 
 
+def test_safe_integers_inside_documents(spark):
+    big = 2**60
+    schema = "d struct<a:array<bigint>, m:map<string,bigint>, s:struct<n:bigint,t:string>, i:int>"
+    df = spark.createDataFrame([(([1, big, None], {"k": big}, (2, "x"), 7),), (None,)], schema)
+    rows = [r[0] for r in df.select(txt.safe_integers(F.col("d"), df.schema["d"].dataType)).collect()]
+    assert rows[1] is None
+    got = rows[0]
+    assert [tuple(v) for v in got["a"]] == [(1, None), (None, str(big)), (None, None)]
+    assert tuple(got["m"]["k"]) == (None, str(big)) and tuple(got["s"]["n"]) == (2, None)
+    assert got["s"]["t"] == "x" and got["i"] == 7
+
+
 @pytest.mark.parametrize(
     "seconds, age",
     [(5, "less than a minute ago"), (60, "1 minute ago"), (7200, "2 hours ago"), (3 * 86400, "3 days ago"), (400 * 86400, "1 year ago")],
