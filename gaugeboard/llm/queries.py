@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import mixing
+from gaugeboard.llm import lm, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def query(name: str, *tables: str, sql: str | None = None):
 )
 def source_mix(documents):
     return mixing.mixture(documents)
+
+
+@query("op3_lm_score", "documents")
+def lm_score(documents):
+    return lm.scores(documents)
