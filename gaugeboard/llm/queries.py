@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import lm, mixing
+from gaugeboard.llm import lm, mixing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,21 @@ def source_mix(documents):
 @query("op3_lm_score", "documents")
 def lm_score(documents):
     return lm.scores(documents)
+
+
+@query(
+    "op5_substring_dedup",
+    "documents",
+    sql=r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    x AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    m AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s HAVING count(*) > 1),
+    g AS (SELECT DISTINCT r, i + j AS k FROM (SELECT x.r, x.i FROM x JOIN m USING (s) WHERE m.first < x.doc_id), range(13) t(j)),
+    l AS (SELECT r, list(k) AS ks FROM g GROUP BY r),
+    k AS (SELECT doc_id, len(w) AS n, coalesce(len(ks), 0) AS gone,
+                 CASE WHEN ks IS NULL THEN w ELSE list_filter(w, lambda e, i: NOT list_contains(ks, i)) END AS kept
+          FROM d LEFT JOIN l USING (r))
+    SELECT doc_id, n::BIGINT AS n_words, gone::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
+)
+def substring_dedup(documents):
+    return substrings.digests(documents)
