@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import lm, mixing, substrings
+from gaugeboard.llm import lm, mixing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def lm_score(documents):
 )
 def substring_dedup(documents):
     return substrings.digests(documents)
+
+
+@query("op9_simhash_dedup", "documents")
+def simhash_dedup(documents):
+    return simhash.near_duplicates(documents)
