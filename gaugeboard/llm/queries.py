@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import lm, mixing, simhash, substrings
+from gaugeboard.llm import decontaminate, lm, mixing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,28 @@ def substring_dedup(documents):
 @query("op9_simhash_dedup", "documents")
 def simhash_dedup(documents):
     return simhash.near_duplicates(documents)
+
+
+@query(
+    "op7_benchmark_decontamination",
+    "documents",
+    "benchmark",
+    sql=r"""
+    WITH low AS (SELECT doc_id, row_number() OVER () AS r,
+                        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                 FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark),
+    p AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS s
+          FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+    x AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+          FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+    h AS (SELECT r, i, x.n, item_id FROM x JOIN p ON x.n = p.n AND x.s = p.s),
+    c AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM h, range(13) t(j) WHERE j < n GROUP BY r),
+    t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+    FROM low LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+)
+def benchmark_decontamination(documents, benchmark):
+    return decontaminate.contamination(documents, benchmark)
