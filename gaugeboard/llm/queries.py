@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import decontaminate, lm, mixing, simhash, substrings
+from gaugeboard.llm import classify, decontaminate, lm, mixing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ def simhash_dedup(documents):
 )
 def benchmark_decontamination(documents, benchmark):
     return decontaminate.contamination(documents, benchmark)
+
+
+@query("op6_quality_classifier", "documents", "labels")
+def quality_classifier(documents, labels):
+    return classify.scores(documents, labels)
