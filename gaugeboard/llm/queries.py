@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import classify, decontaminate, lm, mixing, simhash, substrings
+from gaugeboard.llm import classify, decontaminate, lm, mixing, pages as web_pages, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def benchmark_decontamination(documents, benchmark):
 @query("op6_quality_classifier", "documents", "labels")
 def quality_classifier(documents, labels):
     return classify.scores(documents, labels)
+
+
+@query("op8_html_extraction", "pages")
+def html_extraction(pages):
+    return web_pages.main_texts(pages)
