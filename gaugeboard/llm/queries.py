@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import classify, decontaminate, lm, mixing, pages as web_pages, simhash, substrings
+from gaugeboard.llm import classify, decontaminate, lm, mixing, pages as web_pages, rules, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def quality_classifier(documents, labels):
 @query("op8_html_extraction", "pages")
 def html_extraction(pages):
     return web_pages.main_texts(pages)
+
+
+@query("op4_quality_rules", "documents")
+def quality_rules(documents):
+    return rules.rated(documents)
