@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import classify, decontaminate, lm, mixing, pages as web_pages, rules, simhash, substrings
+from gaugeboard.llm import classify, decontaminate, lm, mixing, pages as web_pages, rules, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,8 @@ def html_extraction(pages):
 @query("op4_quality_rules", "documents")
 def quality_rules(documents):
     return rules.rated(documents)
+
+
+@query("op10_token_counts", "documents")
+def token_counts(documents):
+    return tokens.counts(documents)
