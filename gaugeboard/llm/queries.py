@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import classify, decontaminate, lm, mixing, pages as web_pages, rules, simhash, substrings, tokens
+from gaugeboard.llm import chat, classify, decontaminate, lm, mixing, pages as web_pages, rules, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,8 @@ def quality_rules(documents):
 @query("op10_token_counts", "documents")
 def token_counts(documents):
     return tokens.counts(documents)
+
+
+@query("op2_chat_repair", "conversations")
+def chat_repair(conversations):
+    return chat.repaired(conversations)
