@@ -31,6 +31,8 @@ BUCKETS = 1 << 18
 SAMPLE = 4_000
 DIMENSIONS = 8
 EPOCHS = 6
+#: Small samples are gone through more often, up to so many steps.
+LEAST_STEPS = 400
 BATCH = 32
 RATE = 2.0
 THRESHOLD = 0.7
@@ -86,8 +88,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> tuple[np.nda
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     output, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
     squares = np.full(BUCKETS, 1e-8)
-    done, steps = 0, EPOCHS * -(-len(texts) // BATCH)
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(texts) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // per_epoch))
+    done, steps = 0, epochs * per_epoch
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             rate = RATE * (1 - done / steps)
