@@ -175,6 +175,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     texts = docs.select(column(docs, id_col).cast("string").alias("id"), text_column(docs, text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("text", "label").limit(2 * sample)
     model = rows.repartition(1).mapInArrow(_train, "model binary").collect()
+    if not model:
+        return train([], np.zeros(0, np.int64))
     weights, bias = unpack(bytes(model[0]["model"]))
     return weights, float(bias[0])
 

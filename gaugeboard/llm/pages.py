@@ -110,6 +110,9 @@ def parse(page: str) -> Element:
                 if stack[i].name == name:
                     del stack[i:]
                     break
+            else:
+                if name == "p":  # a stray end of a paragraph still parts what is around it
+                    stack[-1].children.append(Element(name, "", stack[-1].inside))
             continue
         closed, scope = CLOSES.get(name, ()), SCOPES.get(name, ())
         if name in ENDS_P:

@@ -248,6 +248,7 @@ def trees(docs: DataFrame, id_col="doc_id", text_col="text", ranks: str = RANKS,
 
 def recounted(stored: DataFrame, edits: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Counts of stored ``trees`` after a table of edits (doc_id, start, end, text)."""
-    per_doc = edits.groupBy(F.col("doc_id").alias("edited")).agg(F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"), F.col("text").cast("string"))).alias("edits"))
+    edit = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("text").cast("string").alias("text"))
+    per_doc = edits.groupBy(F.col("doc_id").alias("edited")).agg(F.collect_list(edit).alias("edits"))
     rows = stored.join(per_doc, F.col("doc_id") == F.col("edited"), "left").drop("edited")
     return rows.mapInArrow(_counts(ranks_of(stored.sparkSession, ranks), None, pattern), _schema(rows))
