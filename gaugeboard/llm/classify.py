@@ -5,7 +5,7 @@ neighbouring words are a feature too, by whether they are equal.  A text is the
 features' learned vectors; a softmax over the classes follows.  Vectors and output weights are
 learned by stochastic gradient descent in numpy, in one task, on a bounded sample of labelled
 rows.  As everything after the vectors is linear, a trained model is one number per hash bucket:
-what is broadcast has a fixed size, and scoring is a look-up per distinct word.
+what is broadcast has a fixed size, and scoring sums numbers per distinct word.
 
 NULL is an empty text, which scores by the bias alone.  Labels other than 0 and 1, and labels
 without a document, are not learned from.  Equal texts score equally.  Without labels of both
@@ -14,7 +14,6 @@ classes the score is the share of label 1, or 0.5 without any.  Extra columns ar
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeboard.llm.packing import pack, unpack
-from gaugeboard.llm.texts import column, pieces, text_column, unpacked, whole_row
+from gaugeboard.llm.texts import Words, column, pieces, text_column, unpacked, whole_row, window_hashes, window_starts
 
 BUCKETS = 1 << 18
 #: About so many labelled rows, chosen by the hash of their id, are learned from; never more than twice as many.
@@ -37,18 +36,23 @@ BATCH = 32
 RATE = 2.0
 THRESHOLD = 0.7
 NGRAMS = (2, 3, 4)
-#: Distinct words whose sums a task keeps at a time.
-KEPT_WORDS = 400_000
 SAME, DIFFERENT = 0, 1
 #: A pair of neighbours weighs as much as so many n-grams.
 PAIR_WEIGHT = 10
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of a word and its n-grams; the first two buckets are left to pairs of words."""
-    bounded = b"<" + word + b">"
-    grams = [bounded, *(bounded[i : i + n] for n in NGRAMS for i in range(len(bounded) - n + 1))]
-    return [2 + zlib.crc32(g) % (BUCKETS - 2) for g in grams]
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every feature of the words; the first two buckets are left to pairs of words."""
+    raw = np.frombuffer(b"".join([b"<%b>" % w for w in words]), np.uint8).astype(np.uint64)
+    first = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2))
+    owner = np.repeat(np.arange(len(words)), np.diff(first))
+    found, hashes = [np.arange(len(words))], [Words([b" ".join(words)]).hashes()]
+    for n in NGRAMS:
+        at = window_starts(first, n)
+        found.append(owner[at])
+        hashes.append(window_hashes(raw + np.uint64(n << 8), n)[at])
+    buckets = np.concatenate(hashes) % np.uint64(BUCKETS - 2) + np.uint64(2)
+    return np.concatenate(found), buckets.astype(np.int64)
 
 
 def _ragged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +81,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> tuple[np.nda
         weights.append(list(counts.values()))
         same = sum(map(eq, words, words[1:]))
         pairs.append((same, max(0, len(words) - 1 - same)))
-    flat, bounds = _ragged([features(w) for w in vocabulary])
+    owner, flat = features(list(vocabulary))
+    flat, bounds = flat[np.argsort(owner, kind="stable")], np.append(0, np.cumsum(np.bincount(owner, minlength=len(vocabulary))))
     in_doc, doc_bounds = _ragged(rows)
     times = np.fromiter((n for one in weights for n in one), np.float64, len(in_doc))
     pairs = PAIR_WEIGHT * np.array(pairs, np.float64)
@@ -127,31 +132,21 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> tuple[np.nda
     return (vectors @ (output[1] - output[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-class Scorer:
-    def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.sums = weights, bias, {}
-
-    def _sum(self, word: bytes) -> tuple[float, int]:
-        found = self.sums.get(word)
-        if found is None:
-            if len(self.sums) >= KEPT_WORDS:
-                self.sums.clear()
-            buckets = features(word)
-            found = self.sums[word] = (float(self.weights[buckets].sum()), len(buckets))
-        return found
-
-    def __call__(self, text: bytes) -> float:
-        words = text.split()
-        total = n = 0
-        for word, times in Counter(words).items():
-            weight, size = self._sum(word)
-            total += times * weight
-            n += times * size
-        same = PAIR_WEIGHT * sum(map(eq, words, words[1:]))
-        different = PAIR_WEIGHT * max(0, len(words) - 1) - same
-        total += same * float(self.weights[SAME]) + different * float(self.weights[DIFFERENT])
-        odds = self.bias + total / max(n + same + different, 1)
-        return float(1 / (1 + np.exp(-odds)))
+def score_texts(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Chance of label 1 of each text; every different word's features are summed once."""
+    words = Words(texts)
+    hashes, doc = words.hashes(), words.doc
+    different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    raw = words.raw.tobytes()
+    owner, buckets = features([raw[a:z] for a, z in zip(words.starts[first].tolist(), words.ends[first].tolist())])
+    sums, sizes = np.bincount(owner, weights[buckets], len(different)).astype(float), np.bincount(owner, minlength=len(different))
+    total = np.bincount(doc, sums[which], len(texts)).astype(float)
+    n = np.bincount(doc, sizes[which], len(texts))
+    neighbours = doc[1:] == doc[:-1]
+    same = np.bincount(doc[1:][neighbours & (hashes[1:] == hashes[:-1])], minlength=len(texts)) * PAIR_WEIGHT
+    pairs = np.bincount(doc[1:][neighbours], minlength=len(texts)) * PAIR_WEIGHT
+    total += same * float(weights[SAME]) + (pairs - same) * float(weights[DIFFERENT])
+    return 1 / (1 + np.exp(-(bias + total / np.maximum(n + pairs, 1))))
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +178,11 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
 def _score(model):
     def score(batches):
-        scorer = Scorer(*model.value)
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for piece, texts in pieces(iter([batch])):
-                kept = {n: piece.column(i) for i, n in enumerate(batch.schema.names) if i != at}
-                kept["score"] = pa.array([scorer(t) for t in texts], pa.float64())
-                yield pa.RecordBatch.from_arrays(list(kept.values()), list(kept))
+        weights, bias = model.value
+        for piece, texts in pieces(batches):
+            kept = {n: piece.column(i) for i, n in enumerate(piece.schema.names) if n != "text"}
+            kept["score"] = pa.array(score_texts(texts, weights, bias))
+            yield pa.RecordBatch.from_arrays(list(kept.values()), list(kept))
 
     return score
 
