@@ -24,8 +24,9 @@ _ROW_MASK = (1 << 33) - 1
 # Input bytes per range and the most ranges asked for.
 RANGE_BYTES = 128 * 1024 * 1024
 MOST_RANGES = 100_000
-# Groups of more rows than this are split over ranges.
-LARGE_GROUP = 5_000_000
+# Groups of more rows than this are split over ranges.  It decides the plan only: windows and ranges give the
+# same values (tests/test_ordered.py compares them), and a window spills, so the figure is no limit.
+LARGE_GROUP = 1_000_000
 
 
 def _columns(keys: Sequence[str | Column]) -> list[Column]:
@@ -52,10 +53,11 @@ def _by_range(df: DataFrame, keys: list[Column]) -> DataFrame:
     return df.repartitionByRange(*keys)
 
 
-def has_large_group(df: DataFrame, group_by: Sequence[str]) -> bool:
+def has_large_group(df: DataFrame, group_by: Sequence[str], large_group: int | None = None) -> bool:
     """Does any group hold too many rows for one task?  Counts before it shuffles."""
     sizes = df.groupBy(*group_by).agg(F.count(F.lit(1)).alias("__n"))
-    return not sizes.where(F.col("__n") > LARGE_GROUP).isEmpty()
+    limit = LARGE_GROUP if large_group is None else large_group
+    return not sizes.where(F.col("__n") > limit).isEmpty()
 
 
 def _ranges(df: DataFrame, order_by: Sequence[str | Column], label: str) -> DataFrame:
@@ -97,16 +99,19 @@ def running_totals(
     group_by: Sequence[str],
     order_by: Sequence[str | Column],
     sums: dict[str, str | Column],
+    large_group: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums within each group, in order.
 
+    NULL values add nothing; a sum is NULL until its group has had a value.  NULL is a group like any other.
+
     Groups that fit a task take one shuffle and a window.  With a larger group, or
-    none at all, rows are cut into ranges.  Only the first group of a range can have rows in earlier ranges, and it is
-    then the last group of each of them.  So the sum carried into a range is the
+    none at all, rows are cut into ranges.  Only the first group of a range can have rows in
+    earlier ranges, and it is then the last group of each of them.  So the sum carried into a range is the
     running sum of the tails of its predecessors with that group: one row per range.
     """
     values = {out: (F.col(v) if isinstance(v, str) else v) for out, v in sums.items()}
-    if group_by and not has_large_group(df, group_by):
+    if group_by and not has_large_group(df, group_by, large_group):
         inside = Window.partitionBy(*group_by).orderBy(*_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(v).over(inside) for out, v in values.items()})
     prepared = df.select("*", *[v.alias(f"__v_{out}") for out, v in values.items()])
@@ -138,16 +143,21 @@ def running_totals(
     out = ranges.join(F.broadcast(carried), _RANGE)
     for name in values:
         carry = F.when(group.eqNullSafe(F.col("__head")), F.col(f"__c_{name}"))
-        out = out.withColumn(name, F.sum(f"__v_{name}").over(inside) + F.coalesce(carry, F.lit(0)))
+        own = F.sum(f"__v_{name}").over(inside)
+        out = out.withColumn(name, F.coalesce(own + carry, own, carry))
     extra = [f"__v_{n}" for n in values] + [f"__c_{n}" for n in values]
     return out.drop(_RANGE, _ROW, "__head", *extra)
 
 
 def position_in_group(
-    df: DataFrame, group_by: Sequence[str], order_by: Sequence[str | Column], name: str = "position"
+    df: DataFrame,
+    group_by: Sequence[str],
+    order_by: Sequence[str | Column],
+    name: str = "position",
+    large_group: int | None = None,
 ) -> DataFrame:
     """``row_number()`` per group, safe when one group holds much of the table."""
-    return running_totals(df, group_by, order_by, {name: F.lit(1).cast("bigint")})
+    return running_totals(df, group_by, order_by, {name: F.lit(1).cast("bigint")}, large_group)
 
 
 def with_neighbour(
@@ -156,6 +166,7 @@ def with_neighbour(
     order_by: Sequence[str],
     columns: dict[str, str],
     following: bool = False,
+    large_group: int | None = None,
 ) -> DataFrame:
     """Add values of the previous (or following) row of the same group.
 
@@ -164,7 +175,7 @@ def with_neighbour(
     ranges, and the row across a border comes from a one-row-per-range table.
     """
     shift = F.lead if following else F.lag
-    if not has_large_group(df, group_by):
+    if not has_large_group(df, group_by, large_group):
         order = Window.partitionBy(*group_by).orderBy(*order_by)
         return df.withColumns({out: shift(c).over(order) for out, c in columns.items()})
     ranges = _ranges(df, [*group_by, *order_by], "neighbour")

@@ -104,3 +104,38 @@ def test_large_inputs_get_more_ranges(spark, sf_dir, monkeypatch):
     assert ordered._by_range(orders, [F.col("o_orderkey")]).rdd.getNumPartitions() > 8
     placed = ordered.with_position(orders, ["o_orderkey"], "pos")
     assert placed.where("pos <> o_orderkey + 1").count() == 0 and placed.count() == orders.count()
+
+
+VALUES = ["none", "gaps", "late"]
+
+
+def _with_nulls(kind, n=240, seed=4):
+    """Values with gaps; "late": NULL over whole ranges before the first value; groups hold NULL."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        g = "hot" if k % 2 else rng.choice(["a", None, None])
+        missing = {"none": False, "gaps": rng.random() < 0.5, "late": k < n // 2 or k > n - 20}[kind]
+        rows.append((g, k, None if missing else rng.randrange(50), "w" * 200))
+    return rows
+
+
+@pytest.mark.parametrize("kind", VALUES)
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_windows_and_ranges_agree_on_nulls(spark, kind, by):
+    df = spark.createDataFrame(_with_nulls(kind), "g string, k bigint, v bigint, wide string").repartition(7)
+    totals = {}
+    for limit in (0, 10**9):
+        groups = by or (["one"] if limit else [])
+        frame = df.withColumn("one", F.lit(1))
+        totals[limit] = _pairs(ordered.running_totals(frame, groups, ["k"], {"t": "v", "d": F.col("v") / 2}, large_group=limit), "g", "k", "v", "t", "d")
+    assert totals[0] == totals[10**9]
+    if by:
+        for following in (False, True):
+            found = [
+                _pairs(ordered.with_neighbour(df, by, ["k"], {"near": "v", "at": "k"}, following, large_group=limit), "g", "k", "near", "at")
+                for limit in (0, 10**9)
+            ]
+            assert found[0] == found[1]
+            places = [_pairs(ordered.position_in_group(df, by, ["k"], large_group=limit), "g", "k", "position") for limit in (0, 10**9)]
+            assert places[0] == places[1]
