@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gaugeboard.functions.kinds import number, numeric_cols, text_literal
+from gaugeboard.functions.kinds import number, numeric_cols, quoted, text_literal
 from gaugeboard.functions.text import fmt_fixed, percent_change
 from gaugeboard.operators.ordered import with_position
 from gaugeboard.operators.quantiles import middle_value
@@ -53,14 +53,17 @@ def outlier_insights(df: DataFrame, z: float = OUTLIER_Z) -> DataFrame:
 
 
 def _first_half(df: DataFrame, order_by: Sequence[str]) -> Column:
-    """Is a row among the first floor(n / 2) rows in the order?
+    """Does a row come no later than the row of place floor(n / 2) in the order?
 
-    Finds the key of the last such row and compares with it, so the measured
-    columns never move.  A whole-number key is found by counting, without a sort.
+    All rows count.  NULL keys come first, and rows tied with the middle row belong to the
+    first half; add a tie-breaker to ``order_by`` to split there.  Only the key of the middle row is
+    looked for, so the measured columns never move; a whole-number key is found by counting, without a sort.
     """
     if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, (T.IntegerType, T.LongType)):
-        middle = F.lit(middle_value(df, order_by[0])).cast("bigint")
-        return F.coalesce(F.col(order_by[0]) <= middle, F.lit(False))
+        key, (found, middle) = F.col(quoted(order_by[0])), middle_value(df, order_by[0])
+        if not found:
+            return F.lit(False)
+        return key.isNull() if middle is None else key.isNull() | (key <= F.lit(middle).cast("bigint"))
     keys = with_position(df.select(*order_by), order_by, "__pos", total="__n")
     row = keys.where(F.col("__pos") == F.floor(F.col("__n") / 2)).select(F.struct(*order_by))
     return F.coalesce(F.struct(*order_by) <= row.scalar(), F.lit(False))

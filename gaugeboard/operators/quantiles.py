@@ -178,14 +178,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return {c: [interpolate(c, p) for p in probs] for c in cols}
 
 
-def middle_value(df: DataFrame, col: str) -> int | None:
-    """The value of rank floor(n / 2), counted from 1, of a whole-number column."""
+def middle_value(df: DataFrame, col: str) -> tuple[bool, int | None]:
+    """Whether there is a row of rank floor(n / 2), counted from 1 with NULLs first, and its whole-number value."""
     value = f"CAST({quoted(col)} AS BIGINT)"
-    n = df.agg(F.expr(f"count({value})")).first()[0]
-    if n < 2:
-        return None
-    rank = n // 2 - 1
-    return _search(df, [_Interval(col, _Value(value, whole=True), [rank], 0, n)])[col, rank]
+    n, present = df.agg(F.count(F.lit(1)), F.expr(f"count({value})")).first()
+    rank = n // 2 - 1 - (n - present)
+    if n < 2 or rank < 0:
+        return n >= 2, None
+    return True, _search(df, [_Interval(col, _Value(value, whole=True), [rank], 0, present)])[col, rank]
 
 
 def grouped_quantiles(df: DataFrame, group_by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

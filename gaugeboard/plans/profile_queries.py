@@ -342,6 +342,17 @@ def insight_trends(t: Tables):
     return rounded(ins.trend_insights(t.events, ["event_id"]))
 
 
+@query(
+    "insight_trends_ties",
+    f"""SELECT ordinal, "column", round(first_mean, 6) AS first_mean, round(second_mean, 6) AS second_mean, round(pct_change, 6) AS pct_change,
+               CASE WHEN pct_change > 0 THEN 'Upward' ELSE 'Downward' END AS direction
+        FROM {_halves_sql("events", "user_id, event_id", _EVENT_NUMBERS)} WHERE abs(pct_change) > 1""",
+)
+def insight_trends_ties(t: Tables):
+    """Users have many events; the event's id breaks their ties."""
+    return rounded(ins.trend_insights(t.events, ["user_id", "event_id"], percent=1.0))
+
+
 @query(
     "insight_fallback",
     f"""SELECT ordinal, type, title, description, severity

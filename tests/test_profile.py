@@ -232,3 +232,21 @@ def test_first_rows_of_a_wide_table(spark, n, descending):
     got = [(r["k"], r["tie"]) for r in prof.first_rows(df, ["k", "tie"], n, descending).collect()]
     want = sorted(((k, t) for k, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=descending)
     assert got == want[:n]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string"])
+def test_halves_do_not_depend_on_the_type_of_the_key(spark, kind):
+    """Twenty rows without a key come first; the tied key in the middle belongs to the first half."""
+    rows = [(None, 1.0)] * 20 + [(100 + k // 4, 5.0 + k) for k in range(24)]
+    df = spark.createDataFrame(rows, "k bigint, v double").select(F.col("k").cast(kind).alias("k"), "v").repartition(3)
+    [found] = ins.trend_insights(df, ["k"]).where("`column` = 'v'").collect()
+    first = [1.0] * 20 + [5.0, 6.0, 7.0, 8.0]
+    second = [5.0 + k for k in range(4, 24)]
+    assert (found["first_mean"], found["second_mean"]) == (sum(first) / 24, sum(second) / 20)
+
+
+def test_halves_of_mostly_missing_keys(spark):
+    df = spark.createDataFrame([(None, 1.0)] * 20 + [(k, 9.0) for k in range(10)], "k bigint, v double")
+    for kind in ("bigint", "double"):
+        [found] = ins.trend_insights(df.select(F.col("k").cast(kind).alias("k"), "v"), ["k"]).where("`column` = 'v'").collect()
+        assert (found["first_mean"], found["second_mean"]) == (1.0, 9.0)
