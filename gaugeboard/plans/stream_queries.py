@@ -11,7 +11,6 @@ from gaugeboard.session import scratch_path
 from gaugeboard.streaming import flows
 
 DELAY = "10 minutes"
-_CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 
 
 def _events(t: Tables):
@@ -42,28 +41,30 @@ def _aggs():
     return [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
 
 
-def _windows(df):
-    return rounded(_naive(df, "window_start", "window_end"), 4)
+def _windows(t: Tables, label: str, spans):
+    """All windows of the events, the last ones included."""
+    events, close = flows.closable(_events(t), "ts")
+    found = flows.drain_windows(spans(events), close, label)
+    return rounded(_naive(found, "window_start", "window_end"), 4)
 
 
 @query(
     "stream_tumbling",
     f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, event_type, {_AGGS_SQL}
-        FROM events GROUP BY 1, 2, 3 HAVING window_end <= {_CLOSED}""",
+        FROM events GROUP BY 1, 2, 3""",
 )
 def stream_tumbling(t: Tables):
-    return _windows(flows.drain(flows.tumbling(_events(t), "ts", DELAY, "1 day", ["event_type"], _aggs()), "tumbling"))
+    return _windows(t, "tumbling", lambda events: flows.tumbling(events, "ts", DELAY, "1 day", ["event_type"], _aggs()))
 
 
 @query(
     "stream_sliding",
     f"""SELECT date_trunc('hour', ts)::TIMESTAMP - s.h * INTERVAL 1 HOUR AS window_start,
                date_trunc('hour', ts)::TIMESTAMP - s.h * INTERVAL 1 HOUR + INTERVAL 3 HOUR AS window_end, event_type, {_AGGS_SQL}
-        FROM events CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(3)) s GROUP BY 1, 2, 3 HAVING window_end <= {_CLOSED}""",
+        FROM events CROSS JOIN (SELECT CAST(range AS INTEGER) AS h FROM range(3)) s GROUP BY 1, 2, 3""",
 )
 def stream_sliding(t: Tables):
-    sliding = flows.sliding(_events(t), "ts", DELAY, "3 hours", "1 hour", ["event_type"], _aggs())
-    return _windows(flows.drain(sliding, "sliding"))
+    return _windows(t, "sliding", lambda events: flows.sliding(events, "ts", DELAY, "3 hours", "1 hour", ["event_type"], _aggs()))
 
 
 @query(
@@ -71,10 +72,10 @@ def stream_sliding(t: Tables):
     f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
              s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
         SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user_id, {_AGGS_SQL}
-        FROM s GROUP BY user_id, sid HAVING window_end <= {_CLOSED}""",
+        FROM s GROUP BY user_id, sid""",
 )
 def stream_session(t: Tables):
-    return _windows(flows.drain(flows.sessions(_events(t), "ts", DELAY, "30 minutes", ["user_id"], _aggs()), "sessions"))
+    return _windows(t, "sessions", lambda events: flows.sessions(events, "ts", DELAY, "30 minutes", ["user_id"], _aggs()))
 
 
 @query(

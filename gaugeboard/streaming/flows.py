@@ -8,7 +8,7 @@ shared scratch folder unless a path is given.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -92,6 +92,30 @@ def anomalies(stream: DataFrame, key: str, value: str, history: DataFrame, z: fl
 
 # ---- running a stream over what is available -------------------------------
 
+# A time after all others; no window that ends before it stays open once it is read.
+END_OF_TIME = "9999-01-01"
+
+
+def closable(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream, and a function that lets it end: it then brings a last row, at the end of time.
+
+    Windows come out when the watermark passes their end, so the last ones of a finite input need
+    such a row.  The row's own window never closes, so the row is in no result.
+    """
+    spark, folder = stream.sparkSession, scratch_path(stream.sparkSession, "closing")
+    last = spark.range(1).select(*[F.lit(END_OF_TIME if f.name == ts else None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    last.limit(0).write.parquet(folder)
+    closing = spark.readStream.schema(last.schema).parquet(folder)
+    return stream.unionByName(closing), lambda: last.write.mode("append").parquet(folder)
+
+
+def drain_windows(stream: DataFrame, close: Callable[[], None], label: str) -> DataFrame:
+    """All windows of a finite ``closable`` stream: first what is there, then what the end closes."""
+    sink, checkpoint = scratch_path(stream.sparkSession, label), scratch_path(stream.sparkSession, f"{label}-checkpoint")
+    drain(stream, label, sink, checkpoint)
+    close()
+    return drain(stream, label, sink, checkpoint)
+
 
 def drain(stream: DataFrame, label: str, sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Append to a Parquet table, exactly once; returns the table."""

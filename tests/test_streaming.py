@@ -97,3 +97,21 @@ def test_profiles_add_up(spark, arrivals):
     add([_post(3, 0, 12)], POSTS)
     got = flows.drain_profiles(flows.read_files(spark, folder, POSTS, files_per_batch=1))
     assert tuple(got.where("`column` = 'n'").first()) == ("n", 3, 8.0, 5.0, 12.0)
+
+
+def test_all_windows_come_out_over_several_batches(spark, tmp_path):
+    """The last windows too; every file is a micro-batch of its own."""
+    rows = [(f"k{i % 2}", f"2024-01-01 {i // 4:02d}:{i % 4 * 15:02d}:00") for i in range(60)]
+    frame = spark.createDataFrame(rows, "k string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    for i in range(5):
+        frame.where(F.hour("ts").between(3 * i, 3 * i + 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = flows.read_files(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
+    for name, spans in {
+        "tumbling": lambda s: flows.tumbling(s, "ts", "1 day", "1 hour", ["k"], [F.count("*").alias("n")]),
+        "sliding": lambda s: flows.sliding(s, "ts", "1 day", "2 hours", "1 hour", ["k"], [F.count("*").alias("n")]),
+        "sessions": lambda s: flows.sessions(s, "ts", "1 day", "40 minutes", ["k"], [F.count("*").alias("n")]),
+    }.items():
+        events, close = flows.closable(stream, "ts")
+        got = flows.drain_windows(spans(events), close, f"all-{name}").collect()
+        want = {"tumbling": (30, 60), "sliding": (32, 120), "sessions": (2, 60)}[name]
+        assert (len(got), sum(r["n"] for r in got)) == want
