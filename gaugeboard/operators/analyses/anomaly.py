@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeboard.functions.kinds import number
+from gaugeboard.functions.kinds import number, quoted
 from gaugeboard.operators.quantiles import exact_quantiles, grouped_quantiles
 
 Z = 3.0
@@ -32,9 +32,13 @@ def iqr_rows(df: DataFrame, col: str, k: float = FENCE) -> DataFrame:
 
 
 def iqr_rows_by_group(df: DataFrame, group_by: Sequence[str], col: str, k: float = FENCE) -> DataFrame:
-    """As ``iqr_rows`` with the quartiles of each row's own group."""
+    """As ``iqr_rows`` with the quartiles of each row's own group; NULL is a group too."""
     fences = grouped_quantiles(df, group_by, col, {"__q1": 0.25, "__q3": 0.75})
     reach = F.lit(k) * (F.col("__q3") - F.col("__q1"))
-    fences = fences.select(*group_by, (F.col("__q1") - reach).alias("lower"), (F.col("__q3") + reach).alias("upper"))
-    value = number(df, col)
-    return df.join(fences, list(group_by)).where((value < F.col("lower")) | (value > F.col("upper")))
+    keys = [F.col(quoted(g)).alias(f"__k{i}") for i, g in enumerate(group_by)]
+    fences = fences.select(*keys, (F.col("__q1") - reach).alias("lower"), (F.col("__q3") + reach).alias("upper"))
+    value, same = number(df, col), F.lit(True)
+    for i, g in enumerate(group_by):
+        same = same & F.col(quoted(g)).eqNullSafe(F.col(f"__k{i}"))
+    found = df.join(fences, same).where((value < F.col("lower")) | (value > F.col("upper")))
+    return found.drop(*[f"__k{i}" for i in range(len(group_by))])

@@ -37,31 +37,41 @@ def rfm(features: DataFrame, customer: str, scores: int = SCORES) -> DataFrame:
     return out
 
 
-def _scaled(features: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+def _scaled(features: DataFrame, inputs: Sequence[str], centre: float = 0.0) -> DataFrame:
+    """Adds ``features``: the inputs with mean ``centre`` and deviation 1 (a constant input: all ``centre``)."""
+    from pyspark.ml.feature import VectorAssembler
 
     # Stored, because scaling, fitting and assigning each read the features.
     stored = materialize(features, "features")
-    assembled = VectorAssembler(inputCols=list(inputs), outputCol="__raw").transform(stored)
-    scaler = StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)
-    return scaler.fit(assembled).transform(assembled).drop("__raw")
-
-
-def kmeans_segments(features: DataFrame, inputs: Sequence[str], k: int = CLUSTERS, seed: int = SEED) -> DataFrame:
+    facts = stored.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"f{i}") for i, c in enumerate(inputs)]).first()
+    scaled = stored
+    for i, c in enumerate(inputs):
+        mean, spread = facts[f"f{i}"]["m"], facts[f"f{i}"]["s"] or 1.0
+        scaled = scaled.withColumn(f"__x{i}", (F.col(c) - F.lit(mean)) / F.lit(spread) + F.lit(centre))
+    names = [f"__x{i}" for i in range(len(inputs))]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(scaled).drop(*names)
+
+
+def kmeans_segments(
+    features: DataFrame, inputs: Sequence[str], k: int = CLUSTERS, seed: int = SEED, max_iter: int = 100, tol: float = 1e-6
+) -> DataFrame:
     """K-means on standardised features; adds ``segment``."""
     from pyspark.ml.clustering import KMeans
 
     scaled = _scaled(features, inputs)
-    model = KMeans(k=k, seed=seed, predictionCol="segment").fit(scaled)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="segment").fit(scaled)
     return model.transform(scaled).drop("features")
 
 
-def bisecting_segments(features: DataFrame, inputs: Sequence[str], k: int = CLUSTERS, seed: int = SEED) -> DataFrame:
+def bisecting_segments(
+    features: DataFrame, inputs: Sequence[str], k: int = CLUSTERS, seed: int = SEED, max_iter: int = 100
+) -> DataFrame:
     """Hierarchical segments by repeated splitting; adds ``segment``."""
     from pyspark.ml.clustering import BisectingKMeans
 
-    scaled = _scaled(features, inputs)
-    model = BisectingKMeans(k=k, seed=seed, predictionCol="segment").fit(scaled)
+    # The first split moves off the centre in proportion to it, so the centre must not be zero.
+    scaled = _scaled(features, inputs, centre=1.0)
+    model = BisectingKMeans(k=k, seed=seed, maxIter=max_iter, predictionCol="segment").fit(scaled)
     return model.transform(scaled).drop("features")
 
 

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.functions.kinds import number
+from gaugeboard.session import materialize
 
 SEED = 42
 
@@ -42,30 +43,44 @@ def ols_multi(df: DataFrame, y: str, inputs: Sequence[str]) -> DataFrame:
     return _coefficients(df, [*inputs, "(intercept)", "(r2)"], [*model.coefficients, model.intercept, model.summary.r2])
 
 
-def logistic(df: DataFrame, label: Column, inputs: Sequence[str]) -> DataFrame:
-    """Logistic regression coefficients for a yes/no label, with area under ROC."""
+def logistic(df: DataFrame, label: Column, inputs: Sequence[str], max_iter: int = 200, tol: float = 1e-9) -> DataFrame:
+    """Logistic regression coefficients for a yes/no label, with area under ROC.
+
+    A fit that is still moving after ``max_iter`` steps is refused.
+    """
     from pyspark.ml.classification import LogisticRegression
 
-    model = LogisticRegression(maxIter=25).fit(_assembled(df, inputs, label.cast("int")))
+    model = LogisticRegression(maxIter=max_iter, tol=tol).fit(_assembled(df, inputs, label.cast("int")))
+    if model.summary.totalIterations >= max_iter:
+        raise ValueError(f"no convergence in {max_iter} iterations")
     return _coefficients(df, [*inputs, "(intercept)", "(auc)"], [*model.coefficients, model.intercept, model.summary.areaUnderROC])
 
 
-def feature_importance(df: DataFrame, y: str, inputs: Sequence[str], seed: int = SEED) -> DataFrame:
-    """Per input: standardised linear coefficient and random-forest importance."""
-    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-
-    rows = _assembled(df, inputs, number(df, y)).cache()
-    try:
-        linear = LinearRegression(solver="normal").fit(rows)
-        forest = RandomForestRegressor(numTrees=10, maxDepth=5, seed=seed).fit(rows)
-        spread = df.agg(F.stddev_samp(number(df, y)).alias("y"), *[F.stddev_samp(number(df, c)).alias(f"x{i}") for i, c in enumerate(inputs)]).first()
-    finally:
-        rows.unpersist()
-    weights = forest.featureImportances.toArray()
-    table = [
-        (c, float(linear.coefficients[i] * spread[f"x{i}"] / spread["y"]) if spread["y"] else None, float(weights[i]))
-        for i, c in enumerate(inputs)
-    ]
+def _standardised(rows: DataFrame, inputs: Sequence[str]) -> list[float | None]:
+    """Linear coefficients in standard deviations, model and deviations over the same assembled rows."""
+    from pyspark.ml.regression import LinearRegression
+
+    linear = LinearRegression(solver="normal").fit(rows)
+    values = rows.select("label", vector_to_array("features").alias("f"))
+    spread = values.agg(F.stddev_samp("label").alias("y"), *[F.stddev_samp(F.col("f")[i]).alias(f"x{i}") for i in range(len(inputs))]).first()
+    return [float(linear.coefficients[i] * spread[f"x{i}"] / spread["y"]) if spread["y"] else None for i in range(len(inputs))]
+
+
+def standard_coefficients(df: DataFrame, y: str, inputs: Sequence[str]) -> DataFrame:
+    """Per input the linear coefficient in standard deviations, over the rows without gaps."""
+    rows = materialize(_assembled(df, inputs, number(df, y)), "assembled")
+    return df.sparkSession.createDataFrame(list(zip(inputs, _standardised(rows, inputs))), "feature string, std_coefficient double")
+
+
+def feature_importance(
+    df: DataFrame, y: str, inputs: Sequence[str], seed: int = SEED, trees: int = 10, depth: int = 5
+) -> DataFrame:
+    """Per input: standardised linear coefficient and random-forest importance, over the rows without gaps."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = materialize(_assembled(df, inputs, number(df, y)), "assembled")
+    weights = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(rows).featureImportances.toArray()
+    table = [(c, std, float(w)) for c, std, w in zip(inputs, _standardised(rows, inputs), weights)]
     return df.sparkSession.createDataFrame(table, "feature string, std_coefficient double, importance double")
 
 

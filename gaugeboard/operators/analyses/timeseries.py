@@ -1,8 +1,9 @@
 """Time series: period sums, smoothing, seasonality, decomposition, forecasts.
 
-The raw table is reduced to one row per period (and series) first.  A calendar
-bounds the number of periods, so windows over them stay small; series are
-independent and spread over the cluster.
+The raw table is reduced to one row per period (and series) first, and the calendar
+between a series' first and last period is filled, so neighbouring rows are
+neighbouring periods.  A calendar bounds the number of periods, so windows over
+them stay small; series are independent and spread over the cluster.
 """
 
 from __future__ import annotations
@@ -18,14 +19,31 @@ ALPHA = 0.3
 HORIZON = 3
 
 
-def periods(df: DataFrame, ts: str, value: Column, grain: str = "month", series: Sequence[str] = ()) -> DataFrame:
-    """Sum per period: (series..., period, y, t) with t numbering the periods from 0.
+# Steps of the calendar by name of the period.
+STEPS = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}
 
+
+def periods(
+    df: DataFrame, ts: str, value: Column, grain: str = "month", series: Sequence[str] = (), fill: float | None = 0.0
+) -> DataFrame:
+    """Sum per period: (series..., period, y, t) with t counting the periods since the series' first.
+
+    Periods without rows get ``fill`` (None: NULL); rows without a time are left out.
     The short result is stored, as most uses of it read it more than once.
     """
-    sums = df.groupBy(*series, F.date_trunc(grain, F.col(ts)).cast("date").alias("period")).agg(F.sum(value).alias("y"))
-    order = Window.partitionBy(*series).orderBy("period")
-    return materialize(sums.withColumn("t", (F.row_number().over(order) - 1).cast("bigint")), "periods")
+    day = F.date_trunc(grain, F.col(ts)).cast("date")
+    sums = df.groupBy(*series, day.alias("period")).agg(F.sum(value).alias("y")).where(F.col("period").isNotNull())
+    sums = materialize(sums, "sums")
+    ends = sums.groupBy(*series).agg(F.min("period").alias("__first"), F.max("period").alias("__last"))
+    calendar = F.posexplode(F.sequence("__first", "__last", F.expr(STEPS[grain]))).alias("__t", "__period")
+    every = ends.where(F.col("__first").isNotNull()).select(*[F.col(s).alias(f"__k_{s}") for s in series], calendar)
+    same = F.col("period") == F.col("__period")
+    for s in series:
+        same = same & F.col(s).eqNullSafe(F.col(f"__k_{s}"))
+    y = F.when(F.col("period").isNull(), F.lit(fill)).otherwise(F.col("y")).cast(sums.schema["y"].dataType)
+    filled = every.join(sums, same, "left")
+    keys = [F.col(f"__k_{s}").alias(s) for s in series]
+    return materialize(filled.select(*keys, F.col("__period").alias("period"), y.alias("y"), F.col("__t").cast("bigint").alias("t")), "periods")
 
 
 def moving_average(p: DataFrame, series: Sequence[str] = (), before: int = 1, after: int = 1) -> DataFrame:
@@ -85,12 +103,12 @@ def decompose(p: DataFrame, series: Sequence[str] = (), season: int = SEASON) ->
 def exponential_smoothing(p: DataFrame, series: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """Level after the last period, which is the forecast for all later ones.
 
-    One array per series, as long as its number of periods.
+    Periods without a value leave the level as it is.  One array per series, as long as its number of periods.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("t", "y")))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("y").isNotNull(), F.struct("t", "y"))))
     folded = F.aggregate(
         F.slice(F.col("__s"), F.lit(2), F.greatest(F.size("__s") - 1, F.lit(0))),
-        F.col("__s")[0].getField("y"),
+        F.get("__s", F.lit(0)).getField("y"),
         lambda level, point: F.lit(alpha) * point.getField("y") + F.lit(1 - alpha) * level,
     )
     return p.groupBy(*series).agg(ordered.alias("__s")).select(*series, folded.alias("forecast"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from gaugeboard.operators.analyses import anomaly, customers as cust, descriptive as desc, regression as reg, timeseries as ts
 from gaugeboard.plans.profile_queries import _histogram_sql, rounded
@@ -73,11 +73,19 @@ def an_quantiles(t: Tables):
 
 # ---- time series -----------------------------------------------------------
 
-_MONTHS_SQL = """(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice * 0.91374659::DOUBLE) AS y,
-                         row_number() OVER (ORDER BY CAST(date_trunc('month', o_orderdate) AS DATE)) - 1 AS t FROM orders GROUP BY 1)"""
-_SERIES_SQL = """(SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice * 0.91374659::DOUBLE) AS y,
-                         row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(date_trunc('month', o_orderdate) AS DATE)) - 1 AS t
-                  FROM orders GROUP BY 1, 2)"""
+_MONTHS_SQL = """(WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice * 0.91374659::DOUBLE) AS y FROM orders GROUP BY 1),
+          c AS (SELECT CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM m)
+     SELECT c.period AS period, coalesce(y, 0) AS y, datediff('month', min(c.period) OVER (), c.period) AS t FROM c LEFT JOIN m ON c.period = m.period)"""
+
+
+def _series_sql(key: str) -> str:
+    return f"""(WITH m AS (SELECT {key}, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice * 0.91374659::DOUBLE) AS y FROM orders GROUP BY 1, 2),
+          c AS (SELECT {key}, CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS DATE) AS period FROM m GROUP BY 1)
+     SELECT c.{key} AS {key}, c.period AS period, coalesce(y, 0) AS y, datediff('month', min(c.period) OVER (PARTITION BY c.{key}), c.period) AS t
+     FROM c LEFT JOIN m ON c.period = m.period AND c.{key} = m.{key})"""
+
+
+_SERIES_SQL = _series_sql("o_orderpriority")
 
 
 # Prices in another currency; the many decimals keep sums off rounding borders.
@@ -116,6 +124,19 @@ def an_ts_growth(t: Tables):
     return rounded(rounded(out, 2, ("y", "delta")), 6, ("growth",))
 
 
+@query(
+    "an_ts_gaps",
+    f"""SELECT o_custkey, period, t, round(y, 2) AS y, round(y - lag(y) OVER w, 2) AS delta,
+               round(lag(y, 12) OVER w, 2) AS year_before FROM {_series_sql("o_custkey")} WINDOW w AS (PARTITION BY o_custkey ORDER BY t)""",
+)
+def an_ts_gaps(t: Tables):
+    """Customers order in few months; the months between them count as months without sales."""
+    series = ["o_custkey"]
+    p = ts.periods(t.orders, "o_orderdate", F.col("o_totalprice") * RATE, series=series)
+    order = Window.partitionBy(*series).orderBy("t")
+    return rounded(ts.growth(p, series).withColumn("year_before", F.lag("y", 12).over(order)).drop("growth"), 2)
+
+
 @query(
     "an_ts_trend",
     f"""SELECT o_orderpriority, round(regr_slope(y, t), 2) AS slope, round(regr_intercept(y, t), 2) AS intercept, count(*) AS n
@@ -291,9 +312,33 @@ def an_ols_simple(t: Tables):
 _INPUTS = ["l_quantity", "l_discount", "l_tax"]
 
 
-@query("an_ols_multi")
+def _det(cells: list[list[str]]) -> str:
+    """A 3 x 3 determinant in SQL."""
+    (a, b, c), (d, e, f), (g, h, i) = cells
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _ols_sql() -> str:
+    """One row: the coefficients b0, b1, b2 by Cramer's rule on covariances, and means, deviations and R²."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    spread = [[f"s{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    replaced = [[[f"c{i}" if j == k else spread[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    return f"""
+        (WITH v AS (SELECT l_extendedprice AS y, {", ".join(f"{c} AS x{i}" for i, c in enumerate(_INPUTS))} FROM lineitem),
+              m AS (SELECT {", ".join(f"covar_pop(x{i}, x{j}) AS s{i}{j}" for i, j in pairs)}, {", ".join(f"covar_pop(x{i}, y) AS c{i}, avg(x{i}) AS m{i}, stddev_samp(x{i}) AS d{i}" for i in range(3))},
+                           avg(y) AS my, var_pop(y) AS vy, stddev_samp(y) AS dy FROM v),
+              b AS (SELECT *, {", ".join(f"{_det(replaced[k])} / {_det(spread)} AS b{k}" for k in range(3))} FROM m)
+         SELECT *, my - b0 * m0 - b1 * m1 - b2 * m2 AS intercept, (b0 * c0 + b1 * c1 + b2 * c2) / vy AS r2 FROM b)"""
+
+
+@query(
+    "an_ols_multi",
+    f"""WITH f AS (SELECT * FROM {_ols_sql()})
+        {" UNION ALL ".join(f"SELECT '{c}' AS term, round(b{i}, 3) AS coefficient FROM f" for i, c in enumerate(_INPUTS))}
+        UNION ALL SELECT '(intercept)', round(intercept, 3) FROM f UNION ALL SELECT '(r2)', round(r2, 3) FROM f""",
+)
 def an_ols_multi(t: Tables):
-    return rounded(reg.ols_multi(t.lineitem, "l_extendedprice", _INPUTS))
+    return rounded(reg.ols_multi(t.lineitem, "l_extendedprice", _INPUTS), 3)
 
 
 @query("an_logistic")
@@ -315,9 +360,23 @@ def an_linear_shap(t: Tables):
     return rounded(reg.linear_shap(t.part, "p_retailprice", "p_partkey", ["p_partkey"]))
 
 
-@query("an_linear_shap_multi")
+@query(
+    "an_linear_shap_multi",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, round(avg(abs(b{i} * ({c} - m{i}))), 3) AS mean_abs_phi FROM lineitem, {_ols_sql()}""" for i, c in enumerate(_INPUTS)
+    ),
+)
 def an_linear_shap_multi(t: Tables):
-    return rounded(reg.linear_shap_multi(t.lineitem, "l_extendedprice", _INPUTS))
+    return rounded(reg.linear_shap_multi(t.lineitem, "l_extendedprice", _INPUTS), 3)
+
+
+@query(
+    "an_std_coefficients",
+    f"""WITH f AS (SELECT * FROM {_ols_sql()})
+        {" UNION ALL ".join(f"SELECT '{c}' AS feature, round(b{i} * d{i} / dy, 6) AS std_coefficient FROM f" for i, c in enumerate(_INPUTS))}""",
+)
+def an_std_coefficients(t: Tables):
+    return rounded(reg.standard_coefficients(t.lineitem, "l_extendedprice", _INPUTS))
 
 
 # ---- anomalies -------------------------------------------------------------
