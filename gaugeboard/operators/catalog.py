@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.operators.ordered import position_in_group
 from gaugeboard.operators.profile import first_rows
+from gaugeboard.session import materialize
 
 FEED_PAGE = 50
 PAGE_SIZE = 1000
@@ -102,9 +103,9 @@ def feed(
 ) -> DataFrame:
     """The newest posts with author, counts, and whether the current user reacted.
 
-    The page is cut first; at most ``n`` post ids then restrict the child scans.
+    The page is cut and stored first; its at most ``n`` post ids then restrict the child scans.
     """
-    page = newest(posts, ts, post_id, n)
+    page = materialize(newest(posts, ts, post_id, n), "page")
     ids = F.broadcast(page.select(F.col(post_id).alias("__post")))
 
     def per_post(child: DataFrame, *aggs: Column) -> DataFrame:
@@ -174,11 +175,14 @@ def without_child(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> Data
 def cascade(root: DataFrame, chain: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:
     """Rows that survive a delete, from the surviving root down a foreign-key chain.
 
-    ``chain`` lists (table, foreign key, key of the table above).
+    ``chain`` lists (table, foreign key, key of the table above).  The keys that survive on a level are
+    stored, so that a level does not repeat the joins above it.
     """
     out, above = [root], root
     for table, fk, pk in chain:
-        above = table.join(above, table[fk] == above[pk], "left_semi")
+        keys = above.select(F.col(pk).alias("__key")).distinct()
+        keys = keys if above is root else materialize(keys, "survivors")
+        above = table.join(keys, table[fk] == F.col("__key"), "left_semi")
         out.append(above)
     return out
 

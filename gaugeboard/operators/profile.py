@@ -6,8 +6,10 @@ its docstring says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.functions.kinds import (
@@ -34,7 +36,7 @@ PIE_SLICES = 5
 BINS = 20
 # Tables with more columns than this are bounded by key before they are sorted.
 WIDE = 4
-# Pairs of columns correlated in one pass.
+# Up to so many pairs of columns are correlated by aggregate functions, more by matrix products; either way in one scan.
 PAIRS_PER_PASS = 60
 
 
@@ -210,26 +212,58 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, facts: dict
     """Correlation of every ordered pair of numeric columns, diagonal included.
 
     Rows where either column is missing are left out of that pair.  One scan finds
-    the means (unless ``facts`` gives them), a second adds up products of many pairs.
+    the means (unless ``facts`` gives them), a second adds up the products of all pairs.
     """
     cols = numeric_cols(df) if cols is None else list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
     facts = facts or _column_facts(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        block = pairs[start : start + PAIRS_PER_PASS]
-        sums: dict[str, str] = {}  # SQL text -> name, so that shared sums occur once
-        entries = []
-        for a, b in block:
-            at = {k: sums.setdefault(sql, f"s{len(sums)}") for k, sql in _pair_sums(df, (a, b), facts).items()}
-            for x, y in dict.fromkeys([(a, b), (b, a)]):
-                entries.append(struct_sql(col_a=text_literal(x), col_b=text_literal(y), corr=_pair_corr(at)))
-        totals = df.agg(*[F.expr(sql).alias(name) for sql, name in sums.items()])
-        part = totals.selectExpr(f"inline(array({', '.join(entries)}))")
-        out = part if out is None else out.unionByName(part)
-    return out
+    if len(pairs) > PAIRS_PER_PASS:
+        return _wide_pearson(df, cols, facts)
+    sums: dict[str, str] = {}  # SQL text -> name, so that shared sums occur once
+    entries = []
+    for a, b in pairs:
+        at = {k: sums.setdefault(sql, f"s{len(sums)}") for k, sql in _pair_sums(df, (a, b), facts).items()}
+        for x, y in dict.fromkeys([(a, b), (b, a)]):
+            entries.append(struct_sql(col_a=text_literal(x), col_b=text_literal(y), corr=_pair_corr(at)))
+    totals = df.agg(*[F.expr(sql).alias(name) for sql, name in sums.items()])
+    return totals.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+# Sums over the rows in which both columns of a pair are present.
+_PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of all pairs of columns of a task, by matrix products; one row per pair."""
+    total = None
+    for batch in batches:
+        values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+        there = ~np.isnan(values)
+        x, m = np.where(there, values, 0.0), there.astype(float)
+        square = x * x
+        products = np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
+        total = products if total is None else total + products
+    if total is not None:
+        k = total.shape[1]
+        i, j = (at.ravel() for at in np.indices((k, k)))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.ravel()) for t in total]], ["i", "j", *_PAIR_SUMS])
+
+
+def _wide_pearson(df: DataFrame, cols: Sequence[str], facts: dict[str, dict]) -> DataFrame:
+    """All pairs from one scan; a task sends one row per pair."""
+    shifts = [facts[c]["low"] if facts[c]["low"] == facts[c]["high"] else facts[c]["mean"] for c in cols]
+    shifted = [f"{number_sql(df, c)} - {double_literal(s)} AS c{i}" for i, (c, s) in enumerate(zip(cols, shifts))]
+    schema = "i long, j long, " + ", ".join(f"{s} double" for s in _PAIR_SUMS)
+    sums = df.selectExpr(*shifted).mapInArrow(_gram, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _PAIR_SUMS])
+    # A column is flat within a pair if its deviations vanish there, but for rounding.
+    flat = {v: f"(n * {v}{v} - {v} * {v} <= 1e-12 * n * {v}{v})" for v in "xy"}
+    corr = _pair_corr({**{s: s for s in _PAIR_SUMS}, "x_flat": flat["x"], "y_flat": flat["y"]})
+    names = ", ".join(text_literal(c) for c in cols)
+    every = df.sparkSession.range(len(cols)).selectExpr("id AS i", f"explode(sequence(0L, {len(cols) - 1}L)) AS j")
+    found = every.join(sums, ["i", "j"], "left")
+    return found.selectExpr(f"array({names})[i] AS col_a", f"array({names})[j] AS col_b", f"{corr} AS corr")
 
 
 def corr_map(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

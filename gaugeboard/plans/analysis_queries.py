@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
+from gaugeboard.operators.ordered import running_totals
 from gaugeboard.operators.analyses import anomaly, customers as cust, descriptive as desc, regression as reg, timeseries as ts
 from gaugeboard.plans.profile_queries import _histogram_sql, rounded
 from gaugeboard.plans.registry import Tables, query
@@ -296,6 +297,18 @@ def an_abc_summary(t: Tables):
     return rounded(cust.abc_summary(_items(t), "l_partkey", "revenue"), 4)
 
 
+@query(
+    "running_total_gaps",
+    """SELECT event_id, event_type, round(sum(CASE WHEN event_type = 'purchase' THEN value END) OVER (ORDER BY event_id), 4) AS spent,
+              round(sum(CASE WHEN event_type = 'purchase' THEN value END) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS spent_by_user FROM events""",
+)
+def running_total_gaps(t: Tables):
+    """Only purchases have a value; a total is missing until the first of them."""
+    rows = t.events.select("event_id", "event_type", "user_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("paid"))
+    rows = running_totals(running_totals(rows, [], ["event_id"], {"spent": "paid"}), ["user_id"], ["event_id"], {"spent_by_user": "paid"})
+    return rounded(rows.select("event_id", "event_type", "spent", "spent_by_user"), 4)
+
+
 # ---- regression ------------------------------------------------------------
 
 

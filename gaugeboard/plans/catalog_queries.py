@@ -290,6 +290,17 @@ def cascade_survivors(t: Tables):
     return out
 
 
+@query(
+    "cascade_rows",
+    """SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+       JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2""",
+)
+def cascade_rows(t: Tables):
+    """The rows that are left on the last level."""
+    chain = [(t.customer, "c_nationkey", "n_nationkey"), (t.orders, "o_custkey", "c_custkey"), (t.lineitem, "l_orderkey", "o_orderkey")]
+    return cat.cascade(t.nation.where(F.col("n_regionkey") != 2), chain)[-1].select("l_orderkey", "l_linenumber")
+
+
 # ---- audits ----------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeboard.functions.kinds import categorical_cols, numeric_cols
 from gaugeboard.functions.text import fmt_integer
-from gaugeboard.operators.insights import insight_aggregates, insight_array
+from gaugeboard.operators.insights import KEEP, insight_aggregates, insight_array
 from gaugeboard.operators.profile import (
     PREVIEW_ROWS,
     TOP_CATEGORIES,
@@ -53,7 +53,7 @@ def _struct(**columns: Column | str | int | None) -> Column:
     return F.struct(*out)
 
 
-def _kpis_and_insights(df: DataFrame, order_by: Sequence[str], labels: Sequence[str], formatted: bool) -> DataFrame:
+def _kpis_and_insights(df: DataFrame, order_by: Sequence[str], labels: Sequence[str], formatted: bool, keep: int) -> DataFrame:
     """KPI and insight sections from a single scan of the table."""
     n_cols = len(df.columns)
     aggregated = df.agg(*insight_aggregates(df, order_by))
@@ -63,7 +63,7 @@ def _kpis_and_insights(df: DataFrame, order_by: Sequence[str], labels: Sequence[
         _struct(section="kpi", ordinal=0, title=labels[0], text=rows_text),
         _struct(section="kpi", ordinal=1, title=labels[1], text=cols_text),
     )
-    listed = insight_array(df, aggregated, with_columns=[kpi_rows.alias("kpis")])
+    listed = insight_array(df, aggregated, keep, with_columns=[kpi_rows.alias("kpis")])
     insight_rows = F.transform(
         "insights",
         lambda i, at: _struct(
@@ -172,23 +172,23 @@ def _union(parts: Sequence[DataFrame | None]) -> DataFrame:
     return out
 
 
-def simple_dashboard(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def simple_dashboard(df: DataFrame, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
     """KPIs, top categories of the first text column, histogram of the first number."""
-    head = _kpis_and_insights(df, order_by, ("Total Rows", "Total Columns"), formatted=True)
+    head = _kpis_and_insights(df, order_by, ("Total Rows", "Total Columns"), formatted=True, keep=keep)
     return _union([head, _bar(df, {}), _histogram(df, {})])
 
 
-def ml_dashboard(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def ml_dashboard(df: DataFrame, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
     """KPIs, scatter grid of the first two numbers, correlation heat map."""
-    head = _kpis_and_insights(df, order_by, ("Dataset Size", "Features"), formatted=False)
+    head = _kpis_and_insights(df, order_by, ("Dataset Size", "Features"), formatted=False, keep=keep)
     return _union([head, _scatter(df), _heatmap(df)])
 
 
-def powerbi_dashboard(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def powerbi_dashboard(df: DataFrame, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
     """The simple dashboard on a grid, with a share-of-total pie."""
     first = {"grid_x": 0, "grid_y": 0, "grid_w": 6, "grid_h": 4}
     second = {**first, "grid_x": 6}
-    head = _kpis_and_insights(df, order_by, ("Total Rows", "Total Columns"), formatted=True)
+    head = _kpis_and_insights(df, order_by, ("Total Rows", "Total Columns"), formatted=True, keep=keep)
     bar = _bar(df, first)
     return _union([head, bar, _histogram(df, second if bar is not None else first), _pie(df)])
 
@@ -196,9 +196,9 @@ def powerbi_dashboard(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 STYLES = {"simple": simple_dashboard, "ml": ml_dashboard, "powerbi": powerbi_dashboard}
 
 
-def dashboard(df: DataFrame, style: str, order_by: Sequence[str]) -> DataFrame:
-    """Dashboard rows in a style; an unknown style gives the simple one."""
-    return STYLES.get(style, simple_dashboard)(df, order_by)
+def dashboard(df: DataFrame, style: str, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
+    """Dashboard rows in a style, with the first ``keep`` insights; an unknown style gives the simple one."""
+    return STYLES.get(style, simple_dashboard)(df, order_by, keep)
 
 
 def file_profile(df: DataFrame, order_by: Sequence[str], preview_rows: int = PREVIEW_ROWS) -> DataFrame:

@@ -55,8 +55,28 @@ def test_latest_rows_aggregate_before_the_shuffle(shown, name):
 
 def test_no_pair_joins_or_python(shown):
     for name in sorted(QUERIES):
-        if name.startswith(("stream_", "an_", "csv_", "profile_", "parquet_", "row_callback")):
+        if name.startswith(("stream_", "an_", "csv_", "profile_", "parquet_", "row_callback", "op", "pipeline")):
             continue
         text = shown(name)
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
         assert "Python" not in text and "ArrowEval" not in text, name
+
+
+def scans(text: str) -> int:
+    return sum(line.strip().startswith("(") and "Scan" in line for line in text.splitlines())
+
+
+def test_wide_correlations_read_the_table_twice(spark, tmp_path):
+    from gaugeboard.operators.profile import pearson_matrix
+
+    spark.range(50).selectExpr(*[f"id * {i} % 7 + id AS c{i}" for i in range(60)]).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    assert scans(plan(pearson_matrix(df))) == 1  # and one for the means, when the plan is made
+
+
+def test_the_feed_cuts_its_page_once(shown):
+    assert "TakeOrderedAndProject" not in shown("feed_enriched")
+
+
+def test_a_cascade_does_not_repeat_the_levels_above(shown):
+    assert scans(shown("cascade_survivors")) <= 7
