@@ -56,4 +56,12 @@ def test_no_values(spark):
 def test_middle_value(spark, monkeypatch, n):
     monkeypatch.setattr(quantiles, "READ_OUT", 5)
     df = spark.range(n).select((F.col("id") * 10 + 9007199254740993).alias("k")).repartition(4)
-    assert quantiles.middle_value(df, "k") == (n // 2 - 1) * 10 + 9007199254740993
+    assert quantiles.middle_value(df, "k") == (True, (n // 2 - 1) * 10 + 9007199254740993)
+
+
+def test_middle_value_with_missing_keys(spark):
+    rows = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k bigint")
+    assert quantiles.middle_value(rows(), "k") == (False, None)
+    assert quantiles.middle_value(rows(4), "k") == (False, None)
+    assert quantiles.middle_value(rows(None, None, 1, 2), "k") == (True, None)
+    assert quantiles.middle_value(rows(None, 3, 1, 2), "k") == (True, 1)
