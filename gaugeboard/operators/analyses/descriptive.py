@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugeboard.functions.kinds import number, number_sql, numeric_cols, text_literal
+from gaugeboard.functions.kinds import number, number_sql, numeric_cols, quoted, text_literal
 from gaugeboard.operators.ordered import running_totals
 from gaugeboard.operators.profile import pearson_matrix
 from gaugeboard.operators.quantiles import exact_quantiles
@@ -89,24 +89,42 @@ def _rank_correlations(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rank correlation of every pair of different columns, over rows complete in both.
 
-    Columns without gaps are ranked together; a pair with gaps is ranked on its own rows.
+    Columns that are present in the same rows form a class.  The columns of two classes are ranked together
+    over the rows that have both, so the passes grow with the classes, not with the pairs of columns.
     """
     cols = numeric_cols(df) if cols is None else list(cols)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    complete = [c for i, c in enumerate(cols) if sizes[f"n{i}"] == sizes["n"]]
-    order = {c: i for i, c in enumerate(cols)}
+    here = {c: f"({number_sql(df, c)}) IS NOT NULL" for c in cols}
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"count_if({here[c]})").alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    n = {c: sizes[f"n{i}"] for i, c in enumerate(cols)}
+    gaps = [c for c in cols if n[c] < sizes["n"]]
+    gap_pairs = [(a, b) for i, a in enumerate(gaps) for b in gaps[i + 1 :]]
+    both = {}
+    if gap_pairs:
+        both = dict(zip(gap_pairs, df.agg(*[F.expr(f"count_if({here[a]} AND {here[b]})").alias(f"b{i}") for i, (a, b) in enumerate(gap_pairs)]).first()))
+
+    def together(a: str, b: str) -> int:
+        """Rows that have both; ``a`` comes no later than ``b``, and a complete column takes nothing away."""
+        return both.get((a, b), min(n[a], n[b]))
+
+    classes: list[list[str]] = []
+    for c in cols:
+        same = next((one for one in classes if n[c] == n[one[0]] == together(one[0], c)), None)
+        if same is None:
+            classes.append([c])
+        else:
+            same.append(c)
     parts = []
-    if len(complete) > 1:
-        matrix = _rank_correlations(df, complete, sizes["n"])
-        wanted = [f"{text_literal(a)} || '\t' || {text_literal(b)}" for a in complete for b in complete if order[a] < order[b]]
-        parts.append(matrix.where(F.expr(f"col_a || '\t' || col_b IN ({', '.join(wanted)})")))
-    for a in cols:
-        for b in cols:
-            if order[a] < order[b] and not (a in complete and b in complete):
-                both = df.where(number(df, a).isNotNull() & number(df, b).isNotNull()).select(a, b)
-                parts.append(_rank_correlations(both, [a, b], both.count()).where((F.col("col_a") == a) & (F.col("col_b") == b)))
+    for i, one in enumerate(classes):
+        for other in classes[i:]:
+            pairs = [(a, b) for j, a in enumerate(cols) for b in cols[j + 1 :] if (a in one and b in other) or (a in other and b in one)]
+            if not pairs:
+                continue
+            used = [c for c in cols if c in one or c in other]
+            rows = df.where(f"{here[one[0]]} AND {here[other[0]]}").select(*[F.col(quoted(c)) for c in used])
+            wanted = ", ".join(f"{text_literal(a)} || '\t' || {text_literal(b)}" for a, b in pairs)
+            parts.append(_rank_correlations(rows, used, together(one[0], other[0])).where(F.expr(f"col_a || '\t' || col_b IN ({wanted})")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

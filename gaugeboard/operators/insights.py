@@ -23,6 +23,8 @@ OUTLIER_TITLE = "Extreme Value in %s"
 OUTLIER_TEXT = "The maximum value (%s) is significantly higher (> 3σ) than the average (%s)."
 TREND_TITLE = "%s Trend in %s"
 TREND_TEXT = "Values have %s by approximately %s%% from the first half to the second half of the dataset."
+CORRELATION_TITLE = "Strong Correlation: %s and %s"
+CORRELATION_TEXT = "Values of %s tend to %s as %s rises (r = %s)."
 FALLBACK = (
     "general",
     "Consistent Data",
@@ -122,6 +124,14 @@ def correlation_insights(df: DataFrame, threshold: float = CORRELATION) -> DataF
     return pairs.where((F.col("col_a") < F.col("col_b")) & (F.abs("corr") >= threshold))
 
 
+def correlation_records(df: DataFrame, threshold: float = CORRELATION) -> DataFrame:
+    """The same pairs as insight rows: type, title, description, severity."""
+    words = F.when(F.col("corr") > 0, "rise").otherwise("fall")
+    text = F.format_string(CORRELATION_TEXT, "col_b", words, "col_a", fmt_fixed(F.col("corr"), 2))
+    found = _insight("correlation", F.format_string(CORRELATION_TITLE, "col_a", "col_b"), text, F.lit("info"))
+    return correlation_insights(df, threshold).select(found.alias("i")).select("i.*")
+
+
 def insight_array(
     df: DataFrame, aggregated: DataFrame, keep: int = KEEP, with_columns: Sequence[Column] = ()
 ) -> DataFrame:

@@ -55,6 +55,32 @@ def an_spearman(t: Tables):
     return rounded(desc.spearman_matrix(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
+_GAPS = """(SELECT user_id, value, CASE WHEN event_type = 'purchase' THEN value END AS paid, CASE WHEN event_type = 'purchase' THEN user_id END AS buyer,
+             CASE WHEN event_type <> 'view' THEN value END AS acted FROM events)"""
+_GAP_COLS = ["user_id", "value", "paid", "buyer", "acted"]
+
+
+@query(
+    "an_spearman_gaps",
+    " UNION ALL ".join(
+        _spearman_sql(f"(SELECT * FROM {_GAPS} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)", [(a, b)])
+        for i, a in enumerate(_GAP_COLS)
+        for b in _GAP_COLS[i + 1 :]
+    ),
+)
+def an_spearman_gaps(t: Tables):
+    """Columns that only some events have; each pair is ranked over the rows that have both."""
+    bought = F.col("event_type") == "purchase"
+    rows = t.events.select(
+        "user_id",
+        "value",
+        F.when(bought, F.col("value")).alias("paid"),
+        F.when(bought, F.col("user_id")).alias("buyer"),
+        F.when(F.col("event_type") != "view", F.col("value")).alias("acted"),
+    )
+    return rounded(desc.spearman_matrix(rows, _GAP_COLS))
+
+
 @query("an_distribution", _histogram_sql("documents", "n_chars"))
 def an_distribution(t: Tables):
     from gaugeboard.operators.profile import histogram

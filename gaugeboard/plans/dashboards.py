@@ -201,6 +201,39 @@ def dashboard(df: DataFrame, style: str, order_by: Sequence[str], keep: int = KE
     return STYLES.get(style, simple_dashboard)(df, order_by, keep)
 
 
+def document(rows: DataFrame, layout: str) -> DataFrame:
+    """The rows of a dashboard as one nested row: layout, kpis, charts with their data, insights.
+
+    A dashboard has few rows however large its table, so the document is small.  Entries come by ordinal, then
+    series and label, charts by id; ``grid_pos`` is NULL off the grid.  A section without rows is an empty array.
+    """
+    is_chart = F.col("section") == "chart"
+    entry = F.struct("ordinal", "series", "x_label", "x_num", "y", F.when(~is_chart, F.col("title")).alias("head"), "text")
+    keys = ["section", "chart_id", "chart_type", "grid_x", "grid_y", "grid_w", "grid_h"]
+    parts = rows.groupBy(*keys, F.when(is_chart, F.col("title")).alias("chart_title")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+    def listed(**fields: str) -> Column:
+        return F.transform("entries", lambda e: F.struct(*[e.getField(source).alias(name) for name, source in fields.items()]))
+
+    def of_section(section: str, **fields: str) -> Column:
+        return F.flatten(F.collect_list(F.when(F.col("section") == section, listed(**fields))))
+
+    grid = F.when(F.col("grid_w").isNotNull(), F.struct(*[F.col(f"grid_{c}").alias(c) for c in "xywh"]))
+    chart = F.struct(
+        F.col("chart_id").alias("id"),
+        F.col("chart_type").alias("type"),
+        F.col("chart_title").alias("title"),
+        listed(series="series", ordinal="ordinal", x_label="x_label", x_num="x_num", y="y").alias("data"),
+        grid.alias("grid_pos"),
+    )
+    found = parts.agg(
+        of_section("kpi", label="head", value="text").alias("kpis"),
+        F.sort_array(F.collect_list(F.when(is_chart, chart))).alias("charts"),
+        of_section("insight", type="series", title="head", description="text", severity="x_label").alias("insights"),
+    )
+    return found.select(F.lit(layout).alias("layout"), "kpis", "charts", "insights")
+
+
 def file_profile(df: DataFrame, order_by: Sequence[str], preview_rows: int = PREVIEW_ROWS) -> DataFrame:
     """Schema, summary and preview of a table as (section, ordinal, name, stat, num, text)."""
 

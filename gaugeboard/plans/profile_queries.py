@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeboard.operators import insights as ins, profile as prof
 from gaugeboard.plans import dashboards as dash
-from gaugeboard.plans.registry import Tables, query
+from gaugeboard.plans.registry import ORACLES, Tables, query
 
 
 def rounded(df, digits: int = 6, only: tuple[str, ...] | None = None):
@@ -376,6 +376,16 @@ def insight_correlation(t: Tables):
     return rounded(ins.correlation_insights(t.part, 0.4))
 
 
+@query(
+    "insight_correlation_text",
+    f"""SELECT 'correlation' AS type, 'Strong Correlation: ' || col_a || ' and ' || col_b AS title, 'info' AS severity,
+               'Values of ' || col_b || ' tend to ' || CASE WHEN corr > 0 THEN 'rise' ELSE 'fall' END || ' as ' || col_a || ' rises (r = ' || format('{{:.2f}}', corr) || ').' AS description
+        FROM ({_corr_sql('part', _PART_NUMBERS)}) WHERE col_a < col_b AND abs(corr) >= 0.4""",
+)
+def insight_correlation_text(t: Tables):
+    return ins.correlation_records(t.part, 0.4)
+
+
 # ---- dashboards ------------------------------------------------------------
 
 _EMPTY = {name: f"CAST(NULL AS {'VARCHAR' if ty == 'string' else ty})" for name, ty in dash._COLUMNS}
@@ -427,6 +437,22 @@ def dashboard_simple(t: Tables):
     return rounded(dash.dashboard(t.events, "simple", ["event_id"]))
 
 
+@query(
+    "dashboard_document",
+    f"""WITH d AS ({ORACLES["dashboard_simple"]})
+        SELECT 'simple' AS layout, (SELECT count(*) FROM d WHERE section = 'kpi') AS n_kpis, (SELECT count(*) FROM d WHERE section = 'insight') AS n_insights,
+               chart_id AS id, chart_type AS type, title, count(*) AS n_points, CAST(sum(y) AS DOUBLE) AS total FROM d WHERE section = 'chart' GROUP BY ALL""",
+)
+def dashboard_document(t: Tables):
+    """The nested document, with the data of each chart added up."""
+    found = dash.document(dash.dashboard(t.events, "simple", ["event_id"]), "simple")
+    sizes = [F.size(part).cast("bigint").alias(f"n_{part}") for part in ("kpis", "insights")]
+    total = F.aggregate("data", F.lit(0.0), lambda done, point: done + point.getField("y")).alias("total")
+    return found.select("layout", *sizes, F.inline("charts")).select(
+        "layout", "n_kpis", "n_insights", "id", "type", "title", F.size("data").cast("bigint").alias("n_points"), total
+    )
+
+
 @query(
     "dashboard_ml",
     " UNION ALL ".join(

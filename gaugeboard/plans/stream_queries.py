@@ -100,9 +100,11 @@ _INGESTED = ["event_id", "user_id", "value"]
 @query(
     "stream_ingest_profile",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM events"""
+        f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
+            CAST(max({c}) AS DOUBLE) AS max, CAST(NULL AS VARCHAR) AS min_text, CAST(NULL AS VARCHAR) AS max_text FROM events"""
         for c in _INGESTED
-    ),
+    )
+    + " UNION ALL SELECT 'event_type', count(event_type), NULL, NULL, NULL, NULL, min(event_type), max(event_type) FROM events",
 )
 def stream_ingest_profile(t: Tables):
     """CSV files that arrive in several micro-batches, profiled as they come."""

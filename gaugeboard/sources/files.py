@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gaugeboard.functions.kinds import TEMPORAL, kind
+from gaugeboard.session import materialize
 
 CORRUPT = "_corrupt_record"
 PREVIEW_ROWS = 100
@@ -102,11 +103,24 @@ def records_json(df: DataFrame, name: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias(name))
 
 
-def map_rows(df: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
-    """Run a callback on each Arrow batch of rows, on the executors."""
+def map_rows(
+    df: DataFrame,
+    step: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: T.StructType | str,
+    complete: Callable[[DataFrame], object] | None = None,
+) -> DataFrame:
+    """Run a callback on each Arrow batch of rows, on the executors.
+
+    With ``complete``, the results are stored first, so that every row has been through ``step`` once, and
+    ``complete`` is called with them; it is not called when a step fails.
+    """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield step(frame)
 
-    return df.mapInPandas(batches, schema)
+    out = df.mapInPandas(batches, schema)
+    if complete is not None:
+        out = materialize(out, "callback")
+        complete(out)
+    return out

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from gaugeboard.functions.kinds import number, numeric_cols
+from gaugeboard.functions.kinds import categorical_cols, number, numeric_cols, quoted
 from gaugeboard.operators.catalog import extreme_child
 from gaugeboard.operators.collections import apply_changes, compact_changes
 from gaugeboard.session import materialize, scratch_path
@@ -193,32 +193,43 @@ def drain_changes(
 
 
 def drain_profiles(files: DataFrame, label: str = "ingest", sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Profile files as they arrive; rows (column, n, mean, min, max) over all of them.
+    """Profile files as they arrive; rows (column, n, mean, std, min, max, min_text, max_text) over all of them.
 
-    A batch stores counts, sums and extremes, which add up across batches.
+    A batch stores counts, sums, squared deviations from its own mean and extremes, which add up across batches.
+    ``n`` counts values; a column of numbers has no text extremes and a column of text nothing else.
     """
-    cols = numeric_cols(files)
-    schema = T._parse_datatype_string("`column` string, n bigint, total double, low double, high double")
+    numbers, texts = numeric_cols(files), categorical_cols(files)
+    types = {"column": T.StringType(), "n": T.LongType()}
+    types |= {name: T.DoubleType() for name in ("total", "squares", "low", "high")}
+    types |= {name: T.StringType() for name in ("low_text", "high_text")}
+    schema = T.StructType([T.StructField(*field) for field in types.items()])
 
     def profile(rows: DataFrame) -> DataFrame:
-        agg = rows.agg(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count(number(rows, c)).alias("n"),
-                    F.sum(number(rows, c)).alias("total"),
-                    F.min(number(rows, c)).alias("low"),
-                    F.max(number(rows, c)).alias("high"),
-                ).alias(f"p{i}")
-                for i, c in enumerate(cols)
-            ]
-        )
-        return agg.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(cols))])))
+        def shaped(name: str, **found) -> Column:
+            found["column"] = F.lit(name)
+            return F.struct(*[found.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+        facts = []
+        for c in numbers:
+            v = number(rows, c)
+            facts.append(shaped(c, n=F.count(v), total=F.sum(v), squares=F.var_pop(v) * F.count(v), low=F.min(v), high=F.max(v)))
+        for c in texts:
+            v = F.col(quoted(c))
+            facts.append(shaped(c, n=F.count(v), low_text=F.min(v), high_text=F.max(v)))
+        agg = rows.agg(*[fact.alias(f"p{i}") for i, fact in enumerate(facts)])
+        return agg.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(facts))])))
 
     stored = _drain_batches(files, label, profile, schema, "append", sink, checkpoint)
-    return stored.groupBy("column").agg(
+    whole = stored.groupBy("column").agg(
         F.sum("n").alias("n"),
         F.try_divide(F.sum("total"), F.sum("n")).alias("mean"),
         F.min("low").alias("min"),
         F.max("high").alias("max"),
+        F.min("low_text").alias("min_text"),
+        F.max("high_text").alias("max_text"),
     )
+    # Deviations from the batch's mean, and of the batch's mean from that of all.
+    apart = F.col("squares") + F.col("n") * F.pow(F.try_divide(F.col("total"), F.col("n")) - F.col("mean"), F.lit(2))
+    spread = stored.join(whole.select("column", "mean"), "column").groupBy("column").agg(F.sum(apart).alias("squares"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    return whole.join(spread, "column").select("column", "n", "mean", std.alias("std"), "min", "max", "min_text", "max_text")

@@ -86,3 +86,9 @@ def test_scratch_is_shared_and_can_be_cleared(spark):
     session.clear_scratch(spark)
     with pytest.raises(Exception):
         spark.read.parquet(copy.inputFiles()[0])
+
+
+def test_the_end_of_a_row_callback_gets_all_results(spark):
+    seen = []
+    got = files.map_rows(spark.range(10), lambda rows: rows + 1, "id bigint", complete=lambda results: seen.append(results.count()))
+    assert seen == [10] and sorted(r["id"] for r in got.collect()) == list(range(1, 11))

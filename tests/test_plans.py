@@ -80,3 +80,30 @@ def test_the_feed_cuts_its_page_once(shown):
 
 def test_a_cascade_does_not_repeat_the_levels_above(shown):
     assert scans(shown("cascade_survivors")) <= 7
+
+
+@pytest.mark.parametrize("style", ["simple", "ml", "powerbi"])
+def test_a_document_holds_every_row_of_its_dashboard(spark, sf_dir, style):
+    from gaugeboard.plans.dashboards import dashboard, document
+    from gaugeboard.session import materialize
+
+    rows = materialize(dashboard(spark.read.parquet(f"{sf_dir}/events.parquet"), style, ["event_id"]), "rows")
+    by_section = {s: [r for r in rows.collect() if r["section"] == s] for s in ("kpi", "chart", "insight")}
+    found = document(rows, style).first()
+    assert found["layout"] == style
+    assert [(k["label"], k["value"]) for k in found["kpis"]] == [(r["title"], r["text"]) for r in sorted(by_section["kpi"], key=lambda r: r["ordinal"])]
+    assert [tuple(i) for i in found["insights"]] == [
+        (r["series"], r["title"], r["text"], r["x_label"]) for r in sorted(by_section["insight"], key=lambda r: r["ordinal"])
+    ]
+    assert [c["id"] for c in found["charts"]] == sorted({r["chart_id"] for r in by_section["chart"]})
+    for chart in found["charts"]:
+        own = [r for r in by_section["chart"] if r["chart_id"] == chart["id"]]
+        point = lambda r: (r["series"], r["ordinal"], r["x_label"], r["x_num"], r["y"])
+        assert sorted(map(repr, map(tuple, chart["data"]))) == sorted(map(repr, map(point, own)))
+        assert chart["grid_pos"] is None or tuple(chart["grid_pos"]) == tuple(own[0][f"grid_{c}"] for c in "xywh")
+
+
+def test_a_document_of_no_rows(spark):
+    from gaugeboard.plans.dashboards import SCHEMA, document
+
+    assert tuple(document(spark.createDataFrame([], SCHEMA), "simple").first()) == ("simple", [], [], [])

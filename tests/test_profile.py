@@ -250,3 +250,15 @@ def test_halves_of_mostly_missing_keys(spark):
     for kind in ("bigint", "double"):
         [found] = ins.trend_insights(df.select(F.col("k").cast(kind).alias("k"), "v"), ["k"]).where("`column` = 'v'").collect()
         assert (found["first_mean"], found["second_mean"]) == (1.0, 9.0)
+
+
+def test_spearman_ranks_classes_of_columns_together(spark):
+    """Columns with the same gaps share a pass; every pair agrees with pandas."""
+    rows = [(i, (i * 7) % 11 + 0.5, (i * 5) % 13 if i % 3 else None, (i * 3) % 7 if i % 3 else None, float(i % 5) if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a bigint, b double, `c.d` bigint, e bigint, f double")
+    frame = df.toPandas().astype(float)
+    want = frame.corr("spearman")
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in desc.spearman_matrix(df).collect()}
+    assert len(got) == 10
+    for (a, b), corr in got.items():
+        assert abs(corr - want.loc[a, b]) < 1e-9, (a, b)

@@ -96,7 +96,19 @@ def test_profiles_add_up(spark, arrivals):
     add([_post(1, 0, 5), _post(2, 0, 7)], POSTS)
     add([_post(3, 0, 12)], POSTS)
     got = flows.drain_profiles(flows.read_files(spark, folder, POSTS, files_per_batch=1))
-    assert tuple(got.where("`column` = 'n'").first()) == ("n", 3, 8.0, 5.0, 12.0)
+    row = got.where("`column` = 'n'").first()
+    assert (row["n"], row["mean"], row["min"], row["max"], row["min_text"]) == (3, 8.0, 5.0, 12.0, None)
+    assert row["std"] == pytest.approx(13**0.5)
+
+
+def test_profiles_of_texts_and_missing_values(spark, arrivals):
+    add, folder = arrivals
+    schema = "t string, v double"
+    add([("b", None), (None, None)], schema)
+    add([("a", 2.0), ("c", float("nan"))], schema)
+    got = {r["column"]: r for r in flows.drain_profiles(flows.read_files(spark, folder, schema, files_per_batch=1)).collect()}
+    assert tuple(got["t"]) == ("t", 3, None, None, None, None, "a", "c")
+    assert tuple(got["v"]) == ("v", 1, 2.0, None, 2.0, 2.0, None, None)
 
 
 def test_all_windows_come_out_over_several_batches(spark, tmp_path):
