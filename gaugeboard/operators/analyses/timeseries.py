@@ -53,7 +53,7 @@ def moving_average(p: DataFrame, series: Sequence[str] = (), before: int = 1, af
 
 
 def growth(p: DataFrame, series: Sequence[str] = ()) -> DataFrame:
-    """Change and growth rate against the previous period."""
+    """Change and growth rate against the previous period; the rate is missing after a period of 0."""
     order = Window.partitionBy(*series).orderBy("t")
     before = F.lag("y").over(order)
     return p.withColumns({"delta": F.col("y") - before, "growth": F.try_divide(F.col("y") - before, before)})

@@ -144,7 +144,7 @@ def an_ts_moving_avg(t: Tables):
 @query(
     "an_ts_growth",
     f"""SELECT o_orderpriority, period, t, round(y, 2) AS y, round(y - lag(y) OVER w, 2) AS delta,
-               round((y - lag(y) OVER w) / lag(y) OVER w, 6) AS growth FROM {_SERIES_SQL} WINDOW w AS (PARTITION BY o_orderpriority ORDER BY t)""",
+               round((y - lag(y) OVER w) / nullif(lag(y) OVER w, 0), 6) AS growth FROM {_SERIES_SQL} WINDOW w AS (PARTITION BY o_orderpriority ORDER BY t)""",
 )
 def an_ts_growth(t: Tables):
     out = ts.growth(_series(t), ["o_orderpriority"])
