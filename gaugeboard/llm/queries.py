@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import chat, classify, decontaminate, lm, mixing, pages as web_pages, rules, simhash, substrings, tokens
+from gaugeboard.llm import chat, classify, decontaminate, lm, mixing, pages as web_pages, prefixes, rules, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,40 @@ def token_counts(documents):
 @query("op2_chat_repair", "conversations")
 def chat_repair(conversations):
     return chat.repaired(conversations)
+
+
+@query(
+    "op11_prefix_trie",
+    "conversations",
+    sql=r"""
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+        FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS head,
+               xor(4294967295::BIGINT, list_reduce(
+                   list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) % 9 AS h
+        FROM (SELECT DISTINCT conv_id FROM t)),
+    s AS (
+        SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.head AND p <= h
+        UNION ALL SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+    l AS (SELECT conv_id, coalesce(turns, []) AS turns
+          FROM c LEFT JOIN (SELECT conv_id, list({'r': r, 'x': x} ORDER BY p) AS turns FROM s GROUP BY conv_id) USING (conv_id)),
+    w AS (SELECT conv_id, len(turns) AS n, d, turns[1 : d] AS node, CASE WHEN d > 0 THEN strlen(turns[d].x) ELSE 0 END AS size
+          FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM l)),
+    n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+          FROM w GROUP BY node, d),
+    k AS (SELECT w.node[1 : w.d - 1] AS node, w.d - 1 AS d, count(*) AS n_children FROM n w WHERE w.d > 0 GROUP BY 1, 2),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, above.conv_id AS parent_conv_id
+          FROM n LEFT JOIN k ON n.node = k.node AND n.d = k.d LEFT JOIN n above ON above.d = n.d - 1 AND above.node = n.node[1 : n.d - 1]),
+    u AS (SELECT a.node, a.d, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.size) AS saved_tokens
+          FROM m JOIN w a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.node, a.d)
+    SELECT conv_id, m.d::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+           n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+    FROM m JOIN u ON m.node = u.node AND m.d = u.d""",
+)
+def prefix_trie(conversations):
+    return prefixes.respliced_trie(conversations)
