@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeboard.llm import chat, classify, decontaminate, lm, mixing, pages as web_pages, prefixes, rules, simhash, substrings, tokens
+from gaugeboard.llm import chat, classify, decontaminate, lm, mixing, pages as web_pages, pivots, prefixes, ranked, rules, simhash, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,43 @@ def chat_repair(conversations):
 )
 def prefix_trie(conversations):
     return prefixes.respliced_trie(conversations)
+
+
+@query(
+    "op13_ranked_search",
+    "documents",
+    "benchmark",
+    sql=r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+                      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+               FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT item_id, row_number() OVER () AS i,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+          FROM benchmark WHERE text IS NOT NULL),
+    q AS (SELECT i, item_id, unnest(list_distinct(w)) AS t FROM b),
+    s AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+    p AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY r, doc_id, n, t),
+    f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY t, docs),
+    h AS (SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length))))::BIGINT AS score
+          FROM q JOIN p USING (t) JOIN f USING (t), s GROUP BY i, item_id, r, doc_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM h WHERE score > 0)
+    SELECT item_id, place::INTEGER AS rank, doc_id, score FROM o WHERE place <= 10""",
+)
+def ranked_search(documents, benchmark):
+    return ranked.top_documents(documents, benchmark)
+
+
+@query(
+    "op12_top_vectors",
+    "embeddings",
+    sql="""
+    WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+               FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, c.r AS other, list_sum(list_transform(list_zip(q.x, c.x, true), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS place FROM s)
+    SELECT query_id, place::INTEGER AS rank, vec_id, score FROM o WHERE place <= 5""",
+)
+def top_vectors(embeddings):
+    return pivots.top_vectors(embeddings)
