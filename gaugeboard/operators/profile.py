@@ -6,10 +6,8 @@ its docstring says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.functions.kinds import (
@@ -27,6 +25,7 @@ from gaugeboard.functions.kinds import (
     quoted,
     text_literal,
 )
+from gaugeboard.operators.comoments import correlation, merge_moments, pair_moments
 from gaugeboard.operators.quantiles import exact_quantiles
 from gaugeboard.session import materialize
 
@@ -36,7 +35,7 @@ PIE_SLICES = 5
 BINS = 20
 # Tables with more columns than this are bounded by key before they are sorted.
 WIDE = 4
-# Up to so many pairs of columns are correlated by aggregate functions, more by matrix products; either way in one scan.
+# Up to so many pairs of columns are correlated by aggregate functions, more by matrix products; with the same values.
 PAIRS_PER_PASS = 60
 
 
@@ -160,37 +159,21 @@ def describe(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _pair_sums(df: DataFrame, names: tuple[str, str], facts: dict) -> dict[str, str]:
-    """SQL sums over the rows where both columns are present, shifted towards zero.
+    """SQL sums over all rows of two columns without gaps, shifted by their means.
 
-    Shifting by the mean keeps plain sums accurate, and plain sums are the cheapest
-    aggregates; equal ones of different pairs are computed once.
+    Shifted plain sums are accurate, as the mean of a column is that of the pair's rows, and are the
+    cheapest aggregates; equal ones of different pairs are computed once.
     """
-    shifted = []
-    for c in names:
-        shift = facts[c]["low"] if facts[c]["low"] == facts[c]["high"] else facts[c]["mean"]
-        shifted.append(f"({number_sql(df, c)} - {double_literal(shift)})")
-    x, y = shifted
-    if not all(facts[c]["complete"] for c in names):
-        both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-        x, y = (f"CASE WHEN {both} THEN {v} END" for v in (x, y))
-    return {
-        "n": f"count({x})",
-        "x": f"sum({x})",
-        "y": f"sum({y})",
-        "xx": f"sum({x} * {x})",
-        "yy": f"sum({y} * {y})",
-        "xy": f"sum({x} * {y})",
-        "x_flat": f"min({x}) = max({x})",
-        "y_flat": f"min({y}) = max({y})",
-    }
+    x, y = (f"({number_sql(df, c)} - {double_literal(facts[c]['mean'])})" for c in names)
+    return {"n": f"count({x})", "x": f"sum({x})", "y": f"sum({y})", "xx": f"sum({x} * {x})", "yy": f"sum({y} * {y})", "xy": f"sum({x} * {y})"}
 
 
 def _pair_corr(at: dict[str, str]) -> str:
-    """SQL correlation from the columns that hold ``_pair_sums``; NULL for a constant side."""
+    """SQL correlation from the columns that hold ``_pair_sums``."""
     cov = f"({at['xy']} - try_divide({at['x']} * {at['y']}, {at['n']}))"
     var_x = f"({at['xx']} - try_divide({at['x']} * {at['x']}, {at['n']}))"
     var_y = f"({at['yy']} - try_divide({at['y']} * {at['y']}, {at['n']}))"
-    return f"CASE WHEN NOT ({at['x_flat']} OR {at['y_flat']}) THEN try_divide({cov}, sqrt({var_x}) * sqrt({var_y})) END"
+    return f"try_divide({cov}, sqrt({var_x}) * sqrt({var_y}))"
 
 
 def _column_facts(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
@@ -211,59 +194,40 @@ def _column_facts(df: DataFrame, cols: Sequence[str]) -> dict[str, dict]:
 def pearson_matrix(df: DataFrame, cols: Sequence[str] | None = None, facts: dict[str, dict] | None = None) -> DataFrame:
     """Correlation of every ordered pair of numeric columns, diagonal included.
 
-    Rows where either column is missing are left out of that pair.  One scan finds
-    the means (unless ``facts`` gives them), a second adds up the products of all pairs.
+    Rows where either column is missing are left out of that pair; a pair in which a side has only one value
+    has no correlation.  One scan finds the means (unless ``facts`` gives them), a second adds up the products
+    of all pairs.  Pairs with gaps are centred by their own rows.
     """
     cols = numeric_cols(df) if cols is None else list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    facts = facts or _column_facts(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     if len(pairs) > PAIRS_PER_PASS:
-        return _wide_pearson(df, cols, facts)
+        return _wide_pearson(df, cols)
+    facts = facts or _column_facts(df, cols)
     sums: dict[str, str] = {}  # SQL text -> name, so that shared sums occur once
     entries = []
     for a, b in pairs:
-        at = {k: sums.setdefault(sql, f"s{len(sums)}") for k, sql in _pair_sums(df, (a, b), facts).items()}
+        if any(facts[c]["low"] == facts[c]["high"] for c in (a, b)):
+            corr = "CAST(NULL AS DOUBLE)"
+        elif all(facts[c]["complete"] for c in (a, b)):
+            corr = _pair_corr({k: sums.setdefault(sql, f"s{len(sums)}") for k, sql in _pair_sums(df, (a, b), facts).items()})
+        else:
+            corr = sums.setdefault(f"corr({number_sql(df, a)}, {number_sql(df, b)})", f"s{len(sums)}")
         for x, y in dict.fromkeys([(a, b), (b, a)]):
-            entries.append(struct_sql(col_a=text_literal(x), col_b=text_literal(y), corr=_pair_corr(at)))
-    totals = df.agg(*[F.expr(sql).alias(name) for sql, name in sums.items()])
+            entries.append(struct_sql(col_a=text_literal(x), col_b=text_literal(y), corr=corr))
+    totals = df.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(sql).alias(name) for sql, name in sums.items()])
     return totals.selectExpr(f"inline(array({', '.join(entries)}))")
 
 
-# Sums over the rows in which both columns of a pair are present.
-_PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
-
-
-def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of products of all pairs of columns of a task, by matrix products; one row per pair."""
-    total = None
-    for batch in batches:
-        values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
-        there = ~np.isnan(values)
-        x, m = np.where(there, values, 0.0), there.astype(float)
-        square = x * x
-        products = np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
-        total = products if total is None else total + products
-    if total is not None:
-        k = total.shape[1]
-        i, j = (at.ravel() for at in np.indices((k, k)))
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.ravel()) for t in total]], ["i", "j", *_PAIR_SUMS])
-
-
-def _wide_pearson(df: DataFrame, cols: Sequence[str], facts: dict[str, dict]) -> DataFrame:
+def _wide_pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairs from one scan; a task sends one row per pair."""
-    shifts = [facts[c]["low"] if facts[c]["low"] == facts[c]["high"] else facts[c]["mean"] for c in cols]
-    shifted = [f"{number_sql(df, c)} - {double_literal(s)} AS c{i}" for i, (c, s) in enumerate(zip(cols, shifts))]
-    schema = "i long, j long, " + ", ".join(f"{s} double" for s in _PAIR_SUMS)
-    sums = df.selectExpr(*shifted).mapInArrow(_gram, schema).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _PAIR_SUMS])
-    # A column is flat within a pair if its deviations vanish there, but for rounding.
-    flat = {v: f"(n * {v}{v} - {v} * {v} <= 1e-12 * n * {v}{v})" for v in "xy"}
-    corr = _pair_corr({**{s: s for s in _PAIR_SUMS}, "x_flat": flat["x"], "y_flat": flat["y"]})
+    found = merge_moments(pair_moments(df, cols), ["i", "j"]).select("i", "j", correlation().alias("corr"))
+    one, other = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    found = found.select(F.explode(F.when(F.col("i") < F.col("j"), F.array(one, other)).otherwise(F.array(one))).alias("at"), "corr").select("at.*", "corr")
     names = ", ".join(text_literal(c) for c in cols)
     every = df.sparkSession.range(len(cols)).selectExpr("id AS i", f"explode(sequence(0L, {len(cols) - 1}L)) AS j")
-    found = every.join(sums, ["i", "j"], "left")
-    return found.selectExpr(f"array({names})[i] AS col_a", f"array({names})[j] AS col_b", f"{corr} AS corr")
+    return every.join(found, ["i", "j"], "left").selectExpr(f"array({names})[i] AS col_a", f"array({names})[j] AS col_b", "corr")
 
 
 def corr_map(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -142,6 +142,31 @@ def pearson_matrix(t: Tables):
     return rounded(prof.pearson_matrix(t.lineitem))
 
 
+_BAND = "l_linenumber <= 2"
+
+
+@query(
+    "pearson_offsets",
+    f"""WITH c AS (SELECT corr(l_discount, l_tax) FILTER (WHERE {_BAND}) AS ab, corr(l_discount, l_quantity) FILTER (WHERE {_BAND}) AS bq FROM lineitem)
+        SELECT w.n AS width, round(ab, 6) AS far_pair, round(bq, 6) AS gap_pair FROM c CROSS JOIN (SELECT 3::BIGINT AS n UNION ALL SELECT 12::BIGINT) w""",
+)
+def pearson_offsets(t: Tables):
+    """Columns with large offsets where the other has gaps; alike for few columns and for many."""
+    here = F.col("l_linenumber") <= 2
+    far = F.when(here, F.col("l_tax") + 1_000_000).otherwise(F.col("l_discount") - 1_000_000)
+    df = t.lineitem.select(
+        far.alias("far"), F.when(here, F.col("l_discount") - 5_000).alias("gaps"), "l_quantity",
+        *[(F.col("l_quantity") * i + F.col("l_tax")).alias(f"more{i}") for i in range(9)],
+    )
+    out = None
+    for width in (3, 12):
+        matrix = prof.pearson_matrix(df, df.columns[:width]).where("col_a = 'gaps' AND col_b IN ('far', 'l_quantity')")
+        picked = [F.max(F.when(F.col("col_b") == c, F.col("corr"))).alias(name) for c, name in (("far", "far_pair"), ("l_quantity", "gap_pair"))]
+        row = matrix.agg(*picked).select(F.lit(width).cast("long").alias("width"), "far_pair", "gap_pair")
+        out = row if out is None else out.unionByName(row)
+    return rounded(out)
+
+
 @query("corr_map", _corr_sql("part", _PART_NUMBERS))
 def corr_map(t: Tables):
     nested = prof.corr_map(t.part)

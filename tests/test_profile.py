@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,32 @@ def test_correlation_far_from_zero(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_few_and_many_columns_agree_with_offsets_and_gaps(spark, seed):
+    rng = np.random.default_rng(seed)
+    base, n = rng.normal(size=200), 200
+    columns = []
+    for i in range(12):
+        x = base * rng.normal() + rng.normal(size=n) * 0.3 + rng.choice([0.0, 1e6, -1e7])
+        here = rng.random(n) < rng.choice([1.0, 0.7, 0.3])
+        x = np.where(here, x, np.nan)
+        if i % 4 == 3:
+            x = np.where(np.isnan(columns[-1]), -1e6, x)  # elsewhere far from where the column before is present
+        columns.append(x)
+    columns[5][:] = 1 / 3
+    columns[6][1:] = np.nan
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame(pd.DataFrame(dict(zip(names, columns)))).repartition(3)
+    wide = {(r["col_a"], r["col_b"]): r["corr"] for r in prof.pearson_matrix(df).collect()}
+    for a, b in [(0, 1), (2, 3), (6, 7), (3, 5), (10, 11), (4, 4)]:
+        both = ~np.isnan(columns[a]) & ~np.isnan(columns[b])
+        x, y = columns[a][both], columns[b][both]
+        want = None if len(x) < 2 or x.min() == x.max() or y.min() == y.max() else np.corrcoef(x, y)[0, 1]
+        few = {(r["col_a"], r["col_b"]): r["corr"] for r in prof.pearson_matrix(df, list(dict.fromkeys([names[a], names[b]]))).collect()}
+        for got in (few[names[a], names[b]], wide[names[a], names[b]], wide[names[b], names[a]]):
+            assert got is None if want is None else got == pytest.approx(want, abs=1e-6)
+
+
 def test_many_columns_need_several_passes(spark):
     df = spark.range(50).select(*[(F.col("id") * (i % 3 - 1) + F.rand(i)).alias(f"c{i}") for i in range(12)])
     assert prof.pearson_matrix(df).count() == 144
