@@ -12,10 +12,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from gaugeboard.functions.kinds import categorical_cols, number, numeric_cols, quoted
+from gaugeboard.functions.kinds import number
 from gaugeboard.operators.catalog import extreme_child
 from gaugeboard.operators.collections import apply_changes, compact_changes
 from gaugeboard.session import materialize, scratch_path
+from gaugeboard.sources.folders import Folder
+from gaugeboard.streaming import profiles
+from gaugeboard.streaming.folded import EVERY, FoldedLog
 
 
 def read_files(
@@ -92,34 +95,46 @@ def anomalies(stream: DataFrame, key: str, value: str, history: DataFrame, z: fl
 
 # ---- running a stream over what is available -------------------------------
 
-# A time after all others; no window that ends before it stays open once it is read.
-END_OF_TIME = "9999-01-01"
+# A time after all others, the last year that pandas can hold; no window that ends before it stays open once it is read.
+END_OF_TIME = "2262-01-01"
+_CLOSED = "closed-at-the-end"
 
 
-def closable(stream: DataFrame, ts: str) -> tuple[DataFrame, Callable[[], None]]:
+def closable(stream: DataFrame, ts: str, **values) -> tuple[DataFrame, Callable[[], None]]:
     """The stream, and a function that lets it end: it then brings a last row, at the end of time.
 
     Windows come out when the watermark passes their end, so the last ones of a finite input need
-    such a row.  The row's own window never closes, so the row is in no result.
+    such a row.  The row's own window never closes, so the row is in no result.  ``values`` are what it has in
+    other columns (NULL, if not given): a join drops rows without a key before they move the watermark.
     """
     spark, folder = stream.sparkSession, scratch_path(stream.sparkSession, "closing")
-    last = spark.range(1).select(*[F.lit(END_OF_TIME if f.name == ts else None).cast(f.dataType).alias(f.name) for f in stream.schema])
+    last = spark.range(1).select(*[F.lit(END_OF_TIME if f.name == ts else values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema])
     last.limit(0).write.parquet(folder)
     closing = spark.readStream.schema(last.schema).parquet(folder)
     return stream.unionByName(closing), lambda: last.write.mode("append").parquet(folder)
 
 
-def drain_windows(stream: DataFrame, close: Callable[[], None], label: str) -> DataFrame:
+def drain_windows(
+    stream: DataFrame, close: Callable[[], None], label: str, sink: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
     """All windows of a finite ``closable`` stream: first what is there, then what the end closes."""
-    sink, checkpoint = scratch_path(stream.sparkSession, label), scratch_path(stream.sparkSession, f"{label}-checkpoint")
+    sink = sink or scratch_path(stream.sparkSession, label)
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, f"{label}-checkpoint")
     drain(stream, label, sink, checkpoint)
     close()
-    return drain(stream, label, sink, checkpoint)
+    found = drain(stream, label, sink, checkpoint)
+    Folder(stream.sparkSession, checkpoint).mark(_CLOSED)
+    return found
 
 
 def drain(stream: DataFrame, label: str, sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Append to a Parquet table, exactly once; returns the table."""
+    """Append to a Parquet table, exactly once; returns the table.
+
+    A checkpoint that ``drain_windows`` has closed stands at the end of time and would drop every row; it is refused.
+    """
     spark = stream.sparkSession
+    if checkpoint and Folder(spark, checkpoint).has(_CLOSED):
+        raise ValueError(f"{checkpoint} belongs to a stream that has ended")
     sink = sink or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
@@ -133,41 +148,45 @@ def drain(stream: DataFrame, label: str, sink: str | None = None, checkpoint: st
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-def _drain_batches(stream: DataFrame, label: str, per_batch, schema, mode: str, sink: str | None, checkpoint: str | None) -> DataFrame:
-    """Write ``per_batch(rows)`` of every micro-batch; a repeated batch replaces its own folder."""
-    spark = stream.sparkSession
-    sink = sink or scratch_path(spark, label)
+def _drain_batches(stream: DataFrame, label: str, per_batch, log: FoldedLog, mode: str, checkpoint: str | None) -> None:
+    """Write ``per_batch(rows, batch)`` of every micro-batch to the log; a repeated batch replaces itself."""
 
-    def write(rows: DataFrame, batch_id: int) -> None:
+    def write(rows: DataFrame, batch: int) -> None:
         # The result may read the batch more than once; do not read the source again.
         rows.persist()
         try:
-            per_batch(rows).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            log.append(per_batch(rows, batch), batch)
         finally:
             rows.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, f"{label}-checkpoint"))
+        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, f"{label}-checkpoint"))
         .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(sink)
 
 
 def drain_updates(
-    stream: DataFrame, keys: Sequence[str], label: str, sink: str | None = None, checkpoint: str | None = None
+    stream: DataFrame, keys: Sequence[str], label: str, sink: str | None = None, checkpoint: str | None = None, every: int = EVERY
 ) -> DataFrame:
     """Current row per key of an update-mode aggregate.
 
-    Batches only append the keys they changed; the newest batch wins on reading.
+    Batches only append the keys they changed; the newest batch wins.  Every ``every`` batches the log is
+    folded to one row per key.
     """
-    log = _drain_batches(stream, label, lambda rows: rows, stream.schema, "update", sink, checkpoint)
-    one_key = log.withColumn("__key", F.struct(*keys)).drop(*keys)
-    latest = extreme_child(one_key, "__key", ["batch_id"])
-    return latest.select("__key.*", *[c for c in latest.columns if c not in ("__key", "batch_id")])
+
+    def newest(rows: DataFrame) -> DataFrame:
+        one_key = rows.withColumn("__key", F.struct(*keys)).drop(*keys)
+        latest = extreme_child(one_key, "__key", ["batch_id"])
+        return latest.select("__key.*", *[c for c in latest.columns if c != "__key"]).select(*rows.columns)
+
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
+    log = FoldedLog(stream.sparkSession, sink or scratch_path(stream.sparkSession, label), schema, newest, every)
+    _drain_batches(stream, label, lambda rows, batch: rows.withColumn("batch_id", F.lit(batch).cast("long")), log, "update", checkpoint)
+    return newest(log.read()).drop("batch_id")
 
 
 def drain_changes(
@@ -179,57 +198,30 @@ def drain_changes(
     label: str = "changes",
     sink: str | None = None,
     checkpoint: str | None = None,
+    every: int = EVERY,
 ) -> DataFrame:
     """Apply a stream of create, update and delete events.
 
-    Each batch is compacted to a few rows per key and stored; reading applies
-    the compacted logs, so no batch rewrites the whole table.
+    Each batch is compacted to a few rows per key and stored; reading applies the compacted logs, so no
+    batch rewrites the whole table.  Every ``every`` batches they are folded into one.  The changes of a key
+    come in order of ``seq``, but for those of one micro-batch.
     """
-    schema = T.StructType([changes.schema[c] for c in (key, seq, op, *attrs)])
-    log = _drain_batches(
-        changes, label, lambda rows: compact_changes(rows, key, seq, op, attrs), schema, "append", sink, checkpoint
-    )
-    return apply_changes(log.drop("batch_id"), key, seq, op, attrs)
-
 
-def drain_profiles(files: DataFrame, label: str = "ingest", sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Profile files as they arrive; rows (column, n, mean, std, min, max, min_text, max_text) over all of them.
+    def compacted(rows: DataFrame) -> DataFrame:
+        return compact_changes(rows, key, seq, op, attrs).select(key, seq, op, *attrs)
 
-    A batch stores counts, sums, squared deviations from its own mean and extremes, which add up across batches.
-    ``n`` counts values; a column of numbers has no text extremes and a column of text nothing else.
-    """
-    numbers, texts = numeric_cols(files), categorical_cols(files)
-    types = {"column": T.StringType(), "n": T.LongType()}
-    types |= {name: T.DoubleType() for name in ("total", "squares", "low", "high")}
-    types |= {name: T.StringType() for name in ("low_text", "high_text")}
-    schema = T.StructType([T.StructField(*field) for field in types.items()])
-
-    def profile(rows: DataFrame) -> DataFrame:
-        def shaped(name: str, **found) -> Column:
-            found["column"] = F.lit(name)
-            return F.struct(*[found.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-        facts = []
-        for c in numbers:
-            v = number(rows, c)
-            facts.append(shaped(c, n=F.count(v), total=F.sum(v), squares=F.var_pop(v) * F.count(v), low=F.min(v), high=F.max(v)))
-        for c in texts:
-            v = F.col(quoted(c))
-            facts.append(shaped(c, n=F.count(v), low_text=F.min(v), high_text=F.max(v)))
-        agg = rows.agg(*[fact.alias(f"p{i}") for i, fact in enumerate(facts)])
-        return agg.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(facts))])))
-
-    stored = _drain_batches(files, label, profile, schema, "append", sink, checkpoint)
-    whole = stored.groupBy("column").agg(
-        F.sum("n").alias("n"),
-        F.try_divide(F.sum("total"), F.sum("n")).alias("mean"),
-        F.min("low").alias("min"),
-        F.max("high").alias("max"),
-        F.min("low_text").alias("min_text"),
-        F.max("high_text").alias("max_text"),
-    )
-    # Deviations from the batch's mean, and of the batch's mean from that of all.
-    apart = F.col("squares") + F.col("n") * F.pow(F.try_divide(F.col("total"), F.col("n")) - F.col("mean"), F.lit(2))
-    spread = stored.join(whole.select("column", "mean"), "column").groupBy("column").agg(F.sum(apart).alias("squares"))
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
-    return whole.join(spread, "column").select("column", "n", "mean", std.alias("std"), "min", "max", "min_text", "max_text")
+    schema = T.StructType([changes.schema[c] for c in (key, seq, op, *attrs)])
+    log = FoldedLog(changes.sparkSession, sink or scratch_path(changes.sparkSession, label), schema, compacted, every)
+    _drain_batches(changes, label, lambda rows, _: compacted(rows), log, "append", checkpoint)
+    return apply_changes(log.read(), key, seq, op, attrs)
+
+
+def drain_profiles(
+    files: DataFrame, label: str = "ingest", sink: str | None = None, checkpoint: str | None = None, every: int = EVERY
+) -> profiles.Profile:
+    """Profile files as they arrive; every batch stores its state, and states fold into the profile of all files."""
+    spark = files.sparkSession
+    schema = spark.createDataFrame([], profiles.SCHEMA).schema
+    log = FoldedLog(spark, sink or scratch_path(spark, label), schema, profiles.fold, every)
+    _drain_batches(files, label, lambda rows, _: profiles.state(rows), log, "append", checkpoint)
+    return profiles.Profile(log.read())
