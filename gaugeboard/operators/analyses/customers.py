@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugeboard.operators.ordered import bucket_of, running_totals, with_position
+from gaugeboard.operators.ordered import running_totals
+from gaugeboard.operators.quantiles import NO_KEY, rows_at_ranks
 from gaugeboard.session import materialize
 
 CLASS_A, CLASS_B = 0.80, 0.95
@@ -25,16 +26,24 @@ def rfm_features(sales: DataFrame, customer: str, ts: str, amount: str, now: Col
 
 
 def rfm(features: DataFrame, customer: str, scores: int = SCORES) -> DataFrame:
-    """Quantile scores 1..5 for recency (recent is high), frequency and money.
+    """Quantile scores 1..5 for recency (recent is high), frequency and money; ties go by the customer's whole number.
 
-    Positions come from range partitioning, one narrow pass per score.
+    Missing values are the lowest.  The last row of each score but the highest is searched, for all three
+    features at once (``rows_at_ranks``), and scores are read off by comparing with them: no row is moved.
     """
-    out = features
-    for name, feature, best_first in (("r", "recency", True), ("f", "frequency", False), ("m", "monetary", False)):
-        key = F.col(feature).desc() if best_first else F.col(feature).asc()
-        out = with_position(out, [key, F.col(customer).asc()], "__pos", total="__n")
-        out = out.withColumn(name, bucket_of(F.col("__pos"), F.col("__n"), scores)).drop("__pos", "__n")
-    return out
+    stored = materialize(features, "features")
+    lowest = "CAST('-Infinity' AS DOUBLE)"
+    orders = {name: f"coalesce(nanvl({sql}, NULL), {lowest})" for name, sql in (("r", "CAST(-recency AS DOUBLE)"), ("f", "CAST(frequency AS DOUBLE)"), ("m", "CAST(monetary AS DOUBLE)"))}
+    small, larger = divmod(stored.count(), scores)
+    # As ntile does, the first ``larger`` scores hold a row more.
+    cuts = rows_at_ranks(stored, orders, customer, [small * i + min(i, larger) - 1 for i in range(1, scores)])
+    place = F.coalesce(F.col(customer).cast("long"), F.lit(NO_KEY))
+
+    def score(name: str) -> Column:
+        over = [(F.struct(F.expr(orders[name]).alias("v"), place.alias("k")) > F.struct(F.lit(v).alias("v"), F.lit(k).cast("long").alias("k"))).cast("long") for v, k in cuts[name]]
+        return sum(over, F.lit(1).cast("long"))
+
+    return stored.withColumns({name: score(name) for name in orders})
 
 
 def _scaled(features: DataFrame, inputs: Sequence[str], centre: float = 0.0) -> DataFrame:

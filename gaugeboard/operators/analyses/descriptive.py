@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.functions.kinds import number, number_sql, numeric_cols, quoted, text_literal
 from gaugeboard.operators.ordered import running_totals
@@ -14,6 +14,8 @@ from gaugeboard.session import materialize
 
 QUARTILES = (0.25, 0.5, 0.75)
 DECILES = tuple(i / 10 for i in range(11))
+# Different values, of all columns together, whose ranks are sent to every task.
+LOOKED_UP = 200_000
 
 
 def descriptive(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -40,8 +42,8 @@ def descriptive(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def modes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Most frequent value per column, the smallest of equally frequent ones."""
     cols = numeric_cols(df) if cols is None else list(cols)
-    best = _value_counts(df, cols).groupBy("column").agg(F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("b"))
-    return best.select("column", (-F.col("b.neg")).alias("mode"), F.col("b.n").alias("n"))
+    best = _value_counts(df, cols).groupBy("c").agg(F.max(F.struct("n", (-F.col("value")).alias("neg"))).alias("b"))
+    return best.select(_name(cols), (-F.col("b.neg")).alias("mode"), F.col("b.n").alias("n"))
 
 
 def quantile_table(df: DataFrame, col: str, probs: Sequence[float] = DECILES) -> DataFrame:
@@ -57,33 +59,62 @@ def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     All columns are ranked in one pass: values are counted, and running counts over
     the range-partitioned counts give the ranks.
     """
+    return _coded_ranks(df, cols).select(_name(cols), "value", "rank")
+
+
+def _coded_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(c, value, rank): as ``average_ranks``, by the column's place."""
     counted = materialize(_value_counts(df, cols), "counts")
-    ranked = running_totals(counted, ["column"], ["value"], {"upto": "n"})
-    return ranked.select("column", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+    ranked = running_totals(counted, ["c"], ["value"], {"upto": "n"})
+    return ranked.select("c", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def _name(cols: Sequence[str]) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in cols]), F.col("c")).alias("column")
 
 
 def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows per (column, value), missing values left out."""
-    pairs = ", ".join(f"named_struct('column', {text_literal(c)}, 'value', {number_sql(df, c)})" for c in cols)
+    """Rows per (place of the column, value), missing values left out."""
+    pairs = ", ".join(f"named_struct('c', {i}, 'value', {number_sql(df, c)})" for i, c in enumerate(cols))
     long = df.selectExpr(f"inline(array({pairs}))").where(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("c", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rank_correlations(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
-    """Pearson matrix of the ranks of columns without missing values in ``n`` rows.
+def _ranked(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The ranks of all columns of rows without missing values, as columns of the same names.
 
-    Each column is joined to its own ranks; adaptive execution broadcasts short
-    rank lists and splits the join on a very common value.
+    Columns with few different values are looked up in lists of a checked size.  Those of all other columns are
+    joined at once, as (row, column, value), and given back by row: two shuffles, however many columns there are.
     """
-    ranks = materialize(average_ranks(df, cols), "ranks")
-    out = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
-    for i, c in enumerate(cols):
-        own = ranks.where(F.col("column") == c).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
-        out = out.join(own, f"v{i}")
+    ranks = materialize(_coded_ranks(df, cols), "ranks")
+    sizes = {r["c"]: r["n"] for r in ranks.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few, room = [], LOOKED_UP
+    for i in sorted(range(len(cols)), key=lambda i: sizes.get(i, 0)):
+        room -= sizes.get(i, 0)
+        if room >= 0:
+            few.append(i)
+    many = [i for i in range(len(cols)) if i not in few]
+    out = df.select(F.monotonically_increasing_id().alias("row"), *[number(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    for i in few:
+        own = ranks.where(F.col("c") == i).select(F.col("value").alias(f"v{i}"), F.col("rank").alias(f"r{i}"))
+        out = out.join(F.broadcast(own), f"v{i}")  # LOOKED_UP rows at most, all columns together
+    if many:
+        known = [f"r{i}" for i in few]  # they ride with the first of the row's entries
+        entries = [F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("value"), *[F.when(F.lit(i == many[0]), F.col(k)).alias(k) for k in known]) for i in many]
+        back = [F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"r{i}") for i in many]
+        long = out.select("row", F.inline(F.array(*entries))).join(ranks.where(F.col("c").isin(many)), ["c", "value"])
+        if len(many) == 1:  # a row is one entry
+            out = long.select(F.col("rank").alias(f"r{many[0]}"), *known)
+        else:
+            out = long.groupBy("row").agg(*back, *[F.max(k).alias(k) for k in known])
+    return out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)])
+
+
+def _rank_correlations(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
+    """Pearson matrix of the ranks of columns without missing values in ``n`` rows."""
     # Every rank column has mean (n + 1) / 2, so no pass is needed to find it.
     fact = {"complete": True, "mean": (n + 1) / 2, "low": 1.0, "high": float(n)}
-    ranked = out.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(cols)])
-    return pearson_matrix(ranked, cols, {c: fact for c in cols})
+    return pearson_matrix(_ranked(df, cols), cols, {c: fact for c in cols})
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Whole columns: mergeable sketches propose cut values, one counting pass says
 between which cuts each wanted rank lies, and the passes repeat on that narrow
-interval.  A rank that falls on a cut is settled; an interval of bounded size is
+interval.  A rank that falls on a cut is settled; intervals of bounded size are
 read out exactly.  The sketch only steers the search: the counts decide, so the
-answer is exact whatever the sketch error.
+answer is exact whatever the sketch error.  All columns are searched together: a round is
+one scan for the sketches and one for the counts, however many columns there are.
 
 Groups: values are counted per (group, value) first, then running counts locate the
 ranks; a group with very many different values is cut into ranges for that.
@@ -21,10 +22,12 @@ from gaugeboard.functions.kinds import double_literal, number, number_sql, quote
 from gaugeboard.operators.ordered import running_totals
 from gaugeboard.session import materialize
 
-# Values read out at once; size of a sketch; share of the values its cuts may be off.
+# Values read out at once, of all columns together; size of a sketch; share of the values its cuts may be off.
 READ_OUT = 100_000
 SKETCH_SIZE = 8192
 MARGIN = 0.001
+# Stands for a missing key; before all others.
+NO_KEY = -(2**63 - 1)
 
 
 def _wanted_ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -97,29 +100,29 @@ def _sketch_cuts(part: _Interval, value: str) -> str:
     return f"kll_sketch_get_quantile_{kind}(kll_sketch_agg_{kind}({value}, {SKETCH_SIZE}), array({listed}))"
 
 
-def _place(cuts: list[str], first: int = 0, end: int | None = None) -> str:
-    """SQL place of ``v`` among the cuts: 2i below cut i (and above the one before), 2i + 1 on it."""
+def _place(value: str, cuts: list[str], first: int = 0, end: int | None = None) -> str:
+    """SQL place of ``value`` among the cuts: 2i below cut i (and above the one before), 2i + 1 on it."""
     end = len(cuts) if end is None else end
     if first == end:
         return str(2 * first)
     middle = (first + end) // 2
     cut = cuts[middle]
-    below, above = _place(cuts, first, middle), _place(cuts, middle + 1, end)
-    return f"CASE WHEN v < {cut} THEN {below} WHEN v = {cut} THEN {2 * middle + 1} ELSE {above} END"
+    below, above = _place(value, cuts, first, middle), _place(value, cuts, middle + 1, end)
+    return f"CASE WHEN {value} < {cut} THEN {below} WHEN {value} = {cut} THEN {2 * middle + 1} ELSE {above} END"
 
 
 def _narrow(df: DataFrame, parts: list[_Interval], found: dict) -> list[_Interval]:
-    """One sketch pass and one counting pass; returns the intervals still open.
+    """One sketch pass and one counting pass for all intervals; returns those still open.
 
-    Counting reads each column on its own, which costs no more than reading them
-    together and keeps the generated code short.
+    Counting turns each row into one (interval, place) pair per interval it lies in and counts the pairs.
     """
     cuts = [sorted(set(c)) for c in _aggregate(df, parts, _sketch_cuts)]
-    placed = None
-    for i, part in enumerate(parts):
-        values = df.selectExpr(f"{part.value.sql} AS v").where(part.inside("v"))
-        places = values.selectExpr(f"{i} AS part", f"{_place([part.value.literal(c) for c in cuts[i]])} AS place")
-        placed = places if placed is None else placed.unionByName(places)
+    values = df.selectExpr(*[f"CASE WHEN {part.inside(part.value.sql)} THEN {part.value.sql} END AS v{i}" for i, part in enumerate(parts)])
+    pairs = [
+        f"named_struct('part', {i}, 'place', CASE WHEN v{i} IS NOT NULL THEN {_place(f'v{i}', [part.value.literal(c) for c in cuts[i]])} END)"
+        for i, part in enumerate(parts)
+    ]
+    placed = values.selectExpr(f"inline(array({', '.join(pairs)}))").where("place IS NOT NULL")
     counted = placed.groupBy("part", "place").agg(F.count(F.lit(1)).alias("n"))
     # A few places per interval.
     counts = {(row["part"], row["place"]): row["n"] for row in counted.collect()}
@@ -144,11 +147,13 @@ def _search(df: DataFrame, parts: list[_Interval]) -> dict[tuple[str, int], floa
     """The values at all wanted ranks."""
     found: dict[tuple[str, int], float] = {}
     while parts:
-        small = [p for p in parts if p.size <= READ_OUT]
+        parts = sorted(parts, key=lambda p: p.size)
+        upto = [sum(p.size for p in parts[: i + 1]) for i in range(len(parts))]
+        small = [p for p, total in zip(parts, upto) if total <= READ_OUT]
         if small:
             _read_out(df, small, found)
-        large = [p for p in parts if p.size > READ_OUT]
-        parts = _narrow(df, large, found) if large else []
+        parts = parts[len(small) :]
+        parts = _narrow(df, parts, found) if parts else []
     return found
 
 
@@ -188,6 +193,30 @@ def middle_value(df: DataFrame, col: str) -> tuple[bool, int | None]:
     return True, _search(df, [_Interval(col, _Value(value, whole=True), [rank], 0, present)])[col, rank]
 
 
+def rows_at_ranks(df: DataFrame, orders: dict[str, str], key: str, ranks: Sequence[int]) -> dict[str, list[tuple]]:
+    """(value, key) of the rows at 0-based ``ranks`` for each SQL double of ``orders``, which is never missing; ties go by the whole-number ``key``.
+
+    All orders are searched together: first the values at the ranks, then how many rows come before each of
+    them, then the keys among the rows of that value.  A missing key counts as ``NO_KEY``.
+    """
+    n = df.agg(F.count(F.lit(1))).first()[0]
+    ranks = [r for r in ranks if 0 <= r < n]
+    if not ranks:
+        return {name: [] for name in orders}
+    at = _search(df, [_Interval(name, _Value(sql), set(ranks), 0, n) for name, sql in orders.items()])
+    wanted = sorted({(name, at[name, r]) for name in orders for r in ranks})
+    tests = [(orders[name], double_literal(v)) for name, v in wanted]
+    counts = df.agg(*[F.expr(f"named_struct('before', count_if({sql} < {v}), 'same', count_if({sql} = {v}))").alias(f"c{i}") for i, (sql, v) in enumerate(tests)]).first()
+    before = {w: counts[i]["before"] for i, w in enumerate(wanted)}
+    parts = []
+    for i, (name, v) in enumerate(wanted):
+        inside = {r - before[name, v] for r in ranks if at[name, r] == v}
+        own = f"CASE WHEN {tests[i][0]} = {tests[i][1]} THEN coalesce(CAST({quoted(key)} AS BIGINT), {NO_KEY}L) END"
+        parts.append(_Interval((name, v), _Value(own, whole=True), inside, 0, counts[i]["same"]))
+    keys = _search(df, parts)
+    return {name: [(at[name, r], keys[(name, at[name, r]), r - before[name, at[name, r]]]) for r in ranks] for name in orders}
+
+
 def grouped_quantiles(df: DataFrame, group_by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group: group columns and one column per entry of ``probs``."""
     groups = list(group_by)

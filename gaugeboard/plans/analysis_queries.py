@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from gaugeboard.operators.ordered import running_totals
 from gaugeboard.operators.analyses import anomaly, customers as cust, descriptive as desc, regression as reg, timeseries as ts
-from gaugeboard.plans.profile_queries import _histogram_sql, rounded
+from gaugeboard.plans.profile_queries import _LINE_NUMBERS, _histogram_sql, rounded
 from gaugeboard.plans.registry import Tables, query
 
 # ---- descriptive -----------------------------------------------------------
@@ -20,11 +20,11 @@ from gaugeboard.plans.registry import Tables, query
         f"""SELECT '{c}' AS "column", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
             round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS q1, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median,
             round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q3, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"""
-        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey")
+        for c in _LINE_NUMBERS
     ),
 )
 def an_descriptive(t: Tables):
-    return rounded(desc.descriptive(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]))
+    return rounded(desc.descriptive(t.lineitem))
 
 
 @query(
@@ -32,14 +32,14 @@ def an_descriptive(t: Tables):
     " UNION ALL ".join(
         f"""SELECT * FROM (SELECT '{c}' AS "column", CAST({c} AS DOUBLE) AS mode, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL
             GROUP BY {c} ORDER BY n DESC, mode LIMIT 1)"""
-        for c in ("l_quantity", "l_extendedprice", "l_discount")
+        for c in _LINE_NUMBERS
     ),
 )
 def an_mode(t: Tables):
-    return desc.modes(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+    return desc.modes(t.lineitem)
 
 
-_SPEARMAN_COLS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+_SPEARMAN_COLS = [(a, b) for i, a in enumerate(_LINE_NUMBERS) for b in _LINE_NUMBERS[i + 1 :]]
 
 
 def _spearman_sql(table: str, pairs) -> str:
@@ -52,7 +52,7 @@ def _spearman_sql(table: str, pairs) -> str:
 
 @query("an_spearman", _spearman_sql("lineitem", _SPEARMAN_COLS))
 def an_spearman(t: Tables):
-    return rounded(desc.spearman_matrix(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]))
+    return rounded(desc.spearman_matrix(t.lineitem))
 
 
 _GAPS = """(SELECT user_id, value, CASE WHEN event_type = 'purchase' THEN value END AS paid, CASE WHEN event_type = 'purchase' THEN user_id END AS buyer,

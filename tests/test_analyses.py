@@ -4,11 +4,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array  # noqa: F401
 from pyspark.sql import functions as F
 
-from gaugeboard.operators.analyses import anomaly, customers, regression, timeseries as ts
+from gaugeboard.operators.analyses import anomaly, customers, customers as cust, descriptive as desc, regression, timeseries as ts
 
 
 def _months(spark, missing, series=("a",), n=36):
@@ -99,3 +100,24 @@ def test_segments_are_the_nearest_centres(spark, segments):
     centres = np.array([points[label == s].mean(axis=0) for s in range(3)])
     nearest = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
     assert (nearest == label).all()
+
+
+@pytest.mark.parametrize("looked_up", [0, 60, 10_000])
+def test_rank_correlations_by_lists_and_by_rows(spark, monkeypatch, looked_up):
+    monkeypatch.setattr(desc, "LOOKED_UP", looked_up)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    frame = pd.DataFrame({"a": x, "b": np.round(x + rng.normal(size=300), 1), "c": rng.integers(0, 4, 300).astype(float), "d": -(x**3), "e": np.repeat([1.0, 2.0], 150)})
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in desc.spearman_matrix(spark.createDataFrame(frame).repartition(4)).collect()}
+    want = frame.rank().corr()
+    assert len(got) == 10 and all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-9) for a, b in got)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3, 7, 200])
+def test_rfm_scores_are_tiles(spark, rows):
+    """With ties, missing values and a missing customer."""
+    rng = np.random.default_rng(rows)
+    made = [(i if i != 2 else None, int(rng.integers(0, 9)), int(rng.integers(1, 5)), None if rng.random() < 0.1 else float(rng.integers(0, 30)) / 4) for i in range(rows)]
+    df = spark.createDataFrame(made, "who int, recency int, frequency int, monetary double").repartition(3)
+    tiles = {name: F.expr(f"ntile(5) OVER (ORDER BY {order}, who)").cast("long") for name, order in (("r", "recency DESC"), ("f", "frequency"), ("m", "monetary"))}
+    assert sorted(map(str, cust.rfm(df, "who").collect())) == sorted(map(str, df.withColumns(tiles).collect()))

@@ -107,3 +107,45 @@ def test_a_document_of_no_rows(spark):
     from gaugeboard.plans.dashboards import SCHEMA, document
 
     assert tuple(document(spark.createDataFrame([], SCHEMA), "simple").first()) == ("simple", [], [], [])
+
+
+def test_quantiles_of_a_joined_input_read_it_as_often_for_one_column_as_for_eight(spark, monkeypatch):
+    """The number of shuffles tells, as the joined input brings one with it each time it is read."""
+    from gaugeboard.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "READ_OUT", 2_000)
+    left = spark.range(20_000).selectExpr("id AS k", *[f"pow(id * {2 * i + 3} % 9973, 2) AS c{i}" for i in range(8)])
+    joined = left.join(spark.range(20_000).selectExpr("id AS k").repartition(3, "k"), "k")
+    plans = []
+    frame = type(joined)
+    real = frame.collect
+
+    def collected(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    def joins(cols):
+        plans.clear()
+        with monkeypatch.context() as patched:
+            patched.setattr(frame, "collect", collected)
+            found = quantiles.exact_quantiles(joined, cols, [0.25, 0.5, 0.75])
+        return found, sum(text.count("Join Inner") for text in plans)
+
+    one, first = joins(["c0"])
+    eight, all_of_them = joins([f"c{i}" for i in range(8)])
+    assert one["c0"] == eight["c0"] and 0 < all_of_them <= first + 2
+    assert max(text.count("Join Inner") for text in plans) == 1
+
+
+def test_ranks_of_many_columns_take_two_shuffles(spark, monkeypatch, tmp_path):
+    from gaugeboard.operators.analyses import descriptive
+
+    monkeypatch.setattr(descriptive, "LOOKED_UP", 50)
+    spark.range(400).selectExpr(*[f"id * {2 * i + 3} % 397 AS c{i}" for i in range(6)], "id % 7 AS few").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def shuffles(cols):
+        text = plan(descriptive._ranked(df, cols))
+        return sum(line.strip().startswith("(") and ") Exchange" in line for line in text.splitlines())
+
+    assert shuffles(["c0", "c1", "few"]) == shuffles(["c0", "c1", "c2", "c3", "c4", "c5", "few"]) <= 3
