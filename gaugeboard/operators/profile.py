@@ -33,6 +33,7 @@ PREVIEW_ROWS = 1000
 TOP_CATEGORIES = 10
 PIE_SLICES = 5
 BINS = 20
+LINE_BINS = 1000
 # Tables with more columns than this are bounded by key before they are sorted.
 WIDE = 4
 # Up to so many pairs of columns are correlated by aggregate functions, more by matrix products; with the same values.
@@ -349,6 +350,23 @@ def chart_points(df: DataFrame, order_by: Sequence[str], x: str | None = None, y
     return preview(kept, order_by, n)
 
 
+def line_points(df: DataFrame, x: str, y: str, bins: int = LINE_BINS) -> DataFrame:
+    """(bin, x, y): the points that draw the line of a whole table as all of its points would.
+
+    The x axis is cut into equal ``bins``, as many as the chart is pixels wide; of each the first, the last, the
+    least and the largest point stay, four at most.  Times count in seconds.  Of points with equal x the one with
+    the least y is the first and the one with the largest y the last.  Two scans: the range, then the points.
+    """
+    across = F.unix_micros(_col(x).cast("timestamp")) / 1e6 if kind(df.schema[x].dataType) == TEMPORAL else number(df, x)
+    points = df.select(across.alias("x"), number(df, y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    bounds = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("b")).select("b").scalar()
+    binned = points.select(_bin(F.col("x"), bounds.getField("lo"), bounds.getField("hi"), bins).alias("bin"), "x", "y")
+    ends = [f(F.struct(a, b)) for f in (F.min, F.max) for a, b in (("x", "y"), ("y", "x"))]
+    kept = binned.groupBy("bin").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    listed = F.array_distinct(F.array(*[F.struct(F.col(f"e{i}.x").alias("x"), F.col(f"e{i}.y").alias("y")) for i in range(4)]))
+    return kept.select("bin", F.inline(listed))
+
+
 def chart_bar_agg(df: DataFrame, x: str, y: str) -> DataFrame:
     """Sum of y per x over the whole table."""
     return df.groupBy(_col(x).alias("x")).agg(F.sum(number(df, y)).alias("y"))

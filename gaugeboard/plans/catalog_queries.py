@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from gaugeboard.operators import catalog as cat, collections as coll, lifecycle as life
+from gaugeboard.operators import cascades as cas, catalog as cat, collections as coll, lifecycle as life
 from gaugeboard.plans.profile_queries import rounded
 from gaugeboard.plans.registry import Tables, query
 
@@ -301,6 +301,47 @@ def cascade_rows(t: Tables):
     return cat.cascade(t.nation.where(F.col("n_regionkey") != 2), chain)[-1].select("l_orderkey", "l_linenumber")
 
 
+@query(
+    "cascade_graph",
+    """WITH RECURSIVE n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2),
+            c(k) AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)
+                     UNION SELECT c_custkey FROM customer JOIN c ON c_custkey // 3 = c.k AND c_custkey % 5 <> 0 AND c_custkey > 0),
+            s AS (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n) OR s_suppkey % 10 = 0),
+            o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT k FROM c)),
+            l AS (SELECT *, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM s) THEN NULL ELSE l_suppkey END AS kept FROM lineitem
+                  WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o))
+       SELECT 'nation' AS "table", count(*) AS rows, sum(n_nationkey)::BIGINT AS keys, 0::BIGINT AS emptied FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM n)
+       UNION ALL SELECT 'customer', count(*), sum(c_custkey)::BIGINT, 0 FROM customer WHERE c_custkey NOT IN (SELECT k FROM c)
+       UNION ALL SELECT 'supplier', count(*), sum(s_suppkey)::BIGINT, 0 FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM s)
+       UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT, 0 FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
+       UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT, count(*) FILTER (WHERE kept IS NULL) FROM l""",
+)
+def cascade_graph(t: Tables):
+    """A region and some suppliers go.  Customers also hang on the customer who brought them; lines lose the supplier but stay."""
+    brought = F.when((F.col("c_custkey") % 5 != 0) & (F.col("c_custkey") > 0), F.floor(F.col("c_custkey") / 3).cast("bigint"))
+    tables = {"region": t.region, "nation": t.nation, "customer": t.customer.withColumn("brought_by", brought), "supplier": t.supplier, "orders": t.orders, "lineitem": t.lineitem}
+    keys = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"]}
+    references = [
+        cas.Reference("nation", ("n_regionkey",), "region"),
+        cas.Reference("customer", ("c_nationkey",), "nation"),
+        cas.Reference("customer", ("brought_by",), "customer"),
+        cas.Reference("supplier", ("s_nationkey",), "nation"),
+        cas.Reference("orders", ("o_custkey",), "customer"),
+        cas.Reference("lineitem", ("l_orderkey",), "orders"),
+        cas.Reference("lineitem", ("l_suppkey",), "supplier", cas.SET_NULL),
+    ]
+    roots = {"region": t.region.where(F.col("r_regionkey") == 2), "supplier": t.supplier.where(F.col("s_suppkey") % 10 == 0)}
+    done = cas.cascade_graph(tables, keys, references, roots)
+    out = None
+    for name in ("nation", "customer", "supplier", "orders", "lineitem"):
+        left = done.survivors(name)
+        key = (keys.get(name) or ["l_orderkey"])[0]
+        emptied = F.count_if(F.col("l_suppkey").isNull()) if name == "lineitem" else F.lit(0).cast("long")
+        part = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(key).cast("long").alias("keys"), emptied.alias("emptied")).select(F.lit(name).alias("table"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- audits ----------------------------------------------------------------
 
 

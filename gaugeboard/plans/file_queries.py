@@ -8,7 +8,7 @@ from gaugeboard.plans import dashboards as dash
 from gaugeboard.plans.profile_queries import _EVENT_NUMBERS, _PART_NUMBERS, _corr_sql, _head_sql, _bar_sql, _histogram_rows_sql, rounded
 from gaugeboard.plans.registry import Tables, query
 from gaugeboard.session import scratch_path
-from gaugeboard.sources import cache, files
+from gaugeboard.sources import cache, csv_errors, files
 
 
 def _csv_of(t: Tables, df, label: str) -> str:
@@ -76,6 +76,34 @@ def csv_audit(t: Tables):
     return audited.agg(*[F.sum(c).alias(c) for c in ("rows", "good_rows", "bad_rows", "filled_cells")])
 
 
+_FAULTS = [
+    ("too few fields", "o_orderkey", "o_orderkey || ',' || o_orderstatus"),
+    ("too many fields", "o_orderkey + 1", "o_orderkey || ',' || o_orderstatus || ',1,2'"),
+    ("bad cell", "o_orderkey + 2", "o_orderkey || ',' || o_orderstatus || ',12x'"),
+    ("quote not closed", "o_orderkey + 3", "o_orderkey || ',\"' || o_orderstatus || ',7'"),
+    ("text after a quoted field", "o_orderkey + 4", "o_orderkey || ',\"' || o_orderstatus || '\"z,7'"),
+]
+_LINE = "CASE " + " ".join(f"WHEN ({k}) % 11 = 0 THEN {text}" for _, k, text in _FAULTS) + " ELSE o_orderkey || ',\"' || o_orderpriority || ', \"\"x\"\"\",' || o_custkey END"
+
+
+@query(
+    "csv_errors",
+    f"""SELECT o_orderkey % 3 AS file, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) AS record,
+               CASE {" ".join(f"WHEN ({k}) % 11 = 0 THEN '{kind}'" for kind, k, _ in _FAULTS)} END AS kind, {_LINE} AS text
+        FROM orders QUALIFY kind IS NOT NULL""",
+)
+def csv_errors_query(t: Tables):
+    """Three files of orders in which five in eleven records have a fault; some hold quoted commas and quotes."""
+    path = scratch_path(t.spark, "faults")
+    for i in range(3):
+        lines = t.orders.where(F.col("o_orderkey") % 3 == i).repartition(1).sortWithinPartitions("o_orderkey").select(F.expr(_LINE).alias("value"))
+        header = t.spark.createDataFrame([("key,priority,customer",), ("  ",)], "value string").coalesce(1)
+        header.unionByName(lines).coalesce(1).write.text(f"{path}/part={i}")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("priority", T.StringType()), T.StructField("customer", T.LongType())])
+    found = csv_errors.csv_errors(t.spark, f"{path}/*", schema)
+    return found.withColumn("file", F.regexp_extract("file", "part=([0-9]+)", 1).cast("bigint"))
+
+
 @query("parquet_roundtrip", "SELECT * FROM part")
 def parquet_roundtrip(t: Tables):
     path = scratch_path(t.spark, "roundtrip")
@@ -109,17 +137,24 @@ def profile_manifest(t: Tables):
     ),
 )
 def profile_cache(t: Tables):
-    """Compute and store on the first call, read what is stored on the second."""
-    path = scratch_path(t.spark, "cache")
+    """Stored for half of the events; computed again once the file is replaced, and then read as stored."""
+    path, table = scratch_path(t.spark, "cache"), scratch_path(t.spark, "cached-events")
 
     def compute():
-        return dash.dashboard(t.events, "simple", ["event_id"])
+        return dash.dashboard(t.spark.read.parquet(table), "simple", ["event_id"])
 
     def recompute():
         raise AssertionError("the stored result was not used")
 
-    cache.cached_result(t.spark, path, "events", "simple", dash.SCHEMA, compute)
-    return rounded(cache.cached_result(t.spark, path, "events", "simple", dash.SCHEMA, recompute))
+    def result(how):
+        return cache.cached_result(t.spark, path, "events", "simple", dash.SCHEMA, how, cache.input_version(t.spark, table))
+
+    t.events.where(F.col("event_id") % 2 == 0).write.parquet(table)
+    result(compute)
+    result(recompute)
+    t.events.write.mode("overwrite").parquet(table)
+    result(compute)
+    return rounded(result(recompute))
 
 
 @query(

@@ -142,6 +142,20 @@ def pearson_matrix(t: Tables):
     return rounded(prof.pearson_matrix(t.lineitem))
 
 
+@query(
+    "chart_line",
+    """WITH p AS (SELECT epoch_us(ts) / 1e6 AS x, value AS y FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+            b AS (SELECT min(x) AS lo, max(x) AS hi FROM p),
+            n AS (SELECT CAST(least(floor((200.0::DOUBLE * (x - lo)) / (hi - lo)), 199) AS BIGINT) AS bin, x, y FROM p, b),
+            r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY x, y) AS a, row_number() OVER (PARTITION BY bin ORDER BY x DESC, y DESC) AS b,
+                         row_number() OVER (PARTITION BY bin ORDER BY y, x) AS c, row_number() OVER (PARTITION BY bin ORDER BY y DESC, x DESC) AS d FROM n)
+       SELECT DISTINCT bin, round(x, 6) AS x, y FROM r WHERE a = 1 OR b = 1 OR c = 1 OR d = 1""",
+)
+def chart_line(t: Tables):
+    """All events as a line 200 pixels wide."""
+    return rounded(prof.line_points(t.events, "ts", "value", 200), 6, ("x",))
+
+
 _BAND = "l_linenumber <= 2"
 
 

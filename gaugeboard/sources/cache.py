@@ -1,37 +1,35 @@
-"""Stored profile results: read if present, else compute and store."""
+"""Stored profile results: read if they are of the present input, else compute and store."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from gaugeboard.sources.folders import Folder
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location):
-        return None
-    return spark.read.schema(schema).parquet(path)
+
+def input_version(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of all files at or below the paths."""
+    found = [entry for path in paths for entry in Folder(spark, path).fingerprint()]
+    return hashlib.sha256(repr(found).encode()).hexdigest()[:32]
 
 
 def cached_result(
-    spark: SparkSession, path: str, dataset: str, style: str, schema, compute: Callable[[], DataFrame]
+    spark: SparkSession, path: str, dataset: str, style: str, schema, compute: Callable[[], DataFrame], version: str = "0"
 ) -> DataFrame:
-    """Rows stored for (dataset, style), computed and added on first use.
+    """Rows stored for (dataset, style, version), computed and stored on first use.
 
-    The table is partitioned by both, so a read touches one folder and a
-    recomputation replaces only that folder.
+    Take ``version`` from ``input_version`` and a changed input gets a new result, which replaces those of other
+    versions.  A result without rows is stored as such; one that was not written to its end does not count.
     """
-    full = f"{schema}, dataset string, style string"
-    wanted = (F.col("dataset") == dataset) & (F.col("style") == style)
-    table = _stored(spark, path, full)
-    if table is None or table.where(wanted).isEmpty():
-        rows = compute().withColumn("dataset", F.lit(dataset)).withColumn("style", F.lit(style))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset", "style")
-            .parquet(path)
-        )
-        table = spark.read.schema(full).parquet(path)
-    return table.where(wanted).drop("dataset", "style")
+    results = Folder(spark, path).child(f"dataset={quote(dataset, safe='')}").child(f"style={quote(style, safe='')}")
+    folder = results.child(f"version={quote(version, safe='')}")
+    if not folder.has("_SUCCESS"):
+        compute().write.mode("overwrite").parquet(folder.path)
+        for name in results.names():
+            if f"{results.path}/{name}" != folder.path:
+                results.delete(name)
+    return spark.read.schema(schema).parquet(folder.path)

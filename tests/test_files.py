@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from gaugeboard import session
-from gaugeboard.sources import cache, files
+from gaugeboard.sources import cache, csv_errors as ce, files
 
 
 @pytest.fixture
@@ -92,3 +92,66 @@ def test_the_end_of_a_row_callback_gets_all_results(spark):
     seen = []
     got = files.map_rows(spark.range(10), lambda rows: rows + 1, "id bigint", complete=lambda results: seen.append(results.count()))
     assert seen == [10] and sorted(r["id"] for r in got.collect()) == list(range(1, 11))
+
+
+FAULTY = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.StringType()), T.StructField("v", T.DoubleType())])
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_faults_by_record_across_splits(spark, tmp_path, split):
+    faults = {3: ("1,a", ce.TOO_FEW), 7: ("1,a,2,3", ce.TOO_MANY), 20: ("x,a,2", ce.BAD_CELL), 21: ('1,"a,2', ce.OPEN_QUOTE), 40: ('1,"a"b,2', ce.TEXT_AFTER_QUOTE), 60: ("1,a,z", ce.BAD_CELL)}
+    good = ['1,"a, b",2', "5,,", '6,"say ""hi""",1e3', '7,a"b,2', ",,"]
+    for f in range(2):
+        lines = ["k,t,v"]
+        for i in range(1, 61):
+            lines.append(faults[i + f][0] if i + f in faults else good[i % len(good)])
+            lines += ["", "   "] if i % 9 == 0 else []
+        (tmp_path / f"file{f}.csv").write_text("\n".join(lines) + "\n")
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = ce.csv_errors(spark, str(tmp_path), FAULTY).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted((r["file"][-5], r["record"], r["kind"], r["text"]) for r in found)
+    assert got == sorted((str(f), i - f, kind, text) for f in range(2) for i, (text, kind) in faults.items() if 1 <= i - f <= 60)
+
+
+def test_faults_of_files_without_header_or_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,a,2\n2,b\n")
+    assert [tuple(r)[1:] for r in ce.csv_errors(spark, str(tmp_path / "a.csv"), FAULTY, header=False).collect()] == [(2, ce.TOO_FEW, "2,b")]
+    (tmp_path / "b.csv").write_text("")
+    assert ce.csv_errors(spark, str(tmp_path / "b.csv"), FAULTY).collect() == []
+
+
+def test_a_changed_input_has_a_new_result(spark, tmp_path):
+    table, store, calls = str(tmp_path / "in"), str(tmp_path / "store"), []
+
+    def result():
+        def compute():
+            calls.append(1)
+            return spark.read.parquet(table).selectExpr("sum(id) AS total")
+
+        return cache.cached_result(spark, store, "a/b = c", "s", "total long", compute, cache.input_version(spark, table)).first()["total"]
+
+    spark.range(5).write.parquet(table)
+    assert (result(), result(), len(calls)) == (10, 10, 1)
+    spark.range(7).write.mode("overwrite").parquet(table)
+    assert (result(), result(), len(calls)) == (21, 21, 2)
+    spark.range(3).write.mode("append").parquet(table)
+    assert (result(), len(calls)) == (24, 3)
+
+
+def test_an_empty_result_is_not_computed_again(spark, tmp_path):
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(0).selectExpr("id AS total")
+
+    for _ in range(3):
+        assert cache.cached_result(spark, str(tmp_path), "d", "s", "total long", compute).count() == 0
+    assert len(calls) == 1

@@ -290,3 +290,25 @@ def test_spearman_ranks_classes_of_columns_together(spark):
     assert len(got) == 10
     for (a, b), corr in got.items():
         assert abs(corr - want.loc[a, b]) < 1e-9, (a, b)
+
+
+@pytest.mark.parametrize("bins", [1, 7, 500])
+def test_line_points_keep_what_a_pixel_shows(spark, bins):
+    rng = np.random.default_rng(bins)
+    xs, ys = np.sort(rng.integers(0, 300, 400)).astype(float), np.round(rng.normal(size=400), 1)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(xs, ys)] + [(None, 1.0), (2.0, None), (float("nan"), 0.0)], "x double, y double").repartition(5)
+    got = [tuple(r) for r in prof.line_points(df, "x", "y", bins).collect()]
+    assert len(got) == len(set(got)) <= 4 * bins
+    at = np.minimum((xs - xs.min()) / (xs.max() - xs.min()) * bins, bins - 1).astype(int)
+    for b in np.unique(at):
+        inside = sorted(zip(xs[at == b].tolist(), ys[at == b].tolist()))
+        by_y = sorted((y, x) for x, y in inside)
+        want = {inside[0], inside[-1], by_y[0][::-1], by_y[-1][::-1]}
+        assert {(x, y) for bin_, x, y in got if bin_ == b} == want
+
+
+def test_lines_of_few_points(spark):
+    assert prof.line_points(_doubles(spark, []).selectExpr("a AS x", "a AS y"), "x", "y").collect() == []
+    assert [tuple(r) for r in prof.line_points(spark.createDataFrame([(3.0, 1.0)], "x double, y double"), "x", "y").collect()] == [(0, 3.0, 1.0)]
+    times = spark.sql("SELECT explode(sequence(timestamp'2024-01-01', timestamp'2024-01-02', interval 6 hours)) AS x, 1 AS y")
+    assert len(prof.line_points(times, "x", "y", 2).collect()) == 4
