@@ -54,15 +54,21 @@ def outlier_insights(df: DataFrame, z: float = OUTLIER_Z) -> DataFrame:
     )
 
 
-def _first_half(df: DataFrame, order_by: Sequence[str]) -> Column:
+def whole_key(df: DataFrame, order_by: Sequence[str]) -> bool:
+    """Is the order a single whole-number key, whose middle is found by counting?"""
+    return len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, (T.IntegerType, T.LongType))
+
+
+def first_half(df: DataFrame, order_by: Sequence[str], n: int | None = None, known: dict | None = None) -> Column:
     """Does a row come no later than the row of place floor(n / 2) in the order?
 
     All rows count.  NULL keys come first, and rows tied with the middle row belong to the
     first half; add a tie-breaker to ``order_by`` to split there.  Only the key of the middle row is
     looked for, so the measured columns never move; a whole-number key is found by counting, without a sort.
+    ``n`` and ``known`` are as for ``middle_value``.
     """
-    if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, (T.IntegerType, T.LongType)):
-        key, (found, middle) = F.col(quoted(order_by[0])), middle_value(df, order_by[0])
+    if whole_key(df, order_by):
+        key, (found, middle) = F.col(quoted(order_by[0])), middle_value(df, order_by[0], n, known)
         if not found:
             return F.lit(False)
         return key.isNull() if middle is None else key.isNull() | (key <= F.lit(middle).cast("bigint"))
@@ -73,7 +79,7 @@ def _first_half(df: DataFrame, order_by: Sequence[str]) -> Column:
 
 def _half_means(df: DataFrame, order_by: Sequence[str], cols: Sequence[str]) -> list[Column]:
     """Per column a struct of the means of the two halves, and the row count."""
-    in_first = _first_half(df, order_by)
+    in_first = first_half(df, order_by)
 
     def half(name: str, rows: Column) -> Column:
         return F.avg(F.when(rows, number(df, name)))

@@ -84,12 +84,12 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 def top_categories(df: DataFrame, col: str, n: int = TOP_CATEGORIES) -> DataFrame:
     """The ``n`` most frequent values; a missing category is listed with count 0."""
-    return (
-        df.groupBy(_col(col).alias("category"))
-        .agg(F.count(_col(col)).alias("count"))
-        .orderBy(F.col("count").desc(), F.col("category").asc())
-        .limit(n)
-    )
+    return most_frequent(df.groupBy(_col(col).alias("category")).agg(F.count(_col(col)).alias("count")), n)
+
+
+def most_frequent(counts: DataFrame, n: int = TOP_CATEGORIES) -> DataFrame:
+    """The ``n`` largest of (category, count)."""
+    return counts.select("category", "count").orderBy(F.col("count").desc(), F.col("category").asc()).limit(n)
 
 
 def column_summary(df: DataFrame, col: str) -> DataFrame:
@@ -249,7 +249,7 @@ def _bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def _bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     """0-based bin; the right edge belongs to the last bin, a constant to the first."""
     return (
         F.when(value.isNull(), None)
@@ -264,16 +264,21 @@ def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
 
     Two scans of one column: the range, then the counts.
     """
-    spark = df.sparkSession
     value = number(df, col)
     bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
     counts = (
-        df.select(_bin(value, lo, hi, bins).alias("bin"))
+        df.select(bin_of(value, lo, hi, bins).alias("bin"))
         .where(F.col("bin").isNotNull())
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return histogram_of(counts, lo, hi, bins)
+
+
+def histogram_of(counts: DataFrame, lo: Column, hi: Column, bins: int = BINS) -> DataFrame:
+    """The histogram with counts (bin, count) of a column that ranges from ``lo`` to ``hi``."""
+    spark = counts.sparkSession
     n_bins = F.when(lo.isNull(), 0).when(lo == hi, 1).otherwise(bins)
     width = (hi - lo) / bins
     return (
@@ -296,9 +301,13 @@ def pie_share(df: DataFrame, category: str, value: str, n: int = PIE_SLICES) ->
     The sums per category are stored, so the table is read once.
     """
     sums = df.groupBy(_col(category).cast("string").alias("category")).agg(F.sum(number(df, value)).alias("total"))
-    sums = materialize(sums, "pie")
+    return shares_of(materialize(sums, "pie"), n)
+
+
+def shares_of(sums: DataFrame, n: int = PIE_SLICES) -> DataFrame:
+    """The shares of stored sums (category, total)."""
     largest = [F.col("total").desc_nulls_last(), F.col("category").asc()]
-    top = sums.orderBy(*largest).limit(n)
+    top = sums.select("category", "total").orderBy(*largest).limit(n)
     whole = sums.agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
     shown = F.coalesce(top.agg(F.sum("total")).scalar(), F.lit(0.0))
     rest = whole.where(F.col("n") > n).select(
@@ -360,7 +369,7 @@ def line_points(df: DataFrame, x: str, y: str, bins: int = LINE_BINS) -> DataFra
     across = F.unix_micros(_col(x).cast("timestamp")) / 1e6 if kind(df.schema[x].dataType) == TEMPORAL else number(df, x)
     points = df.select(across.alias("x"), number(df, y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     bounds = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("b")).select("b").scalar()
-    binned = points.select(_bin(F.col("x"), bounds.getField("lo"), bounds.getField("hi"), bins).alias("bin"), "x", "y")
+    binned = points.select(bin_of(F.col("x"), bounds.getField("lo"), bounds.getField("hi"), bins).alias("bin"), "x", "y")
     ends = [f(F.struct(a, b)) for f in (F.min, F.max) for a, b in (("x", "y"), ("y", "x"))]
     kept = binned.groupBy("bin").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
     listed = F.array_distinct(F.array(*[F.struct(F.col(f"e{i}.x").alias("x"), F.col(f"e{i}.y").alias("y")) for i in range(4)]))
@@ -394,8 +403,8 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = BINS) -> DataFrame:
     bx, by = bounds.getField("b0"), bounds.getField("b1")
     return (
         df.select(
-            _bin(number(df, x), bx.getField("lo"), bx.getField("hi"), bins).alias("x_bin"),
-            _bin(number(df, y), by.getField("lo"), by.getField("hi"), bins).alias("y_bin"),
+            bin_of(number(df, x), bx.getField("lo"), bx.getField("hi"), bins).alias("x_bin"),
+            bin_of(number(df, y), by.getField("lo"), by.getField("hi"), bins).alias("y_bin"),
         )
         .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull())
         .groupBy("x_bin", "y_bin")

@@ -89,15 +89,19 @@ def _read_out(df: DataFrame, parts: list[_Interval], found: dict) -> None:
         found.update({(part.column, r): v for r, v in zip(part.ranks, values)})
 
 
-def _sketch_cuts(part: _Interval, value: str) -> str:
-    """SQL array of values near the wanted ranks, below and above them."""
+def _shares(part: _Interval) -> str:
+    """SQL array of the places near the wanted ranks, below and above them, as shares of the interval."""
     shares = set()
     for r in part.ranks:
         share = (r - part.before + 0.5) / part.size
         shares |= {max(0.0, share - MARGIN), share, min(1.0, share + MARGIN)}
-    listed = ", ".join(double_literal(s) for s in sorted(shares))
+    return f"array({', '.join(double_literal(s) for s in sorted(shares))})"
+
+
+def _sketch_cuts(part: _Interval, value: str) -> str:
+    """SQL array of values near the wanted ranks, below and above them."""
     kind = part.value.sketch
-    return f"kll_sketch_get_quantile_{kind}(kll_sketch_agg_{kind}({value}, {SKETCH_SIZE}), array({listed}))"
+    return f"kll_sketch_get_quantile_{kind}(kll_sketch_agg_{kind}({value}, {SKETCH_SIZE}), {_shares(part)})"
 
 
 def _place(value: str, cuts: list[str], first: int = 0, end: int | None = None) -> str:
@@ -111,12 +115,12 @@ def _place(value: str, cuts: list[str], first: int = 0, end: int | None = None)
     return f"CASE WHEN {value} < {cut} THEN {below} WHEN {value} = {cut} THEN {2 * middle + 1} ELSE {above} END"
 
 
-def _narrow(df: DataFrame, parts: list[_Interval], found: dict) -> list[_Interval]:
-    """One sketch pass and one counting pass for all intervals; returns those still open.
+def _narrow(df: DataFrame, parts: list[_Interval], found: dict, cuts: list[list] | None = None) -> list[_Interval]:
+    """One sketch pass, unless ``cuts`` are known, and one counting pass for all intervals; returns those still open.
 
     Counting turns each row into one (interval, place) pair per interval it lies in and counts the pairs.
     """
-    cuts = [sorted(set(c)) for c in _aggregate(df, parts, _sketch_cuts)]
+    cuts = [sorted(set(c)) for c in cuts or _aggregate(df, parts, _sketch_cuts)]
     values = df.selectExpr(*[f"CASE WHEN {part.inside(part.value.sql)} THEN {part.value.sql} END AS v{i}" for i, part in enumerate(parts)])
     pairs = [
         f"named_struct('part', {i}, 'place', CASE WHEN v{i} IS NOT NULL THEN {_place(f'v{i}', [part.value.literal(c) for c in cuts[i]])} END)"
@@ -183,14 +187,32 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return {c: [interpolate(c, p) for p in probs] for c in cols}
 
 
-def middle_value(df: DataFrame, col: str) -> tuple[bool, int | None]:
-    """Whether there is a row of rank floor(n / 2), counted from 1 with NULLs first, and its whole-number value."""
+def middle_facts(col: str) -> dict[str, str]:
+    """SQL aggregates of what ``middle_value`` has to know of a whole-number column before it searches."""
+    value = f"CAST({quoted(col)} AS BIGINT)"
+    return {"present": f"count({value})", "sketch": f"kll_sketch_agg_bigint({value}, {SKETCH_SIZE})"}
+
+
+def middle_value(df: DataFrame, col: str, n: int | None = None, known: dict | None = None) -> tuple[bool, int | None]:
+    """Whether there is a row of rank floor(n / 2), counted from 1 with NULLs first, and its whole-number value.
+
+    ``n`` rows and ``known`` ``middle_facts`` save a pass each.
+    """
     value = f"CAST({quoted(col)} AS BIGINT)"
-    n, present = df.agg(F.count(F.lit(1)), F.expr(f"count({value})")).first()
+    if known is None:
+        n, present = df.agg(F.count(F.lit(1)), F.expr(f"count({value})")).first()
+    else:
+        present = known["present"]
     rank = n // 2 - 1 - (n - present)
     if n < 2 or rank < 0:
         return n >= 2, None
-    return True, _search(df, [_Interval(col, _Value(value, whole=True), [rank], 0, present)])[col, rank]
+    part, found = _Interval(col, _Value(value, whole=True), [rank], 0, present), {}
+    parts = [part]
+    if known is not None and present > READ_OUT:
+        sketch = f"X'{bytes(known['sketch']).hex()}'"
+        cuts = df.sparkSession.range(1).selectExpr(f"kll_sketch_get_quantile_bigint({sketch}, {_shares(part)}) AS cuts").first()["cuts"]
+        parts = _narrow(df, parts, found, [cuts])
+    return True, (found | _search(df, parts))[col, rank]
 
 
 def rows_at_ranks(df: DataFrame, orders: dict[str, str], key: str, ranks: Sequence[int]) -> dict[str, list[tuple]]:

@@ -10,22 +10,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugeboard.functions.kinds import categorical_cols, numeric_cols
+from gaugeboard.functions.kinds import categorical_cols, number, number_sql, numeric_cols, quoted
 from gaugeboard.functions.text import fmt_integer
-from gaugeboard.operators.insights import KEEP, insight_aggregates, insight_array
+from gaugeboard.operators.insights import KEEP, first_half, insight_array, whole_key
 from gaugeboard.operators.profile import (
+    BINS,
     PREVIEW_ROWS,
     TOP_CATEGORIES,
+    bin_of,
     corr_map,
     describe,
-    histogram,
+    histogram_of,
+    moments_sql,
+    most_frequent,
     pearson_matrix,
-    pie_share,
     preview,
-    scatter_grid,
     schema_listing,
+    shares_of,
+    struct_sql,
     top_categories,
 )
+from gaugeboard.operators.quantiles import middle_facts
+from gaugeboard.session import materialize
 
 SCHEMA = (
     "section string, chart_id string, chart_type string, title string, series string, ordinal bigint, "
@@ -53,17 +59,58 @@ def _struct(**columns: Column | str | int | None) -> Column:
     return F.struct(*out)
 
 
-def _kpis_and_insights(df: DataFrame, order_by: Sequence[str], labels: Sequence[str], formatted: bool, keep: int) -> DataFrame:
-    """KPI and insight sections from a single scan of the table."""
-    n_cols = len(df.columns)
-    aggregated = df.agg(*insight_aggregates(df, order_by))
+class _Facts:
+    """What the sections of a dashboard share, so that each reads the table for its own counts only.
+
+    One scan finds the rows, the moments of all numbers and a sketch of the order's key; the key of the middle
+    row takes one more scan, or two if there are too many keys to read out.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str]):
+        self.df, self.numbers, self.category = df, numeric_cols(df), next(iter(categorical_cols(df)), None)
+        whole = bool(self.numbers) and whole_key(df, order_by)
+        aggs = [F.expr(struct_sql(**moments_sql(df, c), n=f"count({number_sql(df, c)})")).alias(f"m{i}") for i, c in enumerate(self.numbers)]
+        aggs += [F.expr(struct_sql(**middle_facts(order_by[0]))).alias("middle")] if whole else []
+        found = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+        self.n, self.moments = found["n"], [found[f"m{i}"] for i in range(len(self.numbers))]
+        self.in_first = first_half(df, order_by, self.n, found["middle"].asDict() if whole else None) if self.numbers else F.lit(False)
+
+    def low_high(self, i: int) -> tuple[Column, Column]:
+        return tuple(F.lit(self.moments[i][end]).cast("double") for end in ("min", "max"))
+
+    def of_columns(self) -> dict[str, dict]:
+        """As ``pearson_matrix`` takes them."""
+        return {c: {"mean": m["mean"], "low": m["min"], "high": m["max"], "complete": m["n"] == self.n} for c, m in zip(self.numbers, self.moments)}
+
+    def counted(self, **keys: Column) -> DataFrame:
+        """Rows per combination of few keys, with what each adds to the half means: a stored table, one scan."""
+        halves = []
+        for i, c in enumerate(self.numbers):
+            for half, rows in (("first", self.in_first), ("second", ~self.in_first)):
+                v = F.when(rows, number(self.df, c))
+                halves += [F.sum(v).alias(f"{half}_sum{i}"), F.count(v).alias(f"{half}_n{i}")]
+        return materialize(self.df.groupBy(*[k.alias(name) for name, k in keys.items()]).agg(F.count(F.lit(1)).alias("count"), *halves), "sections")
+
+    def aggregated(self, counted: DataFrame) -> DataFrame:
+        """The one row that ``insight_array`` reads."""
+        halves = [
+            F.struct(*[F.try_divide(F.sum(f"{half}_sum{i}"), F.sum(f"{half}_n{i}")).alias(half) for half in ("first", "second")]).alias(f"h{i}")
+            for i in range(len(self.numbers))
+        ]
+        moments = [F.struct(*[F.lit(m[f]).cast("double").alias(f) for f in ("mean", "std", "max", "min")]).alias(f"m{i}") for i, m in enumerate(self.moments)]
+        return counted.agg(F.lit(self.n).cast("bigint").alias("n"), *halves).select("*", *moments)
+
+
+def _kpis_and_insights(facts: _Facts, counted: DataFrame, labels: Sequence[str], formatted: bool, keep: int) -> DataFrame:
+    """KPI and insight sections."""
+    n_cols = len(facts.df.columns)
     rows_text = fmt_integer(F.col("n")) if formatted else F.col("n").cast("string")
     cols_text = F.lit(f"{n_cols:,}" if formatted else str(n_cols))
     kpi_rows = F.array(
         _struct(section="kpi", ordinal=0, title=labels[0], text=rows_text),
         _struct(section="kpi", ordinal=1, title=labels[1], text=cols_text),
     )
-    listed = insight_array(df, aggregated, keep, with_columns=[kpi_rows.alias("kpis")])
+    listed = insight_array(facts.df, facts.aggregated(counted), keep, with_columns=[kpi_rows.alias("kpis")])
     insight_rows = F.transform(
         "insights",
         lambda i, at: _struct(
@@ -78,11 +125,9 @@ def _kpis_and_insights(df: DataFrame, order_by: Sequence[str], labels: Sequence[
     return listed.select(F.inline(F.concat(F.col("kpis"), insight_rows)))
 
 
-def _bar(df: DataFrame, grid: dict) -> DataFrame | None:
-    category = next(iter(categorical_cols(df)), None)
-    if category is None:
+def _bar(facts: _Facts, top: DataFrame | None, grid: dict) -> DataFrame | None:
+    if top is None:
         return None
-    top = top_categories(df, category)
     # At most ten rows reach this window.
     rank = F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("category").asc())) - 1
     return _shaped(
@@ -90,7 +135,7 @@ def _bar(df: DataFrame, grid: dict) -> DataFrame | None:
         section="chart",
         chart_id="chart-1",
         chart_type="bar",
-        title=f"Top {TOP_CATEGORIES} {category}",
+        title=f"Top {TOP_CATEGORIES} {facts.category}",
         ordinal=F.col("rank"),
         x_label=F.col("category"),
         y=F.col("count"),
@@ -98,16 +143,21 @@ def _bar(df: DataFrame, grid: dict) -> DataFrame | None:
     )
 
 
-def _histogram(df: DataFrame, grid: dict) -> DataFrame | None:
-    value = next(iter(numeric_cols(df)), None)
-    if value is None:
+def _binned(facts: _Facts) -> DataFrame:
+    """Counts per bin of the first number; one group without numbers."""
+    value = number(facts.df, facts.numbers[0]) if facts.numbers else None
+    return facts.counted(bin=F.lit(0).cast("bigint") if value is None else bin_of(value, *facts.low_high(0), BINS))
+
+
+def _histogram(facts: _Facts, binned: DataFrame, grid: dict) -> DataFrame | None:
+    if not facts.numbers:
         return None
     return _shaped(
-        histogram(df, value),
+        histogram_of(binned.where(F.col("bin").isNotNull()).select("bin", "count"), *facts.low_high(0)),
         section="chart",
         chart_id="chart-2",
         chart_type="histogram",
-        title=f"Distribution of {value}",
+        title=f"Distribution of {facts.numbers[0]}",
         ordinal=F.col("bin"),
         x_num=F.col("lo"),
         y=F.col("count"),
@@ -115,17 +165,24 @@ def _histogram(df: DataFrame, grid: dict) -> DataFrame | None:
     )
 
 
-def _scatter(df: DataFrame) -> DataFrame | None:
+def _gridded(facts: _Facts) -> DataFrame:
+    """Counts per cell of the first two numbers; one group if there are fewer."""
+    if len(facts.numbers) < 2:
+        return facts.counted(x_bin=F.lit(0).cast("bigint"))
+    x, y = (bin_of(number(facts.df, facts.numbers[i]), *facts.low_high(i), BINS) for i in (0, 1))
+    return facts.counted(x_bin=x, y_bin=y)
+
+
+def _scatter(facts: _Facts, gridded: DataFrame) -> DataFrame | None:
     """First two numeric columns as counts on a grid: series = y bin, x_num = x bin."""
-    cols = numeric_cols(df)
-    if len(cols) < 2:
+    if len(facts.numbers) < 2:
         return None
     return _shaped(
-        scatter_grid(df, cols[0], cols[1]),
+        gridded.where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull()),
         section="chart",
         chart_id="ml-scatter",
         chart_type="scatter",
-        title=f"Correlation: {cols[0]} vs {cols[1]}",
+        title=f"Correlation: {facts.numbers[0]} vs {facts.numbers[1]}",
         series=F.col("y_bin"),
         ordinal=F.col("y_bin"),
         x_num=F.col("x_bin"),
@@ -133,11 +190,11 @@ def _scatter(df: DataFrame) -> DataFrame | None:
     )
 
 
-def _heatmap(df: DataFrame) -> DataFrame | None:
-    if len(numeric_cols(df)) < 2:
+def _heatmap(facts: _Facts) -> DataFrame | None:
+    if len(facts.numbers) < 2:
         return None
     return _shaped(
-        pearson_matrix(df),
+        pearson_matrix(facts.df, facts=facts.of_columns()),
         section="chart",
         chart_id="ml-heatmap",
         chart_type="heatmap",
@@ -148,16 +205,15 @@ def _heatmap(df: DataFrame) -> DataFrame | None:
     )
 
 
-def _pie(df: DataFrame) -> DataFrame | None:
-    category, value = next(iter(categorical_cols(df)), None), next(iter(numeric_cols(df)), None)
-    if category is None or value is None:
+def _pie(facts: _Facts, sums: DataFrame | None) -> DataFrame | None:
+    if sums is None or not facts.numbers:
         return None
     return _shaped(
-        pie_share(df, category, value),
+        shares_of(sums),
         section="chart",
         chart_id="chart-3",
         chart_type="pie",
-        title=f"{value} by {category}",
+        title=f"{facts.numbers[0]} by {facts.category}",
         x_label=F.col("category"),
         x_num=F.col("share"),
         y=F.col("total"),
@@ -174,23 +230,35 @@ def _union(parts: Sequence[DataFrame | None]) -> DataFrame:
 
 def simple_dashboard(df: DataFrame, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
     """KPIs, top categories of the first text column, histogram of the first number."""
-    head = _kpis_and_insights(df, order_by, ("Total Rows", "Total Columns"), formatted=True, keep=keep)
-    return _union([head, _bar(df, {}), _histogram(df, {})])
+    facts = _Facts(df, order_by)
+    binned = _binned(facts)
+    head = _kpis_and_insights(facts, binned, ("Total Rows", "Total Columns"), formatted=True, keep=keep)
+    top = top_categories(df, facts.category) if facts.category else None
+    return _union([head, _bar(facts, top, {}), _histogram(facts, binned, {})])
 
 
 def ml_dashboard(df: DataFrame, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
     """KPIs, scatter grid of the first two numbers, correlation heat map."""
-    head = _kpis_and_insights(df, order_by, ("Dataset Size", "Features"), formatted=False, keep=keep)
-    return _union([head, _scatter(df), _heatmap(df)])
+    facts = _Facts(df, order_by)
+    gridded = _gridded(facts)
+    head = _kpis_and_insights(facts, gridded, ("Dataset Size", "Features"), formatted=False, keep=keep)
+    return _union([head, _scatter(facts, gridded), _heatmap(facts)])
 
 
 def powerbi_dashboard(df: DataFrame, order_by: Sequence[str], keep: int = KEEP) -> DataFrame:
-    """The simple dashboard on a grid, with a share-of-total pie."""
+    """The simple dashboard on a grid, with a share-of-total pie; categories are grouped once for both of their charts."""
     first = {"grid_x": 0, "grid_y": 0, "grid_w": 6, "grid_h": 4}
     second = {**first, "grid_x": 6}
-    head = _kpis_and_insights(df, order_by, ("Total Rows", "Total Columns"), formatted=True, keep=keep)
-    bar = _bar(df, first)
-    return _union([head, bar, _histogram(df, second if bar is not None else first), _pie(df)])
+    facts = _Facts(df, order_by)
+    binned = _binned(facts)
+    head = _kpis_and_insights(facts, binned, ("Total Rows", "Total Columns"), formatted=True, keep=keep)
+    grouped = None
+    if facts.category:
+        category = F.col(quoted(facts.category))
+        total = F.sum(number(df, facts.numbers[0])) if facts.numbers else F.lit(None).cast("double")
+        grouped = materialize(df.groupBy(category.alias("category")).agg(F.count(category).alias("count"), total.alias("total")), "categories")
+    bar = _bar(facts, None if grouped is None else most_frequent(grouped), first)
+    return _union([head, bar, _histogram(facts, binned, second if bar is not None else first), _pie(facts, grouped)])
 
 
 STYLES = {"simple": simple_dashboard, "ml": ml_dashboard, "powerbi": powerbi_dashboard}

@@ -149,3 +149,42 @@ def test_ranks_of_many_columns_take_two_shuffles(spark, monkeypatch, tmp_path):
         return sum(line.strip().startswith("(") and ") Exchange" in line for line in text.splitlines())
 
     assert shuffles(["c0", "c1", "few"]) == shuffles(["c0", "c1", "c2", "c3", "c4", "c5", "few"]) <= 3
+
+
+@pytest.mark.parametrize("read_out", [100_000, 50])
+@pytest.mark.parametrize("style", ["simple", "ml", "powerbi"])
+def test_dashboards_read_the_table_five_times_at_most(spark, monkeypatch, style, read_out):
+    from gaugeboard.operators import quantiles
+    from gaugeboard.plans.dashboards import dashboard
+
+    monkeypatch.setattr(quantiles, "READ_OUT", read_out)
+    rows = 2_000
+    passed = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    plain = spark.range(rows).selectExpr("id AS k", "CAST(id % 7 AS STRING) AS c", "id * 37 % 101 AS a", "IF(id % 3 = 0, NULL, id * 1.5D) AS b")
+    table = plain.mapInArrow(counting, plain.schema)
+    got = dashboard(table, style, ["k"])
+    found = sorted(map(str, got.collect()))
+    # Without reuse of shuffles, every section reads the table on its own.
+    assert passed.value <= 5 * rows
+    assert found == sorted(map(str, dashboard(plain, style, ["k"]).collect()))
+
+
+def test_dashboards_of_odd_tables(spark):
+    from gaugeboard.plans.dashboards import dashboard
+
+    for sql in (
+        "SELECT id AS k FROM range(0)",
+        "SELECT CAST(id AS STRING) AS k FROM range(5)",
+        "SELECT CAST(NULL AS LONG) AS k, CAST(NULL AS STRING) AS c, CAST('NaN' AS DOUBLE) AS v",
+        "SELECT id AS k, 4.0D AS flat, 'x' AS c FROM range(30)",
+        "SELECT timestamp'2024-01-01' AS t, id AS v FROM range(3)",
+    ):
+        df = spark.sql(sql)
+        for style in ("simple", "ml", "powerbi", "unknown"):
+            assert dashboard(df, style, df.columns[:1]).where("section = 'kpi'").count() == 2
