@@ -84,6 +84,29 @@ def bisecting_segments(
     return model.transform(scaled).drop("features")
 
 
+def segment_quality(segmented: DataFrame, inputs: Sequence[str], segment: str = "segment") -> DataFrame:
+    """Per segment: rows, inertia (squared distances to its centre, inputs in standard deviations), spread of all rows
+    around the common centre, and how many rows are nearer to another segment's centre.
+
+    Centres are the means of the segments, so a converged K-means has no such rows.
+    """
+    facts = segmented.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"f{i}") for i, c in enumerate(inputs)]).first()
+    scaled = segmented.select(
+        F.col(segment).alias("segment"), *[((F.col(c) - F.lit(facts[f"f{i}"]["m"])) / F.lit(facts[f"f{i}"]["s"] or 1.0)).alias(f"x{i}") for i, c in enumerate(inputs)]
+    )
+    centres = scaled.groupBy("segment").agg(*[F.avg(f"x{i}").alias(f"c{i}") for i in range(len(inputs))]).collect()  # one row per segment
+
+    def away(row) -> Column:
+        return sum(((F.col(f"x{i}") - F.lit(row[f"c{i}"])) ** 2 for i in range(len(inputs))), F.lit(0.0))
+
+    own = F.coalesce(*[F.when(F.col("segment") == row["segment"], away(row)) for row in centres], F.lit(0.0))
+    nearest = F.least(*[away(row) for row in centres], F.lit(float("inf")))
+    spread = sum((F.col(f"x{i}") ** 2 for i in range(len(inputs))), F.lit(0.0))
+    return scaled.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(own).alias("inertia"), F.sum(spread).alias("spread"), F.count_if(own > nearest * (1 + 1e-9)).alias("misplaced")
+    )
+
+
 def cohort_retention(events: DataFrame, user: str, ts: str, grain: str = "quarter") -> DataFrame:
     """Active users per cohort (period of first activity) and periods since, with rates.
 

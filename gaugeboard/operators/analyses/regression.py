@@ -56,6 +56,22 @@ def logistic(df: DataFrame, label: Column, inputs: Sequence[str], max_iter: int
     return _coefficients(df, [*inputs, "(intercept)", "(auc)"], [*model.coefficients, model.intercept, model.summary.areaUnderROC])
 
 
+def score_equations(df: DataFrame, label: Column, inputs: Sequence[str], fitted: DataFrame) -> DataFrame:
+    """Per term of a logistic fit, the mean residual times the input in standard deviations; zero at the most likely fit.
+
+    ``fitted`` is what ``logistic`` returned; one pass for the deviations, one for the sums.
+    """
+    weight = {r["term"]: r["coefficient"] for r in fitted.collect()}
+    rows = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(inputs)], label.cast("int").cast("double").alias("y")).dropna()
+    facts = rows.agg(*[F.struct(F.avg(f"x{i}").alias("m"), F.stddev_samp(f"x{i}").alias("s")).alias(f"f{i}") for i in range(len(inputs))]).first()
+    line = sum((F.lit(weight[c]) * F.col(f"x{i}") for i, c in enumerate(inputs)), F.lit(weight["(intercept)"]))
+    residual = F.col("y") - 1 / (1 + F.exp(-line))
+    scaled = {c: (F.col(f"x{i}") - F.lit(facts[f"f{i}"]["m"])) / F.lit(facts[f"f{i}"]["s"] or 1.0) for i, c in enumerate(inputs)}
+    scores = [F.struct(F.lit(c).alias("term"), F.avg(residual * x).alias("score")) for c, x in {**scaled, "(intercept)": F.lit(1.0)}.items()]
+    agg = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(scores)])
+    return agg.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(scores))])))
+
+
 def _standardised(rows: DataFrame, inputs: Sequence[str]) -> list[float | None]:
     """Linear coefficients in standard deviations, model and deviations over the same assembled rows."""
     from pyspark.ml.regression import LinearRegression

@@ -262,6 +262,27 @@ def an_bisecting(t: Tables):
     return cust.bisecting_segments(_features(t), ["recency", "frequency", "monetary"])
 
 
+_RFM_INPUTS = ["recency", "frequency", "monetary"]
+
+
+def _quality(segmented):
+    found = cust.segment_quality(segmented, _RFM_INPUTS)
+    explained = (1 - F.sum("inertia") / F.sum("spread")) > 0.5
+    return found.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("segments"), explained.alias("explains_half"), F.sum("misplaced").alias("misplaced"))
+
+
+@query("an_kmeans_quality", "SELECT count(DISTINCT o_custkey) AS rows, 4::BIGINT AS segments, true AS explains_half, 0::BIGINT AS misplaced FROM orders")
+def an_kmeans_quality(t: Tables):
+    """Every customer is nearest to the mean of the own segment, and the segments explain most of the spread."""
+    return _quality(cust.kmeans_segments(_features(t), _RFM_INPUTS, tol=0.0, max_iter=500))
+
+
+@query("an_bisecting_quality", "SELECT count(DISTINCT o_custkey) AS rows, 4::BIGINT AS segments, true AS explains_half FROM orders")
+def an_bisecting_quality(t: Tables):
+    """All customers have one of four segments, which explain most of the spread."""
+    return _quality(cust.bisecting_segments(_features(t), _RFM_INPUTS)).drop("misplaced")
+
+
 _COHORT_SQL = """
     WITH a AS (SELECT DISTINCT o_custkey AS u, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS p FROM orders),
          f AS (SELECT u, min(p) AS cohort FROM a GROUP BY 1),
@@ -385,6 +406,32 @@ def an_logistic(t: Tables):
     return rounded(reg.logistic(t.lineitem, F.col("l_returnflag") == "R", [*_INPUTS, "l_extendedprice"]))
 
 
+@query(
+    "an_logistic_scores",
+    " UNION ALL ".join(f"SELECT '{c}' AS term, true AS solved" for c in ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "(intercept)"]),
+)
+def an_logistic_scores(t: Tables):
+    """The equations that the most likely coefficients solve, over the whole table."""
+    inputs, label = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], F.col("l_returnflag") == "R"
+    scores = reg.score_equations(t.lineitem, label, inputs, reg.logistic(t.lineitem, label, inputs))
+    return scores.select("term", (F.abs("score") < 1e-5).alias("solved"))
+
+
+@query(
+    "an_importance_order",
+    """WITH c AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
+                         unnest([abs(corr(y, l_quantity)), abs(corr(y, l_discount)), abs(corr(y, l_tax))]) AS r
+                  FROM (SELECT *, l_extendedprice + 5000 * l_quantity AS y FROM lineitem))
+       SELECT arg_max(feature, r) AS strongest, true AS weights_add_up, true AS no_negative FROM c""",
+)
+def an_importance_order(t: Tables):
+    """The forest finds the input that a charge by quantity hangs on, and its weights are shares."""
+    charged = t.lineitem.withColumn("charge", F.col("l_extendedprice") + 5000 * F.col("l_quantity"))
+    found = reg.feature_importance(charged, "charge", _INPUTS)
+    weight = F.col("importance")
+    return found.agg(F.max_by("feature", weight).alias("strongest"), (F.abs(F.sum(weight) - 1) < 1e-9).alias("weights_add_up"), (F.min(weight) >= 0).alias("no_negative"))
+
+
 @query("an_feature_importance")
 def an_feature_importance(t: Tables):
     return rounded(reg.feature_importance(t.lineitem, "l_extendedprice", _INPUTS))
