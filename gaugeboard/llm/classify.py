@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeboard.llm.packing import pack, unpack
-from gaugeboard.llm.texts import Words, column, pieces, text_column, unpacked, whole_row, window_hashes, window_starts
+from gaugeboard.llm.texts import Words, column, pieces, row_beside_text, row_with_text, text_column, window_hashes, window_starts
 
 BUCKETS = 1 << 18
 #: About so many labelled rows, chosen by the hash of their id, are learned from; never more than twice as many.
@@ -176,21 +176,21 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return weights, float(bias[0])
 
 
-def _score(model):
+def _score(model, without: tuple[str, ...]):
     def score(batches):
         weights, bias = model.value
         for piece, texts in pieces(batches):
-            kept = {n: piece.column(i) for i, n in enumerate(piece.schema.names) if n != "text"}
+            kept = {n: piece.column(i) for i, n in enumerate(piece.schema.names) if n not in without}
             kept["score"] = pa.array(score_texts(texts, weights, bias))
             yield pa.RecordBatch.from_arrays(list(kept.values()), list(kept))
 
     return score
 
 
-def scored(rows: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``rows`` with ``score`` for their ``text``."""
-    kept = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(_score(rows.sparkSession.sparkContext.broadcast(model)), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+def scored(rows: DataFrame, model: tuple[np.ndarray, float], without: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``rows`` with ``score`` for their ``text``, and ``without`` some columns."""
+    kept = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in without]
+    return rows.mapInArrow(_score(rows.sparkSession.sparkContext.broadcast(model), without), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -205,5 +205,6 @@ def scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 def accepted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score at least the threshold, unchanged."""
     model = fitted(docs, labels, id_col, text_col, label_col)
-    found = scored(docs.select(whole_row(docs).alias("row"), text_column(docs, text_col).alias("text")), model)
-    return found.filter(F.col("score") >= threshold).select(*unpacked(found, "row", docs.columns))
+    row, text = row_beside_text(docs, text_col)
+    found = scored(docs.select(row.alias("row"), text.alias("text")), model, without=())
+    return found.filter(F.col("score") >= threshold).select(*row_with_text(docs, text_col))

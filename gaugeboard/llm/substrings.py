@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gaugeboard.llm.packing import block_count, in_blocks, pack, split, unpack
-from gaugeboard.llm.texts import Words, column, covered, mixed, pieces, text_column, whole_row, window_hashes, window_starts
+from gaugeboard.llm.texts import Words, column, covered, mixed, pieces, row_beside_text, row_with_text, text_column, window_hashes, window_starts
 
 LENGTH = 13
 GRAM = 6
@@ -245,7 +245,8 @@ def _parse(schema: pa.Schema):
             if "spans" in schema.names:
                 columns["spans"] = pa.array(spans, schema.field("spans").type)
             if "kept" in schema.names:
-                columns["kept"] = pa.array(kept_text, pa.binary()).cast(pa.string())
+                missing = _field(batch, "text").is_null().to_numpy(zero_copy_only=False)
+                columns["kept"] = pa.array(kept_text, pa.binary(), mask=missing).cast(pa.string())
             if "kept_sha256" in schema.names:
                 columns["kept_sha256"] = pa.array([hashlib.sha256(b" ".join(t.split())).hexdigest() for t in kept_text])
             out.append(pa.table([columns[n] for n in schema.names], schema=schema))
@@ -258,11 +259,11 @@ SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("firs
 
 
 def parsed(docs: DataFrame, outputs: dict[str, T.DataType], id_col="doc_id", text_col="text", rows: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and ``outputs`` (kept, kept_sha256, spans) per row; with ``rows`` the whole row too."""
+    """doc_id, n_words, n_removed and ``outputs`` (kept, kept_sha256, spans) per row; with ``rows`` the row beside the text too."""
     doc_id, text = column(docs, id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text")
     count = block_count(docs, text)
     plain = in_blocks(docs, [doc_id, text], [doc_id, text], count)
-    full = in_blocks(docs, [doc_id, text, whole_row(docs).alias("row")], [doc_id, text], count) if rows else plain
+    full = in_blocks(docs, [doc_id, text, row_beside_text(docs, text_col)[0].alias("row")], [doc_id, text], count) if rows else plain
     by_block = plain.groupBy("block")
     anchors = by_block.applyInArrow(_ask_anchors(count), ASKED).groupBy("bucket").applyInArrow(_answer_anchors, ASKED)
     asked = by_block.cogroup(anchors.groupBy("block")).applyInArrow(_ask_windows(count), ASKED)
@@ -287,8 +288,11 @@ def spans(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 def without_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", length_col: str | None = "n_chars") -> DataFrame:
     """All rows, their duplicate spans cut out of the text; the length column follows."""
     found = parsed(docs, {"kept": T.StringType()}, id_col, text_col, rows=True)
-    replaced = {text_col: F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row").getField(text_col))}
+    cut = F.col("n_removed") > 0
+    replaced = {}
+    if text_col in docs.columns and docs.schema[text_col].dataType.typeName() != "string":
+        replaced[text_col] = F.when(cut, F.col("kept")).otherwise(F.col("row").getField(text_col))
     if length_col in docs.columns:
-        size = F.char_length("kept").cast(docs.schema[length_col].dataType)
-        replaced[length_col] = F.when(F.col("n_removed") > 0, size).otherwise(F.col("row").getField(length_col))
-    return found.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+        replaced[length_col] = F.when(cut, F.char_length("kept").cast(docs.schema[length_col].dataType)).otherwise(F.col("row").getField(length_col))
+    whole = dict(zip(docs.columns, row_with_text(docs, text_col, text="kept")))
+    return found.select(*[replaced[c].alias(c) if c in replaced else whole[c] for c in docs.columns])

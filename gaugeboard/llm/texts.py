@@ -6,6 +6,7 @@ A word is a run of bytes other than ASCII white space (0x20, 0x09 to 0x0D), whic
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from gaugeboard.functions.kinds import quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a task works on at a time; a longer text is a piece of its own.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,8 +44,38 @@ def unpacked(df: DataFrame, struct: str, names: list[str]) -> list[Column]:
     return [F.col(struct).getField(n).alias(n) for n in names]
 
 
+def row_beside_text(df: DataFrame, text_col: str) -> tuple[Column, Column]:
+    """(row, text) so that the text is carried once: the row lacks the text column, if that is a string."""
+    once = [c for c in df.columns if c != text_col or df.schema[c].dataType.typeName() != "string"]
+    return F.struct(*[F.col(quoted(c)) for c in once], F.lit(0).alias("__none")), text_column(df, text_col)
+
+
+def row_with_text(df: DataFrame, text_col: str, row: str = "row", text: str = "text") -> list[Column]:
+    """The columns of ``df`` from what ``row_beside_text`` made."""
+    whole = text_col in df.columns and df.schema[text_col].dataType.typeName() == "string"
+    return [F.col(text).alias(c) if whole and c == text_col else F.col(row).getField(c).alias(c) for c in df.columns]
+
+
+@functools.cache
+def _trim():
+    """The C library's call that hands free memory back, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: None
+
+
+def give_back() -> None:
+    """Hand memory that is free back to the system; a worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches of about ``limit`` bytes of text, with the texts (NULL: empty)."""
+    """Slices of the batches of about ``limit`` bytes of text, with the texts (NULL: empty).
+
+    A task's memory is given back when it has seen the last of them.
+    """
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
         start = total = 0
@@ -56,6 +87,8 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = P
             total += size
         if start < len(texts):
             yield batch.slice(start), [t or b"" for t in texts[start:]]
+        del texts
+    give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
