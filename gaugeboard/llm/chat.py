@@ -8,7 +8,9 @@ A dynamic programme over the automaton's states finds the cheapest repair.
 The cost of a run of turns from state to state is a small matrix, and such matrices multiply
 (least sum).  So a chat longer than SEGMENT turns is cut into segments: each gives its matrix,
 the matrices fix the states at the cuts, and every segment is then repaired on its own.  No task
-holds a whole long chat, and the result is that of one pass.
+holds a whole long chat.  Of equally cheap repairs the one counts that, read from the end, first has the
+preferred move; a segment also tells which of its entry states leads to it, so that the result is
+that of one pass, turn by turn, wherever the chat is cut.
 
 Turns are ordered by turn (NULL first), then role and text; equal rows are turns of their own.
 NULL text is empty.  A NULL or unknown role can be any role, at a small cost.  Turns whose chat is
@@ -69,52 +71,55 @@ def _moves() -> dict[int | None, list[tuple[int, int, int, str, int]]]:
 MOVES = _moves()
 
 
-def matrix(roles: list[int | None]) -> list[list[int]]:
-    """Least cost of a run of turns from each state to each state."""
-    out = []
-    for start in STATES:
-        costs = [FAR] * 4
-        costs[start] = 0
-        for role in roles:
-            step = [FAR] * 4
-            for state, to, cost, _, _ in MOVES[role]:
-                step[to] = min(step[to], costs[state] + cost)
-            costs = step
-        out.append(costs)
-    return out
-
-
-def repair(roles: list[int | None], entry: int = START, leave: int | None = None) -> list[tuple[int, str, int, int]]:
-    """(role, action, inserted role, cost) of each turn, on the cheapest path from ``entry`` to ``leave`` (None: the end of the chat)."""
+def _steps(roles: list[int | None], entry: int) -> tuple[list[int], list[list[int | None]]]:
+    """Least cost of each state after the turns, and for every turn the place in MOVES of the best move to each state."""
     costs, back = [FAR] * 4, []
     costs[entry] = 0
     for role in roles:
         step, how = [FAR] * 4, [None] * 4
-        for move in MOVES[role]:
-            state, to, cost = move[:3]
+        for at, (state, to, cost, _, _) in enumerate(MOVES[role]):
             if costs[state] + cost < step[to]:
-                step[to], how[to] = costs[state] + cost, move
+                step[to], how[to] = costs[state] + cost, at
         costs = step
         back.append(how)
+    return costs, back
+
+
+def _path(roles: list[int | None], back: list[list[int | None]], leave: int) -> list[int]:
+    """The places in MOVES of the best moves to a state, from the last turn to the first."""
+    out, state = [], leave
+    for role, how in zip(reversed(roles), reversed(back)):
+        out.append(how[state])
+        state = MOVES[role][how[state]][0]
+    return out
+
+
+def matrix(roles: list[int | None]) -> tuple[list[list[int]], list[list[int]]]:
+    """From each state (row) to each state, over a run of turns: the least cost, and the rank of the row among those of equal cost."""
+    found = [_steps(roles, entry) for entry in STATES]
+    costs = [c for c, _ in found]
+    ranks = [[0] * 4 for _ in STATES]
+    for to in STATES:
+        reached = [entry for entry in STATES if costs[entry][to] < FAR]
+        for rank, entry in enumerate(sorted(reached, key=lambda e: _path(roles, found[e][1], to))):
+            ranks[entry][to] = rank
+    return costs, ranks
+
+
+def repair(roles: list[int | None], entry: int = START, leave: int | None = None) -> list[tuple[int, str, int, int]]:
+    """(role, action, inserted role, cost) of each turn, on the cheapest path from ``entry`` to ``leave`` (None: the end of the chat)."""
+    costs, back = _steps(roles, entry)
     state = min(STATES, key=lambda s: costs[s] + CLOSING[s][0]) if leave is None else leave
-    out = []
-    for how in reversed(back):
-        before, to, cost, action, inserted = how[state]
-        out.append((to, action, inserted, cost))
-        state = before
-    return out[::-1]
+    moves = [MOVES[role][at] for role, at in zip(roles, reversed(_path(roles, back, state)))]
+    return [(to, action, inserted, cost) for _, to, cost, action, inserted in moves]
 
 
-def cuts(matrices: list[list[list[int]]]) -> list[tuple[int, int | None]]:
+def cuts(matrices: list[tuple[list[list[int]], list[list[int]]]]) -> list[tuple[int, int | None]]:
     """(entry, leave) state of each segment of a chat; the last one's leave is open."""
     costs, back = [0, FAR, FAR, FAR], []
-    for m in matrices:
-        step, how = [FAR] * 4, [START] * 4
-        for state in STATES:
-            for to in STATES:
-                if costs[state] + m[state][to] < step[to]:
-                    step[to], how[to] = costs[state] + m[state][to], state
-        costs = step
+    for m, ranks in matrices:
+        how = [min(STATES, key=lambda s: (costs[s] + m[s][to], ranks[s][to])) for to in STATES]
+        costs = [min(FAR, costs[how[to]] + m[how[to]][to]) for to in STATES]
         back.append(how)
     state = min(STATES, key=lambda s: costs[s] + CLOSING[s][0])
     out: list[tuple[int, int | None]] = []
@@ -170,7 +175,7 @@ def _runs(batches: Iterator[pa.RecordBatch]):
 
 def _matrices(id_type: pa.DataType):
     def rows(batches):
-        found = [(conv, segment, sum(matrix([role_of(r["role"]) for r in held]), [])) for (conv, segment), held in _runs(batches)]
+        found = [(conv, segment, [x for part in matrix([role_of(r["role"]) for r in held]) for row in part for x in row]) for (conv, segment), held in _runs(batches)]
         ids, segments, costs = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(segments, pa.int64()), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "segment", "costs"])
 
@@ -179,7 +184,7 @@ def _matrices(id_type: pa.DataType):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches).sort_by("segment")
-    found = cuts([[c[4 * s : 4 * s + 4] for s in STATES] for c in table.column("costs").to_pylist()])
+    found = cuts([tuple([c[at + 4 * s : at + 4 * s + 4] for s in STATES] for at in (0, 16)) for c in table.column("costs").to_pylist()])
     entry, leave = zip(*found)
     out = table.select(["conv_id", "segment"]).append_column("entry", pa.array(entry, pa.int32())).append_column("leave", pa.array(leave, pa.int32()))
     yield from out.combine_chunks().to_batches()
