@@ -7,8 +7,9 @@ to a sampled suffix position, mapped to words of documents and merged to removal
 that no benchmark item has are one separator symbol, and runs too short for any window are left
 out of the index, since no window can lie there.
 
-Nothing is shuffled.  The benchmark is read in blocks of at most BLOCK_BYTES of text; a pass over
-the documents (all in one stage) searches one block, so what is broadcast stays bounded.
+The benchmark is read in blocks of at most BLOCK_BYTES of text.  One block is searched as the
+documents are read, without a shuffle; of more, each is searched in a pass of its own and only
+the hits are kept, so what is held and broadcast stays bounded.
 
 NULL and word-free texts have no words and no hits; NULL or word-free items have no window.  Items
 without id count as item "".  Each row of repeated documents is judged alike; extra columns are
@@ -17,14 +18,17 @@ not read.  An item in several rows is one item with all their windows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gaugeboard.llm.texts import column, pieces, text_column, unpacked, whole_row
+from gaugeboard.llm.texts import column, pieces, row_beside_text, row_with_text, text_column
+from gaugeboard.session import materialize
 
 WINDOW = 13
 BLOCK_BYTES = 4_000_000
@@ -216,30 +220,50 @@ def _judged(hits: list | None, n: int) -> tuple[int, int, str, bool]:
     return covered, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), covered > 0 and SHARE * covered >= n
 
 
-def _judge(batches):
+def _judge(without: tuple[str, ...], batches):
     for batch in batches:
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in without}
         hits, words = columns.pop("hits").to_pylist(), columns["n_words"].to_pylist()
         n_hit, n_items, sha, bad = zip(*map(_judged, hits, words)) if len(hits) else ((),) * 4
-        columns.pop("text")
         columns |= {"n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(sha, pa.string()), "contaminated": pa.array(bad, pa.bool_())}
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def hits(rows: DataFrame, benchmark: DataFrame, item_col="item_id", text_col="text") -> DataFrame:
-    """``rows`` (with ``text``) and n_words and ``hits``: each item's merged spans of words."""
-    found = rows.withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.lit(None).cast(HITS))
-    schema = found.schema
-    for phrases in blocks_of(benchmark, item_col, text_col):
-        found = found.mapInArrow(_search(rows.sparkSession.sparkContext.broadcast(phrases)), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
-    return found
-
-
-def _judged_rows(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``rows`` (with ``text``) and n_words and ``hits``: each item's merged spans of words.
+
+    A benchmark of one block is matched as the rows are read.  With more, each block is a pass over the texts that
+    stores the few texts with hits by their digest, and the hits of all blocks are joined to the rows in the end: only
+    two blocks are held at a time, and the plan of the result has one evaluation in Python however many there were.
+    """
+    context = rows.sparkSession.sparkContext
+    blocks = blocks_of(benchmark, item_col, text_col)
+    block, later = next(blocks), next(blocks, None)
+    if later is None:
+        return _matched(rows, F.lit(None).cast(HITS), context.broadcast(block))
+    key = F.md5(F.coalesce("text", F.lit("")))
+    texts, parts = rows.select(key.alias("key"), "text"), []
+    for phrases in itertools.chain([block, later], blocks):
+        shared = context.broadcast(phrases)
+        found = _matched(texts, F.lit(None).cast(HITS), shared).where("hits IS NOT NULL")
+        parts.append(materialize(found.select("key", "hits").dropDuplicates(["key"]), "hits"))  # equal texts have equal hits
+        shared.destroy()
+    together = functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("found"))
+    held = rows.withColumn("key", key).join(together, "key", "left").drop("key")
+    return _matched(held, F.col("found"), context.broadcast(Phrases([]))).drop("found")
+
+
+def _matched(rows: DataFrame, known: Column, shared) -> DataFrame:
+    """``rows``, n_words and the ``known`` hits with those of a block."""
+    found = rows.withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", known)
+    return found.mapInArrow(_search(shared), T.StructType([T.StructField(f.name, f.dataType) for f in found.schema]))
+
+
+def _judged_rows(rows: DataFrame, benchmark: DataFrame, without: tuple[str, ...] = ("text",)) -> DataFrame:
     found = hits(rows, benchmark)
-    kept = [T.StructField(f.name, f.dataType) for f in found.schema if f.name not in ("text", "hits")]
+    kept = [T.StructField(f.name, f.dataType) for f in found.schema if f.name not in (*without, "hits")]
     new = [("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
-    return found.mapInArrow(_judge, T.StructType([*kept, *[T.StructField(n, t) for n, t in new]]))
+    return found.mapInArrow(functools.partial(_judge, without), T.StructType([*kept, *[T.StructField(n, t) for n, t in new]]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -251,5 +275,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col="text") -> DataFrame:
     """The rows that are not contaminated, unchanged."""
-    found = _judged_rows(docs.select(whole_row(docs).alias("row"), text_column(docs, text_col).alias("text")), benchmark)
-    return found.filter(~F.col("contaminated")).select(*unpacked(found, "row", docs.columns))
+    row, text = row_beside_text(docs, text_col)
+    found = _judged_rows(docs.select(row.alias("row"), text.alias("text")), benchmark, without=())
+    return found.filter(~F.col("contaminated")).select(*row_with_text(docs, text_col))

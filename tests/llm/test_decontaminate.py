@@ -47,6 +47,21 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((w[0] for w in want if not w[5]), key=repr)
 
 
+def test_many_blocks_are_one_evaluation(spark, monkeypatch):
+    rows = nasty.rows()
+    items = [(f"i{i}", " ".join(nasty.words(rows[i % 12][1])[i : i + 20])) for i in range(60)]
+    docs, bench = nasty.documents(spark, rows), spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    sizes = []
+    real = d._search
+    monkeypatch.setattr(d, "_search", lambda block: sizes.append(len(block.value.by_length)) or real(block))
+    monkeypatch.setattr(d, "BLOCK_BYTES", sum(len(t) for _, t in items) // 50)
+    found = d.hits(docs.select("doc_id", "text"), bench)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1 and len(sizes) >= 40
+    monkeypatch.setattr(d, "_search", real)
+    assert nasty.by_row(d.contamination(docs, bench)) == sorted(brute(rows, items), key=repr)
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert d.contamination(nasty.documents(spark, []), bench).count() == 0
