@@ -104,7 +104,7 @@ def steps(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 def nodes(steps: DataFrame) -> DataFrame:
-    """One row per node: key, parent, depth, size, conv_id (least member), parent_conv_id, n_convs, n_children, weight."""
+    """One row per node: key, parent, depth, size, conv_id (least member), parent_conv_id, n_convs, n_children, weight, comp (the root's key)."""
     found = steps.groupBy("key", "parent", "depth", "size").agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.sum("below").alias("weight")
     )
@@ -112,7 +112,8 @@ def nodes(steps: DataFrame) -> DataFrame:
     above = found.select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     children = found.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("n_children"))
     out = found.join(above, "parent", "left").join(children, "key", "left")
-    return materialize(out.withColumn("n_children", F.coalesce("n_children", F.lit(0))), "trie")
+    zero = F.lit(0).cast("long")
+    return materialize(out.withColumns({"n_children": F.coalesce("n_children", F.lit(0)), "comp": _key(zero, [zero] * 4)}), "trie")
 
 
 def decompose(top: np.ndarray, parent: np.ndarray, depth: np.ndarray, weight: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -321,9 +322,8 @@ def trie(turns: DataFrame, convs: DataFrame, small: int | None = None) -> DataFr
     the subtree) and ends_sha256 (of the ids of members that end here, ascending, comma-joined).
     """
     walked = steps(turns, convs)
-    zero = F.lit(0).cast("long")
     found = nodes(walked).withColumns(
-        {"n_leaves": F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("size"), "comp": _key(zero, [zero] * 4)}
+        {"n_leaves": F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("size")}
     )
     sums = subtree_sums(found, walked, ["n_leaves", "saved_tokens"], small)
     out = found.drop("n_leaves", "saved_tokens").join(sums, "key").join(ends(walked), "key", "left")
