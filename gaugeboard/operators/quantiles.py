@@ -90,11 +90,16 @@ def _read_out(df: DataFrame, parts: list[_Interval], found: dict) -> None:
 
 
 def _shares(part: _Interval) -> str:
-    """SQL array of the places near the wanted ranks, below and above them, as shares of the interval."""
-    shares = set()
+    """SQL array of the places near the wanted ranks, below and above them, as shares of the interval.
+
+    Ranks next to each other share their places.
+    """
+    shares: list[float] = []
     for r in part.ranks:
         share = (r - part.before + 0.5) / part.size
-        shares |= {max(0.0, share - MARGIN), share, min(1.0, share + MARGIN)}
+        for near in (max(0.0, share - MARGIN), share, min(1.0, share + MARGIN)):
+            if all(abs(near - s) > MARGIN / 4 for s in shares):
+                shares.append(near)
     return f"array({', '.join(double_literal(s) for s in sorted(shares))})"
 
 
@@ -104,32 +109,20 @@ def _sketch_cuts(part: _Interval, value: str) -> str:
     return f"kll_sketch_get_quantile_{kind}(kll_sketch_agg_{kind}({value}, {SKETCH_SIZE}), {_shares(part)})"
 
 
-def _place(value: str, cuts: list[str], first: int = 0, end: int | None = None) -> str:
-    """SQL place of ``value`` among the cuts: 2i below cut i (and above the one before), 2i + 1 on it."""
-    end = len(cuts) if end is None else end
-    if first == end:
-        return str(2 * first)
-    middle = (first + end) // 2
-    cut = cuts[middle]
-    below, above = _place(value, cuts, first, middle), _place(value, cuts, middle + 1, end)
-    return f"CASE WHEN {value} < {cut} THEN {below} WHEN {value} = {cut} THEN {2 * middle + 1} ELSE {above} END"
-
-
 def _narrow(df: DataFrame, parts: list[_Interval], found: dict, cuts: list[list] | None = None) -> list[_Interval]:
     """One sketch pass, unless ``cuts`` are known, and one counting pass for all intervals; returns those still open.
 
-    Counting turns each row into one (interval, place) pair per interval it lies in and counts the pairs.
+    Counting tells for every cut how many values of its interval lie below it and up to it.
     """
     cuts = [sorted(set(c)) for c in cuts or _aggregate(df, parts, _sketch_cuts)]
     values = df.selectExpr(*[f"CASE WHEN {part.inside(part.value.sql)} THEN {part.value.sql} END AS v{i}" for i, part in enumerate(parts)])
-    pairs = [
-        f"named_struct('part', {i}, 'place', CASE WHEN v{i} IS NOT NULL THEN {_place(f'v{i}', [part.value.literal(c) for c in cuts[i]])} END)"
-        for i, part in enumerate(parts)
-    ]
-    placed = values.selectExpr(f"inline(array({', '.join(pairs)}))").where("place IS NOT NULL")
-    counted = placed.groupBy("part", "place").agg(F.count(F.lit(1)).alias("n"))
-    # A few places per interval.
-    counts = {(row["part"], row["place"]): row["n"] for row in counted.collect()}
+    tests = [f"v{i} {sign} {part.value.literal(c)}" for i, part in enumerate(parts) for c in cuts[i] for sign in ("<", "<=")]
+    upto = iter(values.agg(*[F.expr(f"count_if({test})").alias(f"n{k}") for k, test in enumerate(tests)]).first())
+    # Places of an interval: below its first cut, on it, between it and the next, ...
+    counts = {}
+    for i, part in enumerate(parts):
+        edges = [0, *[next(upto) for _ in range(2 * len(cuts[i]))], part.size]
+        counts.update({(i, place): z - a for place, (a, z) in enumerate(zip(edges, edges[1:]))})
 
     still_open = []
     for i, part in enumerate(parts):

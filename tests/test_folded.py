@@ -15,7 +15,7 @@ def summed(rows):
 
 
 def batch(spark, i):
-    return spark.createDataFrame([(i % 7, i), (3, 1)], SCHEMA).coalesce(1)
+    return spark.sql(f"SELECT * FROM VALUES ({i % 7}L, {i}L), (3L, 1L) AS t(k, n)").coalesce(1)
 
 
 def state(log):
