@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
@@ -91,10 +92,30 @@ class Element:
         return not self.inside or bool(self.names or self.role)
 
 
+class _Open:
+    """The open elements, and for each name where they stand, so that none is searched for."""
+
+    def __init__(self, root: Element):
+        self.stack, self.places = [root], defaultdict(list)
+
+    def push(self, element: Element) -> None:
+        self.places[element.name].append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+
+    def last(self, names) -> int:
+        """The place of the innermost open element with one of the names, 0 without one."""
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+
 def parse(page: str) -> Element:
-    """The element tree; texts are strings, still with character references."""
+    """The element tree; texts are strings, still with character references.  Time grows with the page, however deep it is."""
     root = Element("")
-    stack, at = [root], 0
+    opened, at = _Open(root), 0
+    stack = opened.stack
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
@@ -106,23 +127,18 @@ def parse(page: str) -> Element:
         if not name:
             continue
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
-            else:
-                if name == "p":  # a stray end of a paragraph still parts what is around it
-                    stack[-1].children.append(Element(name, "", stack[-1].inside))
+            if place := opened.last((name,)):
+                opened.cut(place)
+            elif name == "p":  # a stray end of a paragraph still parts what is around it
+                stack[-1].children.append(Element(name, "", stack[-1].inside))
             continue
         closed, scope = CLOSES.get(name, ()), SCOPES.get(name, ())
         if name in ENDS_P:
             closed, scope = {*closed, "p"}, {*scope, "td", "th", "table", "button"}
         if closed:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in closed:
-                    del stack[i:]
-                elif stack[i].name in scope:
-                    break
+            wall = opened.last(set(scope) - set(closed))
+            while (place := opened.last(closed)) > wall:
+                opened.cut(place)
         above = stack[-1]
         element = Element(name, found[3], above.inside or above.name in ("article", "main"))
         above.children.append(element)
@@ -131,7 +147,7 @@ def parse(page: str) -> Element:
             element.children.append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
         elif name not in VOID and not found[3].endswith("/"):
-            stack.append(element)
+            opened.push(element)
 
 
 def hashed(root: Element) -> dict[int, int]:

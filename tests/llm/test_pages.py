@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -72,3 +73,63 @@ def test_hash_depends_on_every_part():
 
 def test_empty_table(spark):
     assert pages.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _searching_parse(page):
+    """The tree as nested lists, by looking through all open elements at every tag."""
+    root = ["", []]
+    stack, at = [root], 0
+    while found := pages._TOKEN.search(page, at):
+        if page[at : found.start()]:
+            stack[-1][1].append(page[at : found.start()])
+        at, name = found.end(), (found[2] or "").lower()
+        if not name:
+            continue
+        if found[1]:
+            same = [i for i, e in enumerate(stack) if i and e[0] == name]
+            if same:
+                del stack[same[-1] :]
+            elif name == "p":
+                stack[-1][1].append(["p", []])
+            continue
+        closed, scope = set(pages.CLOSES.get(name, ())), set(pages.SCOPES.get(name, ()))
+        if name in pages.ENDS_P:
+            closed, scope = closed | {"p"}, scope | {"td", "th", "table", "button"}
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in closed:
+                del stack[i:]
+            elif stack[i][0] in scope:
+                break
+        element = [name, []]
+        stack[-1][1].append(element)
+        if name not in pages.VOID and not found[3].endswith("/"):
+            stack.append(element)
+    if page[at:]:
+        stack[-1][1].append(page[at:])
+    return root
+
+
+def _nested(element):
+    return [element.name, [c if isinstance(c, str) else _nested(c) for c in element.children]]
+
+
+def test_tag_soup_gives_the_tree_of_a_plain_search():
+    rng = random.Random(11)
+    names = ["p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "tbody", "dl", "dt", "dd", "b", "article", "button", "section", "option", "body", "head", "br"]
+    for _ in range(400):
+        soup = "".join(rng.choice([f"<{n}>", f"<{n}>", f"</{n}>", "x", f"<{n}/>"]) for n in rng.choices(names, k=60))
+        assert _nested(pages.parse(soup)) == _searching_parse(soup)
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<div><p>", "<ul><li>", "<table><tr><td>", "<b>"])
+def test_a_very_deep_page_takes_little_time(opening):
+    start = time.perf_counter()
+    page = "<article>" + opening * 60_000 + "deep</article><p>after"
+    assert pages.main_text(pages.parse(page), set()).endswith("deep")
+    assert time.perf_counter() - start < 20
+
+
+def test_a_deep_page_in_spark(spark):
+    rows = [(1, "http://a.b/c", "<article>" + "<div>" * 100_000 + "deep"), (2, None, None)]
+    found = {r["page_id"]: r["text"] for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "deep", 2: ""}
