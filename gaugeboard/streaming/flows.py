@@ -149,7 +149,14 @@ def drain(stream: DataFrame, label: str, sink: str | None = None, checkpoint: st
 
 
 def _drain_batches(stream: DataFrame, label: str, per_batch, log: FoldedLog, mode: str, checkpoint: str | None) -> None:
-    """Write ``per_batch(rows, batch)`` of every micro-batch to the log; a repeated batch replaces itself."""
+    """Write ``per_batch(rows, batch)`` of every micro-batch to the log; a repeated batch replaces itself.
+
+    A log goes with the checkpoint it was begun with: another one would count its batches anew.
+    """
+    spark = stream.sparkSession
+    checkpoint = checkpoint or scratch_path(spark, f"{label}-checkpoint")
+    if log.folders() and not Folder(spark, checkpoint).has("commits"):
+        raise ValueError(f"{log.log.path} was begun with another checkpoint than {checkpoint}")
 
     def write(rows: DataFrame, batch: int) -> None:
         # The result may read the batch more than once; do not read the source again.
@@ -161,7 +168,7 @@ def _drain_batches(stream: DataFrame, label: str, per_batch, log: FoldedLog, mod
 
     query = (
         stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, f"{label}-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .outputMode(mode)
         .trigger(availableNow=True)
         .start()

@@ -62,6 +62,23 @@ def test_counts_keep_the_newest_batch(spark, arrivals):
     assert sorted((r["id"], r["n"]) for r in got.collect()) == [(1, 3), (2, 1)]
 
 
+def test_a_log_goes_with_its_checkpoint(spark, arrivals, tmp_path):
+    add, folder = arrivals
+    sink, checkpoint = str(tmp_path / "log"), str(tmp_path / "ck")
+
+    def counted(at):
+        counts = flows.running_counts(flows.read_files(spark, folder, POSTS, files_per_batch=1), ["id"])
+        return sorted((r["id"], r["n"]) for r in flows.drain_updates(counts, ["id"], "counts", sink, at, every=2).collect())
+
+    for i in range(3):
+        add([_post(i % 2, 0)], POSTS)
+    assert counted(checkpoint) == [(0, 2), (1, 1)]
+    add([_post(1, 1)], POSTS)
+    assert counted(checkpoint) == [(0, 2), (1, 2)] == counted(checkpoint)
+    with pytest.raises(ValueError):
+        counted(str(tmp_path / "other"))
+
+
 def test_windows_close_with_the_watermark(spark, arrivals):
     add, folder = arrivals
     add([_post(1, 0), _post(2, 4), _post(3, 7)], POSTS)
