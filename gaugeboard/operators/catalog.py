@@ -145,19 +145,21 @@ def nested_children(
     if it has none), so no row has to hold an unbounded collection.
     """
     kept = list(dict.fromkeys([*order_by, *fields]))
-    placed = position_in_group(child.select(fk, *[c for c in kept if c != fk]), [fk], order_by, "__at")
+    children = child.select(fk, *[c for c in kept if c != fk]).where(F.col(fk).isNotNull())
+    placed = position_in_group(children, [fk], order_by, "__at")
     page = F.floor((F.col("__at") - 1) / page_size).cast("bigint")
-    entry = F.struct("__at", F.struct(*fields).alias("child"))
+    entries = placed.select(F.col(fk).alias("__fk"), page.alias("page"), F.struct("__at", F.struct(*fields).alias("child")).alias("__entry"))
+    # Every parent asks for its page 0, so those without a child need no search of their own.
+    asked = parent.select(F.col(pk).alias("__fk"), F.lit(0).cast("bigint").alias("page"), F.lit(None).cast(entries.schema["__entry"].dataType).alias("__entry"))
     pages = (
-        placed.groupBy(F.col(fk).alias("__fk"), page.alias("page"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("__entries"))
+        entries.unionByName(asked)
+        .groupBy("__fk", "page")
+        .agg(F.sort_array(F.collect_list("__entry")).alias("__entries"))
         .select("__fk", "page", F.transform("__entries", lambda e: e.getField("child")).alias("children"))
     )
     # An inner join can split the pages of a hot parent; a left join could not.
-    paged = parent.join(pages, F.col(pk) == F.col("__fk")).drop("__fk")
-    empty = F.slice(F.array(F.struct(*[F.lit(None).cast(child.schema[f].dataType).alias(f) for f in fields])), 1, 0)
-    childless = without_child(parent, pk, child, fk).select("*", F.lit(0).cast("bigint").alias("page"), empty.alias("children"))
-    return paged.unionByName(childless).withColumn("n_children", F.size("children").cast("bigint"))
+    paged = parent.join(pages, F.col(pk).eqNullSafe(F.col("__fk"))).drop("__fk")
+    return paged.withColumn("n_children", F.size("children").cast("bigint"))
 
 
 def members(df: DataFrame, key: str, allowed: DataFrame, allowed_key: str) -> DataFrame:

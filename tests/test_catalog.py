@@ -184,3 +184,10 @@ def test_life_cycle(spark):
     dwell = life.dwell_times(log, "file", "status", "at", ["at"])
     assert _rows(dwell.where("seconds IS NOT NULL"), "file", "status", "seconds") == [("f", "pending", 5.0), ("f", "processing", 4.0), ("g", "pending", 1.0)]
     assert _rows(life.forbidden_transitions(log, "file", "status", ["at"]), "file", "previous", "status") == [("g", "pending", "completed")]
+
+
+def test_nested_children_of_parents_without_key_or_child(spark):
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id int, name string")
+    children = spark.createDataFrame([(1, 5), (1, 4), (None, 9), (7, 8)], "fk long, k int")
+    got = {r["name"]: (r["page"], [c["k"] for c in r["children"]], r["n_children"]) for r in cat.nested_children(parents, "id", children, "fk", ["k"], ["k"]).collect()}
+    assert got == {"a": (0, [4, 5], 2), "b": (0, [], 0), "c": (0, [], 0)}
