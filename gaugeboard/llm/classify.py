@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeboard.llm.packing import pack, unpack
-from gaugeboard.llm.texts import Words, column, pieces, row_beside_text, row_with_text, text_column, window_hashes, window_starts
+from gaugeboard.llm.texts import Words, column, give_back, pieces, row_beside_text, row_with_text, text_column, window_hashes, window_starts
 
 BUCKETS = 1 << 18
 #: About so many labelled rows, chosen by the hash of their id, are learned from; never more than twice as many.
 SAMPLE = 4_000
+#: Text that the training task takes at most, in whole texts.
+TRAIN_BYTES = 64_000_000
 DIMENSIONS = 8
 EPOCHS = 6
 #: Small samples are gone through more often, up to so many steps.
@@ -150,8 +152,17 @@ def score_texts(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((t or b"", y) for b in batches for t, y in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()))
+    """The model, from rows in the order of their hashes, as far as TRAIN_BYTES of whole texts go."""
+    rows, size = [], 0
+    for batch, texts in pieces(batches):
+        for text, label in zip(texts, batch.column(batch.schema.get_field_index("label")).to_pylist()):
+            size += len(text)
+            if size <= TRAIN_BYTES:
+                rows.append((text, label))
+    rows.sort()
     weights, bias = train([t for t, _ in rows], np.array([y for _, y in rows], np.int64))
+    rows.clear()
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array([pack(weights, np.array([bias]))], pa.binary())], ["model"])
 
 
@@ -166,10 +177,12 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     )
     share = min(1.0, sample / max(usable.count(), 1))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = usable.filter(place < share).limit(2 * sample)
+    # Least hashes first, so that a rerun takes the same rows where there are too many.
+    chosen = usable.filter(place < share).orderBy(place, "id", "label").limit(2 * sample)
     texts = docs.select(column(docs, id_col).cast("string").alias("id"), text_column(docs, text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("text", "label").limit(2 * sample)
-    model = rows.repartition(1).mapInArrow(_train, "model binary").collect()
+    order = [F.xxhash64("id"), F.xxhash64("text"), "label"]
+    rows = texts.join(F.broadcast(chosen), "id").orderBy(*order).limit(2 * sample)
+    model = rows.repartition(1).sortWithinPartitions(*order).select("text", "label").mapInArrow(_train, "model binary").collect()
     if not model:
         return train([], np.zeros(0, np.int64))
     weights, bias = unpack(bytes(model[0]["model"]))

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import nasty
 from gaugeboard.llm import classify
@@ -61,3 +62,20 @@ def test_one_class_or_nothing(spark):
     ones = classify.scores(docs, spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")).collect()
     assert all(r["score"] > 0.99 for r in ones)
     assert classify.scores(nasty.documents(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
+
+
+def test_training_takes_the_same_rows_and_bounded_text(spark, monkeypatch):
+    """Too many rows and too much text for the sample: what is taken does not hang on the order of the rows."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('w', id % 7, IF(id % 3 = 0, ' good ', ' bad ')), CAST(5 + id % 20 AS INT)) AS text")
+    docs = docs.unionByName(docs.where("doc_id % 5 = 0"))  # ids that repeat
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS INT) AS quality")
+    for name, value in (("TRAIN_BYTES", 9_000), ("LEAST_STEPS", 20)):
+        monkeypatch.setattr(classify, name, value)
+    found = [classify.fitted(docs.repartition(n), labels.repartition(n), sample=60) for n in (1, 3, 7)]
+    assert all((w == found[0][0]).all() and b == found[0][1] for w, b in found)
+    seen = []
+    real = classify.train
+    monkeypatch.setattr(classify, "train", lambda texts, labels: seen.append((len(texts), sum(map(len, texts)))) or real(texts, labels))
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 4_000] * 5 + ["y"], "label": [0, 1, 0, 1, 0, 1]})
+    list(classify._train(iter([batch])))
+    assert seen == [(2, 8_000)]
