@@ -7,12 +7,17 @@ tables under ``spark.checkpoint.dir``, so they outlive any executor.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPE = contextvars.ContextVar("scratch scope", default="")
+
 # Adaptive execution sizes the shuffle partitions, picks broadcast joins from
 # measured sizes only, and splits hot join keys even when that costs a shuffle.
 SETTINGS = {
@@ -60,13 +65,32 @@ def _application_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the scratch folder."""
-    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}{_SCOPE.get()}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results built on them go stale."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _application_folder(spark))
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside when the block ends, also by an error.
+
+    Collect or write results before that.  Scopes can be nested; tables of other scopes and threads stay.
+    """
+    scope = f"{_SCOPE.get()}/scope-{uuid.uuid4().hex}"
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        _delete(spark, _application_folder(spark) + scope)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

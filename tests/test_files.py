@@ -155,3 +155,22 @@ def test_an_empty_result_is_not_computed_again(spark, tmp_path):
     for _ in range(3):
         assert cache.cached_result(spark, str(tmp_path), "d", "s", "total long", compute).count() == 0
     assert len(calls) == 1
+
+
+def test_scopes_delete_their_intermediate_tables(spark):
+    from gaugeboard.sources.folders import Folder
+
+    def there(df):
+        return all(Folder(spark, str(f).rsplit("/", 1)[0]).names() for f in df.inputFiles())
+
+    before = session.materialize(spark.range(3), "kept")
+    with session.scratch_scope(spark):
+        outer = session.materialize(spark.range(4), "outer")
+        with pytest.raises(RuntimeError), session.scratch_scope(spark):
+            inner = session.materialize(spark.range(5), "inner")
+            assert there(inner)
+            raise RuntimeError
+        assert not there(inner) and outer.count() == 4
+        assert session.scratch_path(spark, "x").count("scope-") == 1
+    assert not there(outer) and before.count() == 3
+    assert "scope-" not in session.scratch_path(spark, "x")
