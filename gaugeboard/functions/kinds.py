@@ -101,3 +101,8 @@ def present(df: DataFrame, name: str) -> Column:
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.nanvl(value, F.lit(None).cast(data_type))
     return value
+
+
+def decimals_as_numbers(df: DataFrame) -> DataFrame:
+    """The same columns with decimals as doubles, so that every operator counts them as numeric."""
+    return df.select(*[F.col(quoted(f.name)).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(quoted(f.name)) for f in df.schema.fields])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugeboard.functions.kinds import decimals_as_numbers
 from gaugeboard.operators import insights as ins, profile as prof
 from gaugeboard.plans import dashboards as dash
 from gaugeboard.plans.registry import ORACLES, Tables, query
@@ -125,6 +126,13 @@ def describe(t: Tables):
     return rounded(prof.describe(t.part))
 
 
+@query("describe_decimals", _describe_sql("part", _PART_COLUMNS))
+def describe_decimals(t: Tables):
+    """Prices as decimals, which count as numbers on request."""
+    priced = t.part.withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,6)"))
+    return rounded(prof.describe(decimals_as_numbers(priced)))
+
+
 def _corr_sql(table: str, cols: list[str]) -> str:
     pairs = [(a, b) for a in cols for b in cols]
     return " UNION ALL ".join(
