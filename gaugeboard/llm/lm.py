@@ -89,7 +89,11 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _ask(order: int, buckets: int):
+def _words(text: bytes, lower: bool) -> list[bytes]:
+    return (text.lower() if lower else text).split()  # of bytes, both know ASCII only
+
+
+def _ask(order: int, buckets: int, lower: bool):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings, words, block = [], Counter(), 0
         for batch, texts in pieces(batches):
@@ -103,9 +107,9 @@ def _ask(order: int, buckets: int):
             if len(strings) > 8:
                 strings = _merged(strings)
             for text in learned:
-                words.update(text.split())
+                words.update(_words(text, lower))
             for text in asked:
-                for word in set(text.split()):
+                for word in set(_words(text, lower)):
                     words.setdefault(word, 0)
             words[END_WORD] += len(learned)
         if not words:
@@ -175,7 +179,7 @@ class Lookup:
         return self.values[at]
 
 
-def _score(order: int, names: list[str], id_type: pa.DataType):
+def _score(order: int, lower: bool, names: list[str], id_type: pa.DataType):
     def rows(doc_id, held, tokens, known, base, score, learned, distinct):
         return pa.Table.from_arrays(
             [pa.array(doc_id, id_type) if not isinstance(doc_id, pa.Array) else doc_id, pa.array(held, pa.bool_()), *[pa.array(x, pa.int64()) for x in (tokens, known)], *[pa.array(x, pa.float64()) for x in (base, score)], *[pa.array(x, pa.int64()) for x in (learned, distinct)]],
@@ -200,7 +204,7 @@ def _score(order: int, names: list[str], id_type: pa.DataType):
             scores = np.add.reduceat(cost(keys).astype(np.float64), begins)
             tokens, known, base = [], [], []
             for text in texts:
-                words = text.split()
+                words = _words(text, lower)
                 words.append(END_WORD)
                 numbers = np.fromiter(map(count.__getitem__, words), np.int64, len(words))
                 tokens.append(len(words))
@@ -217,8 +221,11 @@ def held_out_by_id(doc_id: Column, modulus: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def scores(docs: DataFrame, id_col="doc_id", text_col="text", held_out: Column | None = None, order: int = ppm.ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row."""
+def scores(docs: DataFrame, id_col="doc_id", text_col="text", held_out: Column | None = None, order: int = ppm.ORDER, lower: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
+
+    With ``lower``, words that differ only in the case of A-Z are one word.
+    """
     doc_id, text = column(docs, id_col), F.coalesce(text_column(docs, text_col), F.lit(""))
     doc_id = doc_id if id_col in docs.columns else doc_id.cast("long")
     held = held_out_by_id(doc_id) if held_out is None else F.coalesce(held_out, F.lit(False))
@@ -227,13 +234,13 @@ def scores(docs: DataFrame, id_col="doc_id", text_col="text", held_out: Column |
     count = block_count(docs, text)
     blocks = in_blocks(docs, columns, [doc_id, text], count)
     pairs = pair_counts(plain.select("text", "held_out"))
-    asked = blocks.groupBy("block").applyInArrow(_ask(order, count), ASKED)
+    asked = blocks.groupBy("block").applyInArrow(_ask(order, count, lower), ASKED)
     answers = asked.groupBy("kind", "bucket").applyInArrow(_answer(order, pairs), ASKED)
     id_type = blocks.schema["doc_id"].dataType
     fields = [("doc_id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("learned", T.LongType()), ("distinct", T.LongType())]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    score = _score(order, [n for n, _ in fields], to_arrow_type(id_type))
+    score = _score(order, lower, [n for n, _ in fields], to_arrow_type(id_type))
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     found = materialize(blocks.groupBy("block").cogroup(answers.select("block", "kind", "payload").groupBy("block")).applyInArrow(score, schema), "scores")
     total = found.agg(F.sum("learned").alias("n"), F.sum("distinct").alias("v")).first()

@@ -55,7 +55,7 @@ def source_mix(documents):
 
 @query("op3_lm_score", "documents")
 def lm_score(documents):
-    return lm.scores(documents)
+    return lm.scores(documents, lower=True)
 
 
 @query(

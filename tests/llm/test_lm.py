@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import nasty
-from gaugeboard.llm import lm, ppm
+from gaugeboard.llm import lm, ppm, queries
 
 
 def held(doc_id):
@@ -83,6 +83,20 @@ def test_scores_of_nasty_documents(spark):
         assert a[:5] == b[:5] and a[5:] == (pytest.approx(b[5], rel=1e-6), pytest.approx(b[6], rel=1e-4, abs=1e-4))
 
 
+def test_the_query_counts_words_in_lower_case(spark):
+    """Only A-Z: letters beyond ASCII keep their case, and other separators stay inside words."""
+    texts = ["The THE the", "tHE Cat\u00a0Sat", "\u00c4B \u00e4b \u00c4b", "K k \u212a", None, "", "the\x0bEND\x1cend", "ZEBRA zebra [@`{"]
+    rows = [(i, texts[i % len(texts)], None) for i in range(64)]
+    got = {r["doc_id"]: r for r in queries.lm_score(nasty.documents(spark, rows)).collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mine = {i: [*nasty.words((t or "").translate(low)), None] for i, t, _ in rows}
+    tokens = Counter(w for i in mine if not held(i) for w in mine[i])
+    n, v = sum(tokens.values()), len(tokens)
+    for i, ws in mine.items():
+        base = sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in ws)
+        assert tuple(got[i])[1:6] == (held(i), len(ws), sum(tokens[w] > 0 for w in ws), n, pytest.approx(base, rel=1e-9))
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     assert lm.scores(nasty.documents(spark, [])).count() == 0
     only = next(i for i in range(100) if held(i))
