@@ -85,7 +85,10 @@ def has_text(c: Column) -> Column:
 
 
 def safe_integer(c: Column) -> Column:
-    """Struct {num, txt}: whole numbers a double cannot hold exactly become text."""
+    """Struct {num, txt}: whole numbers a double cannot hold exactly become text.
+
+    ``c`` is an integer or a decimal without fraction, for numbers past 64 bits.
+    """
     safe = c.between(-SAFE_INTEGER, SAFE_INTEGER)
     return F.struct(
         F.when(safe, c).cast("bigint").alias("num"), F.when(c.isNotNull() & ~safe, c.cast("string")).alias("txt")

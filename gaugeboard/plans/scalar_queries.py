@@ -145,6 +145,11 @@ def json_nested(t: Tables):
     return rows.select("event_id", F.col("p.email_addresses")[0]["email_address"].alias("first_address"), "p.public_user_data.user_id")
 
 
+def _exact(name: str):
+    """A whole number whose products are exact up to 38 digits; beyond, Spark refuses them."""
+    return F.col(name).cast("decimal(20,0)")
+
+
 _WIDE = "(l_orderkey * 100000007 * CAST(l_partkey + 1 AS BIGINT))"
 
 
@@ -155,7 +160,7 @@ _WIDE = "(l_orderkey * 100000007 * CAST(l_partkey + 1 AS BIGINT))"
                CASE WHEN NOT ({_WIDE} BETWEEN -9007199254740991 AND 9007199254740991) THEN CAST({_WIDE} AS VARCHAR) END AS txt FROM lineitem""",
 )
 def safe_integer(t: Tables):
-    wide = F.col("l_orderkey") * F.lit(100000007) * (F.col("l_partkey") + 1)
+    wide = _exact("l_orderkey") * F.lit(100000007) * (_exact("l_partkey") + 1)
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", txt.safe_integer(wide).alias("s"))
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "s.num", "s.txt")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeboard.functions import text as txt
+from gaugeboard.plans import all_queries
 
 
 def _one(spark, column, **values):
@@ -74,6 +75,22 @@ def test_safe_integers(spark):
     assert got == [(edge, None), (None, str(edge + 1)), (-edge, None), (None, str(-edge - 1)), (None, str(-(2**63))), (None, None)]
 
 
+_KEYS = [(5, 3), (3_149_999, 119_999), (36_000_000, 1_200_000), (-36_000_000, 1_200_000), (10**14, 10**14), (None, 3), (3, None), (0, 2**63 - 1)]
+
+
+def _safe(n):
+    return (None, None) if n is None else (n, None) if abs(n) < 2**53 else (None, str(n))
+
+
+@pytest.mark.parametrize("key, part", _KEYS)
+def test_products_past_64_bits(spark, tmp_path, key, part):
+    """Keys of larger tables: the product is text, as it is for any number a double cannot hold."""
+    rows = spark.createDataFrame([(key, part, 1, 1)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    [line] = all_queries().QUERIES["safe_integer"](spark, str(tmp_path)).collect()
+    assert tuple(line) == (key, part, 1, 1, *_safe(None if key is None or part is None else key * 100000007 * (part + 1)))
+
+
 def test_safe_integers_inside_documents(spark):
     big = 2**60
     schema = "d struct<a:array<bigint>, m:map<string,bigint>, s:struct<n:bigint,t:string>, i:int>"
