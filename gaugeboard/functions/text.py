@@ -97,7 +97,7 @@ def safe_integer(c: Column) -> Column:
 
 def safe_integers(c: Column, data_type: T.DataType) -> Column:
     """``safe_integer`` applied to every whole number inside arrays, maps and structs."""
-    if isinstance(data_type, T.LongType):
+    if isinstance(data_type, T.LongType) or (isinstance(data_type, T.DecimalType) and data_type.scale == 0):
         return safe_integer(c)
     if isinstance(data_type, T.ArrayType):
         return F.transform(c, lambda x: safe_integers(x, data_type.elementType))

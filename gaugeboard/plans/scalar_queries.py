@@ -175,7 +175,7 @@ _SQUARE = "(o_orderkey * 1000003 * (o_custkey + 1) * 1009)"
                o_orderstatus AS status FROM orders""",
 )
 def safe_integer_nested(t: Tables):
-    square = F.col("o_orderkey") * F.lit(1000003) * (F.col("o_custkey") + 1) * F.lit(1009)
+    square = _exact("o_orderkey") * F.lit(1000003) * (_exact("o_custkey") + 1) * F.lit(1009)
     doc = F.struct(F.array(F.col("o_custkey"), square).alias("numbers"), F.col("o_orderstatus").alias("status"))
     rows = t.orders.select("o_orderkey", doc.alias("doc"))
     rows = rows.select("o_orderkey", txt.safe_integers(F.col("doc"), rows.schema["doc"].dataType).alias("doc"))

@@ -91,6 +91,13 @@ def test_products_past_64_bits(spark, tmp_path, key, part):
     assert tuple(line) == (key, part, 1, 1, *_safe(None if key is None or part is None else key * 100000007 * (part + 1)))
 
 
+@pytest.mark.parametrize("key, customer", _KEYS)
+def test_products_past_64_bits_inside_documents(spark, tmp_path, key, customer):
+    spark.createDataFrame([(key, customer, "F")], "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    [order] = all_queries().QUERIES["safe_integer_nested"](spark, str(tmp_path)).collect()
+    assert tuple(order) == (key, _safe(customer)[0], *_safe(None if key is None or customer is None else key * 1000003 * (customer + 1) * 1009), "F")
+
+
 def test_safe_integers_inside_documents(spark):
     big = 2**60
     schema = "d struct<a:array<bigint>, m:map<string,bigint>, s:struct<n:bigint,t:string>, i:int>"
