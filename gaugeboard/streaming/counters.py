@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,49 +30,85 @@ def post_counters(
     return counted.select(F.col("__post").alias(post), F.col("__at").alias(ts), "n", *added)
 
 
-class _Counter(StatefulProcessor):
-    """Counts a key's rows until none came for a while; then it says so once and forgets the key."""
+#: Buckets of keys; fixed for a checkpoint.
+BUCKETS = 256
+_HELD = "keys array<string>, n array<long>, total array<double>, first array<long>, last array<long>, timer long"
+
+
+class _Counters(StatefulProcessor):
+    """Counts each key's rows until none came for a while; then it says so once and forgets the key.
+
+    Keys share the state and the timer of their bucket: the cost of a call is paid per bucket, not per key.
+    """
 
     def __init__(self, ts: str, value: str, idle_ms: int):
         self.ts, self.value, self.idle = ts, value, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("counter", "n long, total double, first long, last long")
+        self.state = handle.getValueState("counters", _HELD)
+
+    def _held(self) -> tuple[list[np.ndarray], int | None]:
+        """Key, n, total, first and last of the open counters, and the time of the timer."""
+        held = self.state.get() if self.state.exists() else ([], [], [], [], [], None)
+        return [np.array(v, k) for v, k in zip(held, (object, np.int64, np.float64, np.int64, np.int64))], held[5]
+
+    def _hold(self, held: list[np.ndarray], timer: int | None, fired: int | None = None) -> None:
+        """Keep the open counters; the timer, unless it fired, moves to the first of their ends."""
+        ends = int(self._expiry(held[4]).min()) if len(held[0]) else None
+        if timer is not None and timer != ends and timer != fired:
+            self.handle.deleteTimer(timer)
+        if ends is None:
+            self.state.clear()
+            return
+        if ends != timer or timer == fired:
+            self.handle.registerTimer(ends)
+        self.state.update((*[v.tolist() for v in held], ends))
+
+    def _expiry(self, last: np.ndarray) -> np.ndarray:
+        return last // 1000 + self.idle + 1
 
-    def _closed(self, key, held) -> dict:
-        n, total, first, last = held
-        return {"key": [key[0] if isinstance(key[0], str) else None], "n": [n], "total": [total], "first": [pd.Timestamp(first, unit="us")], "last": [pd.Timestamp(last, unit="us")]}
+    @staticmethod
+    def _closed(found: list[np.ndarray]) -> pd.DataFrame:
+        key, n, total, first, last = found
+        times = {"first": first.astype("datetime64[us]"), "last": last.astype("datetime64[us]")}
+        return pd.DataFrame({"key": pd.Series(key.tolist(), dtype=object), "n": n, "total": total, **times})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
-        times = frame[self.ts].astype("datetime64[us]").astype("int64")
-        values = frame[self.value].astype(float).fillna(0.0)
-        held = self.state.get() if self.state.exists() else None
-        before = held
-        for at, value in sorted(zip(times.tolist(), values.tolist())):
-            if held is not None and at - held[3] > self.idle * 1000:
-                yield pd.DataFrame(self._closed(key, held))
-                held = None
-            held = (1, value, at, at) if held is None else (held[0] + 1, held[1] + value, min(held[2], at), max(held[3], at))
-        if before is not None:
-            self.handle.deleteTimer(self._expiry(before))
-        self.state.update(held)
-        self.handle.registerTimer(self._expiry(held))
-
-    def _expiry(self, held) -> int:
-        return held[3] // 1000 + self.idle + 1
+        times = frame[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+        values = frame[self.value].astype(float).fillna(0.0).to_numpy()
+        held, timer = self._held()
+        # Open counters come as rows before the new ones of their keys.
+        keys, n, total, first, last = (np.concatenate(pair) for pair in zip(held, (frame["key"].to_numpy(object), np.ones(len(frame), np.int64), values, times, times)))
+        which, names = pd.factorize(keys, use_na_sentinel=False)
+        order = np.lexsort((total, first, np.arange(len(keys)) >= len(held[0]), which))
+        which, n, total, first, last = (v[order] for v in (which, n, total, first, last))
+        new_key = np.append(True, which[1:] != which[:-1])
+        open_until = pd.Series(last).groupby(which).cummax().to_numpy()
+        begins = np.flatnonzero(new_key | np.append(True, first[1:] - open_until[:-1] > self.idle * 1000))
+        of = which[begins]
+        named = np.array([k if isinstance(k, str) else None for k in names], object)
+        bursts = [named[of], np.add.reduceat(n, begins), np.add.reduceat(total, begins), np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins)]
+        newest = np.append(of[1:] != of[:-1], True)
+        self._hold([v[newest] for v in bursts], timer)
+        if not newest.all():
+            yield self._closed([v[~newest] for v in bursts])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield pd.DataFrame(self._closed(key, self.state.get()))
-            self.state.clear()
+        held, timer = self._held()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        # What ends before the watermark ends now, as if each key had a timer.
+        ended = self._expiry(held[4]) <= max(now, timerValues.getCurrentWatermarkInMs() - 1)
+        if ended.any():
+            self._hold([v[~ended] for v in held], timer, fired=now)
+            yield self._closed([v[ended] for v in held])
 
     def close(self) -> None:
         pass
 
 
-def ending_counters(stream: DataFrame, key: str, ts: str, value: str, idle: str, delay: str) -> DataFrame:
+def ending_counters(stream: DataFrame, key: str, ts: str, value: str, idle: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """Rows and total of ``value`` per key and burst: key (as text), n, total, first, last; each written out once, when it ends.
 
     A counter ends when the watermark is ``idle`` past its last row, or when a later row of its key is.  Its state and
@@ -84,5 +121,6 @@ def ending_counters(stream: DataFrame, key: str, ts: str, value: str, idle: str,
         [T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())]
         + [T.StructField(name, T.TimestampType()) for name in ("first", "last")]
     )
-    counter = _Counter("ts", "value", milliseconds)
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=counter, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    counter = _Counters("ts", "value", milliseconds)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    return rows.select("*", bucket).groupBy("bucket").transformWithStateInPandas(statefulProcessor=counter, outputStructType=schema, outputMode="Append", timeMode="EventTime")

@@ -204,6 +204,21 @@ def test_counters_end_once(spark, arrivals):
     assert rows == sorted(want, key=repr)
 
 
+def test_counters_of_one_bucket_do_not_mix(spark, arrivals):
+    """Calls are paid per bucket of keys: five hundred keys in one bucket, ends before, at and past the pause."""
+    add, folder = arrivals
+    schema = "key int, ts timestamp, v double"
+    at = lambda k, minutes: T0 + dt.timedelta(minutes=minutes, seconds=k % 7)
+    add([(k, at(k, 0), 1.0) for k in range(500)] + [(k, at(k, 10), 2.0) for k in range(500)], schema)
+    add([(k, at(k, 20 + k % 3), 4.0) for k in range(500)], schema)
+    stream, close = flows.closable(flows.read_files(spark, folder, schema, files_per_batch=1), "ts")
+    got = flows.drain_windows(counters.ending_counters(stream, "key", "ts", "v", "10 minutes", "0 minutes", buckets=1), close, "one-bucket")
+    want = []
+    for k in range(500):
+        want += [(str(k), 3, 7.0, at(k, 0), at(k, 20))] if k % 3 == 0 else [(str(k), 2, 3.0, at(k, 0), at(k, 10)), (str(k), 1, 4.0, at(k, 20 + k % 3), at(k, 20 + k % 3))]
+    assert sorted((r["key"], r["n"], r["total"], r["first"], r["last"]) for r in got.collect()) == sorted(want)
+
+
 def test_state_of_ending_counters_stays_bounded(spark, arrivals, tmp_path):
     """A hundred batches, each with new keys."""
     _, folder = arrivals
