@@ -8,9 +8,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeboard.functions.kinds import number
-from gaugeboard.session import materialize
+from gaugeboard.operators.ordered import with_position
+from gaugeboard.session import materialize, scratch_scope
 
 SEED = 42
+# About as many points of a ROC curve as Spark ML takes for a training summary.
+ROC_BINS = 1000
 
 
 def ols_simple(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -24,11 +27,14 @@ def ols_simple(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
+def _complete(df: DataFrame, inputs: Sequence[str], label: Column) -> DataFrame:
+    return df.select(*[number(df, c).alias(c) for c in inputs], label.cast("double").alias("label")).dropna()
+
+
 def _assembled(df: DataFrame, inputs: Sequence[str], label: Column) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.select(*[number(df, c).alias(c) for c in inputs], label.cast("double").alias("label")).dropna()
-    return VectorAssembler(inputCols=list(inputs), outputCol="features").transform(rows).select("features", "label")
+    return VectorAssembler(inputCols=list(inputs), outputCol="features").transform(_complete(df, inputs, label)).select("features", "label")
 
 
 def _coefficients(df: DataFrame, names: Sequence[str], values: Sequence[float]) -> DataFrame:
@@ -43,6 +49,28 @@ def ols_multi(df: DataFrame, y: str, inputs: Sequence[str]) -> DataFrame:
     return _coefficients(df, [*inputs, "(intercept)", "(r2)"], [*model.coefficients, model.intercept, model.summary.r2])
 
 
+def area_under_roc(scored: DataFrame, bins: int = ROC_BINS) -> float:
+    """Area under the ROC curve of ``scored`` rows (score, label 0 or 1), by trapezoids.
+
+    As in Spark ML, a point of the curve stands for an equal number of distinct scores, so that there are about ``bins``
+    points, and none is joined below twice that many scores.  The scores are counted and put in order by shuffles of
+    plain columns; only the points, fewer than twice ``bins``, reach the driver.
+    """
+    yes = F.sum((F.col("label") > 0.5).cast("long"))
+    with scratch_scope(scored.sparkSession):
+        counts = scored.groupBy("score").agg(yes.alias("yes"), F.count(F.lit(1)).alias("n"))
+        placed = with_position(counts, [F.col("score").desc()], "position", total="scores")
+        point = F.expr(f"(position - 1) div greatest(scores div {bins}, 1L)")
+        points = placed.groupBy(point.alias("point")).agg(F.sum("yes").alias("yes"), F.sum(F.col("n") - F.col("yes")).alias("no")).orderBy("point").collect()
+    all_yes, all_no = sum(p["yes"] for p in points), sum(p["no"] for p in points)
+    area, x, y, seen_yes, seen_no = 0.0, 0.0, 0.0, 0, 0
+    for p in points:
+        seen_yes, seen_no = seen_yes + p["yes"], seen_no + p["no"]
+        to_x, to_y = seen_no / all_no if all_no else 0.0, seen_yes / all_yes if all_yes else 0.0
+        area, x, y = area + (to_x - x) * (to_y + y) / 2, to_x, to_y
+    return area + (1 - x) * (1 + y) / 2
+
+
 def logistic(df: DataFrame, label: Column, inputs: Sequence[str], max_iter: int = 200, tol: float = 1e-9) -> DataFrame:
     """Logistic regression coefficients for a yes/no label, with area under ROC.
 
@@ -50,10 +78,15 @@ def logistic(df: DataFrame, label: Column, inputs: Sequence[str], max_iter: int
     """
     from pyspark.ml.classification import LogisticRegression
 
-    model = LogisticRegression(maxIter=max_iter, tol=tol).fit(_assembled(df, inputs, label.cast("int")))
+    label = label.cast("int")
+    model = LogisticRegression(maxIter=max_iter, tol=tol).fit(_assembled(df, inputs, label))
     if model.summary.totalIterations >= max_iter:
         raise ValueError(f"no convergence in {max_iter} iterations")
-    return _coefficients(df, [*inputs, "(intercept)", "(auc)"], [*model.coefficients, model.intercept, model.summary.areaUnderROC])
+    rows = _complete(df, inputs, label)
+    line = sum((F.lit(float(w)) * rows[c] for w, c in zip(model.coefficients, inputs)), F.lit(0.0)) + F.lit(float(model.intercept))
+    # The model's probability of a yes, in the steps in which it takes it.
+    auc = area_under_roc(rows.select((1 - 1 / (1 + F.exp(line))).alias("score"), "label"))
+    return _coefficients(df, [*inputs, "(intercept)", "(auc)"], [*model.coefficients, model.intercept, auc])
 
 
 def score_equations(df: DataFrame, label: Column, inputs: Sequence[str], fitted: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -79,6 +80,37 @@ def test_logistic_scores_are_zero(spark):
         regression.logistic(df, F.col("yes"), ["a", "b"], max_iter=1)
 
 
+@pytest.mark.parametrize("rows, digits", [(1500, 9), (7000, 9), (7000, 1)])
+def test_area_under_roc_is_that_of_the_summary(spark, rows, digits):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = _points(spark, rows)[1].withColumns({c: F.round(c, digits) for c in "ab"}).withColumn("yes", F.col("yes") != (F.col("y") % 1 > 0.7)).coalesce(1)
+    want = LogisticRegression(maxIter=200, tol=1e-9).fit(regression._assembled(df, ["a", "b"], F.col("yes").cast("int"))).summary.areaUnderROC
+    got = {r["term"]: r["coefficient"] for r in regression.logistic(df, F.col("yes"), ["a", "b"]).collect()}
+    assert 0.5 < want < 1 and got["(auc)"] == pytest.approx(want, abs=1e-12)
+
+
+def test_area_under_roc_is_the_same_in_any_partitions(spark):
+    """The points of the curve were cut where a partition of the sorted scores ended."""
+    df = _points(spark, 7000)[1].withColumn("yes", F.col("yes") != (F.col("y") % 1 > 0.7))
+    areas = [regression.logistic(part, F.col("yes"), ["a", "b"]).where("term = '(auc)'").first()["coefficient"] for part in (df.coalesce(1), df.repartition(7))]
+    assert areas[0] == pytest.approx(areas[1], abs=1e-9)
+
+
+def test_area_under_roc_of_few_scores(spark):
+    area = lambda *rows: regression.area_under_roc(spark.createDataFrame(rows, "score double, label double"))
+    assert area((0.9, 1.0), (0.5, 1.0), (0.5, 0.0), (0.1, 0.0)) == 0.875
+    assert area((0.1, 1.0), (0.9, 0.0)) == 0 and area((0.9, 1.0), (0.1, 1.0)) == 1 and area((0.9, 0.0), (0.1, 0.0)) == 0
+
+
+def test_scores_are_not_kept(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    files = lambda: sorted(str(p) for p in Path(folder).rglob("*.parquet"))
+    kept = files()
+    regression.logistic(_points(spark)[1], F.col("yes"), ["a", "b"]).collect()
+    assert files() == kept
+
+
 def test_importance_and_coefficients_use_the_same_rows(spark):
     rows, df = _points(spark)
     gaps = df.unionByName(spark.createDataFrame([(1e6, None, 0.0, True)] * 5, df.schema))
